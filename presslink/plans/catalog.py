@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslink.functions import extract_date, extract_date_raw, extract_source, is_heading, normalize_date
+from presslink.operators import annotate as ann
 from presslink.operators import articles as art
+from presslink.operators import replies as rep
+from presslink.operators import reports as rpt
+from presslink.functions.replies import slice_json, truncate_description
 from presslink.plans import fixtures as fx
 from presslink.plans import oracle as o
 
@@ -124,7 +128,188 @@ def q_build_articles(spark, sf):
     return fx_articles(spark, sf)
 
 
+
+# ------------------------------------------------------------ 2.4 annotation
+
+def _attached(spark, sf):
+    a = fx_articles(spark, sf)
+    return ann.attach_responses(a, fx.fx_responses(spark, sf, a))
+
+
+def _parsed(spark, sf):
+    return rep.parse_mentions(_attached(spark, sf))
+
+
+def _analyses(spark, sf):
+    return rep.build_analyses(_parsed(spark, sf))
+
+
+def _prompt_sql():
+    parts = []
+    for lit, field in ann.template_pieces(ann.EXTRACTION_TEMPLATE):
+        if lit:
+            parts.append(o.q(lit))
+        if field:
+            parts.append(field)
+    return "concat(" + ", ".join(parts) + ")"
+
+
+@register("extraction_prompts", o.with_(o.articles(), f"SELECT path, seg, {_prompt_sql()} AS prompt FROM articles"))
+def q_extraction_prompts(spark, sf):
+    return ann.extraction_prompt(fx_articles(spark, sf)).select("path", "seg", "prompt")
+
+
+def stub_extractor(prompt: str) -> str:
+    """Deterministic stand-in for a model: names the capitalised two-word phrases of
+    the article body (a real deployment passes its own client function)."""
+    import json
+    import re
+    body = prompt.split("\nContent: ", 1)[-1].split("\n\nMANDATORY CHECKLIST", 1)[0]
+    names = re.findall(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b", body)
+    return json.dumps({"company_mentions": [{"company_name": n, "description": "Named in the article"}
+                                            for n in dict.fromkeys(names)]})
+
+
+@register("annotate_stub")
+def q_annotate_stub(spark, sf):
+    prompts = ann.extraction_prompt(fx_articles(spark, sf)).select("path", "seg", "title", "source", "date", "prompt")
+    out = ann.annotate(prompts, stub_extractor)
+    return rep.build_analyses(rep.parse_mentions(out)).select(
+        "path", "seg", "status", F.size("company_mentions").cast("long").alias("n_mentions"))
+
+
+@register("attach_responses", o.with_(o.attached(), "SELECT path, seg, title, source, date, response FROM attached"))
+def q_attach_responses(spark, sf):
+    return _attached(spark, sf).select("path", "seg", "title", "source", "date", "response")
+
+
+@register("annotation_audit", o.with_(o.parsed(), (
+    "SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status <> 'ok') AS failed, "
+    "count(*) AS total, CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE status = 'ok') AS DOUBLE) / "
+    "count(*) ELSE 0.0 END AS success_rate FROM p3")))
+def q_annotation_audit(spark, sf):
+    return ann.annotation_audit(_parsed(spark, sf))
+
+
+# ------------------------------------------------------------ 2.5 replies
+
+@register("slice_json", o.with_(o.attached(), (
+    "SELECT path, seg, nullif(regexp_extract(response, '(?s)\\{.*\\}', 0), '') AS json_text FROM attached")))
+def q_slice_json(spark, sf):
+    return _attached(spark, sf).select("path", "seg", slice_json("response").alias("json_text"))
+
+
+@register("parse_mentions", o.with_(o.parsed(), (
+    "SELECT path, seg, status, CAST(len(mentions) AS BIGINT) AS n_mentions FROM parsed")))
+def q_parse_mentions(spark, sf):
+    return _parsed(spark, sf).select("path", "seg", "status", F.size("mentions").cast("long").alias("n_mentions"))
+
+
+_RAW_COLS = "path, seg, pos, company_name, description"
+
+
+def _raw(spark, sf):
+    return rep.explode_raw(_parsed(spark, sf))
+
+
+def _m():
+    return F.struct(F.col("company_name").alias("company_name"), F.col("description").alias("description"))
+
+
+@register("drop_blank_names", o.with_(o.parsed(), f"SELECT {_RAW_COLS} FROM raw_mentions WHERE company_name <> ''"))
+def q_drop_blank_names(spark, sf):
+    return _raw(spark, sf).filter(~rep.is_blank_name(_m())).drop("source")
+
+
+@register("exclude_publication", o.with_(o.parsed(), (
+    f"SELECT {_RAW_COLS} FROM raw_mentions WHERE NOT {o.is_publication('company_name', 'source')}")))
+def q_exclude_publication(spark, sf):
+    return _raw(spark, sf).filter(~rep.is_publication(_m(), F.col("source"))).drop("source")
+
+
+@register("exclude_parties", o.with_(o.parsed(), (
+    f"SELECT {_RAW_COLS} FROM raw_mentions WHERE NOT {o.is_party('company_name')}")))
+def q_exclude_parties(spark, sf):
+    return _raw(spark, sf).filter(~rep.is_party(_m())).drop("source")
+
+
+@register("exclude_copyright", o.with_(o.parsed(), (
+    f"SELECT {_RAW_COLS} FROM raw_mentions WHERE NOT {o.is_copyright('description')}")))
+def q_exclude_copyright(spark, sf):
+    return _raw(spark, sf).filter(~rep.is_copyright_holder(_m())).drop("source")
+
+
+@register("truncate_description", o.with_(o.parsed(), (
+    f"SELECT path, seg, pos, {o.truncate('description')} AS description FROM raw_mentions")))
+def q_truncate_description(spark, sf):
+    return _raw(spark, sf).select("path", "seg", "pos", truncate_description("description").alias("description"))
+
+
+@register("build_analyses", o.with_(o.analyses(), (
+    "SELECT path, seg, article_title, publication_source, publication_date, status, "
+    "CAST(len(company_mentions) AS BIGINT) AS n_mentions, "
+    "array_to_string(list_transform(company_mentions, lambda m: m.company_name), ' | ') AS mention_names "
+    "FROM analyses")))
+def q_build_analyses(spark, sf):
+    return _analyses(spark, sf).select(
+        "path", "seg", "article_title", "publication_source", "publication_date", "status",
+        F.size("company_mentions").cast("long").alias("n_mentions"),
+        F.array_join(F.transform("company_mentions", lambda m: m["company_name"]), " | ").alias("mention_names"))
+
+
+# ------------------------------------------------------------ 2.6 reports
+
+@register("citations", o.with_(o.analyses(), (
+    "SELECT path, seg, '\"' || publication_source || '\", \"' || article_title || '\"' AS citation FROM analyses")))
+def q_citations(spark, sf):
+    return _analyses(spark, sf).select("path", "seg",
+                                       rpt.citation("publication_source", "article_title").alias("citation"))
+
+
+@register("explode_mentions", o.with_(o.exploded(), "SELECT * FROM exploded"))
+def q_explode_mentions(spark, sf):
+    return rpt.explode_mentions(_analyses(spark, sf))
+
+
+_TOTALS_SQL = ("SELECT count(*) AS total_articles, count(*) FILTER (WHERE len(company_mentions) > 0) "
+               "AS articles_with_mentions, CAST(coalesce(sum(len(company_mentions)), 0) AS BIGINT) AS total_mentions "
+               "FROM analyses")
+_UNIQUE_SQL = "SELECT count(DISTINCT lower(company_name)) AS unique_companies FROM exploded"
+_BREAKDOWN_SQL = ("SELECT publication_source AS publication, count(*) AS articles, "
+                  "CAST(sum(len(company_mentions)) AS BIGINT) AS total_mentions FROM analyses GROUP BY 1")
+
+
+@register("summary_totals", o.with_(o.analyses(), _TOTALS_SQL))
+def q_summary_totals(spark, sf):
+    return rpt.summary_totals(_analyses(spark, sf))
+
+
+@register("unique_companies", o.with_(o.exploded(), _UNIQUE_SQL))
+def q_unique_companies(spark, sf):
+    return rpt.unique_companies(_analyses(spark, sf))
+
+
+@register("publication_breakdown", o.with_(o.analyses(), _BREAKDOWN_SQL))
+def q_publication_breakdown(spark, sf):
+    return rpt.publication_breakdown(_analyses(spark, sf))
+
+
+@register("summary_report", o.with_(o.exploded() + [("totals", _TOTALS_SQL), ("uniq", _UNIQUE_SQL),
+                                                    ("breakdown", _BREAKDOWN_SQL)], (
+    "SELECT CAST(x.o AS BIGINT) AS ord, '' AS key, x.l AS line FROM totals, uniq, unnest(["
+    "{'o': 0, 'l': 'Summary Statistics'}, "
+    "{'o': 1, 'l': 'Total Articles Processed,' || CAST(total_articles AS VARCHAR)}, "
+    "{'o': 2, 'l': 'Articles with Company Mentions,' || CAST(articles_with_mentions AS VARCHAR)}, "
+    "{'o': 3, 'l': 'Total Company Mentions,' || CAST(total_mentions AS VARCHAR)}, "
+    "{'o': 4, 'l': 'Unique Companies Mentioned,' || CAST(unique_companies AS VARCHAR)}, "
+    "{'o': 5, 'l': ''}, {'o': 6, 'l': 'Publication Breakdown'}, "
+    "{'o': 7, 'l': 'Publication,Articles,Total Mentions'}]) AS t(x) "
+    f"UNION ALL SELECT 8, publication, {o.csv_field('publication')} || ',' || CAST(articles AS VARCHAR) || ',' || "
+    "CAST(total_mentions AS VARCHAR) FROM breakdown")))
+def q_summary_report(spark, sf):
+    return rpt.summary_report(_analyses(spark, sf))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents -> articles -> articles per publication (minimum end-to-end slice)."""
-    return (fx_articles(spark, sf).groupBy(F.col("source").alias("publication"))
-            .agg(F.count(F.lit(1)).alias("articles")))
+    """Documents -> articles -> replies -> analyses -> mentions per publication."""
+    return rpt.publication_breakdown(_analyses(spark, sf))

@@ -98,3 +98,43 @@ def fx_paragraphs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2 applied to the ASCII documents: one paragraph per line, path = doc_id."""
     from presslink.sources.text import paragraphs_from_text
     return paragraphs_from_text(fx_documents(spark, sf_dir), "doc_id", "text")
+
+
+def _obj(name: Column, desc: Column) -> Column:
+    return F.concat(F.lit('{"company_name": "'), name, F.lit('", "description": "'), desc, F.lit('"}'))
+
+
+def fx_responses(spark: SparkSession, sf_dir: str, articles: DataFrame) -> DataFrame:
+    """Model-style replies per article ``(path, seg, response)``, eight shapes by ``seg % 8``;
+    names come from ``part`` (keys ``seg`` and ``seg + 1``); NULL reply when ``seg % 13 = 12``."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p1 = part.select(F.col("p_partkey").alias("_k1"), F.col("p_name").alias("_n1"))
+    p2 = part.select(F.col("p_partkey").alias("_k2"), F.col("p_name").alias("_n2"))
+    a = (articles.select("path", "seg", "source")
+         .join(p1, F.col("seg") == F.col("_k1"), "left")
+         .join(p2, F.col("seg") + 1 == F.col("_k2"), "left"))
+    n1 = F.concat(F.coalesce(F.col("_n1"), F.lit("unnamed works")), F.lit(" Inc."))
+    n2 = F.concat(F.coalesce(F.col("_n2"), F.lit("unnamed works")), F.lit(" Partners"))
+    wrap = lambda body: F.concat(F.lit('{"company_mentions": ['), body, F.lit("]}"))
+    k = F.col("seg") % 8
+    resp = (
+        F.when(F.col("seg") % 13 == 12, F.lit(None).cast("string"))
+        .when(k == 0, wrap(F.concat(_obj(n1, F.lit("Opened a new plant")), F.lit(", "),
+                                    _obj(n2, F.lit("Supplies parts")), F.lit(', "stray entry"'))))
+        .when(k == 1, F.concat(F.lit("Here is my analysis.\n"), wrap(_obj(n1, F.lit("Main subject"))),
+                               F.lit("\nLet me know if you need more.")))
+        .when(k == 2, F.lit("I could not find any companies in this article."))
+        .when(k == 3, F.concat(F.lit('{"company_mentions": [{"company_name": "'), n1, F.lit('" ]}')))
+        .when(k == 4, F.concat(F.lit('{"companies": ['), _obj(n1, F.lit("Investor")), F.lit("]}")))
+        .when(k == 5, wrap(F.concat(
+            _obj(F.lit("Green Party"), F.lit("Political group")), F.lit(", "), _obj(n1, F.lit("Investor")),
+            F.lit(", "), _obj(F.lit("   "), F.lit("blank")), F.lit(", "),
+            _obj(F.lit("Democrats"), F.lit("Party members")))))
+        .when(k == 6, wrap(F.concat(_obj(n1, F.lit("Holds the Copyright to the article")), F.lit(", "),
+                                    _obj(n2, F.repeat(F.lit("Long description "), 21)))))
+        .when(F.col("seg") % 16 == 15,
+              F.concat(F.lit('{"company_mentions": [{"company_name": "'), n1, F.lit('", "description": null}]}')))
+        .otherwise(wrap(F.concat(_obj(F.upper("source"), F.lit("The publication itself")), F.lit(", "),
+                                 _obj(n2, F.lit("Partner firm")))))
+    )
+    return a.select("path", "seg", resp.alias("response"))

@@ -207,3 +207,115 @@ def articles(default_source="Unknown Source", default_date="1900-01-01"):
             f"{strip('content')} AS content, {strip(raw)} AS raw_text "
             f"FROM summary WHERE title IS NOT NULL AND n_parts > 0")
     return segment_summary() + [("articles", body)]
+
+
+# ---------------------------------------------------------------- replies
+
+def _obj(name, desc):
+    return f"""('{{"company_name": "' || {name} || '", "description": "' || {desc} || '"}}')"""
+
+
+def fx_responses():
+    n1 = "(coalesce(p1.p_name, 'unnamed works') || ' Inc.')"
+    n2 = "(coalesce(p2.p_name, 'unnamed works') || ' Partners')"
+
+    def wrap(body):
+        return f"""('{{"company_mentions": [' || {body} || ']}}')"""
+
+    resp = (
+        "CASE WHEN a.seg % 13 = 12 THEN NULL "
+        f"WHEN a.seg % 8 = 0 THEN {wrap(_obj(n1, q('Opened a new plant')) + ' || ' + q(', ') + ' || ' + _obj(n2, q('Supplies parts')) + ' || ' + q(', \"stray entry\"'))} "
+        f"WHEN a.seg % 8 = 1 THEN 'Here is my analysis.' || chr(10) || {wrap(_obj(n1, q('Main subject')))} || chr(10) || 'Let me know if you need more.' "
+        "WHEN a.seg % 8 = 2 THEN 'I could not find any companies in this article.' "
+        f"""WHEN a.seg % 8 = 3 THEN '{{"company_mentions": [{{"company_name": "' || {n1} || '" ]}}' """
+        f"""WHEN a.seg % 8 = 4 THEN '{{"companies": [' || {_obj(n1, q('Investor'))} || ']}}' """
+        f"WHEN a.seg % 8 = 5 THEN {wrap(' || '.join([_obj(q('Green Party'), q('Political group')), q(', '), _obj(n1, q('Investor')), q(', '), _obj(q('   '), q('blank')), q(', '), _obj(q('Democrats'), q('Party members'))]))} "
+        f"WHEN a.seg % 8 = 6 THEN {wrap(_obj(n1, q('Holds the Copyright to the article')) + ' || ' + q(', ') + ' || ' + _obj(n2, "repeat('Long description ', 21)"))} "
+        f"""WHEN a.seg % 16 = 15 THEN '{{"company_mentions": [{{"company_name": "' || {n1} || '", "description": null}}]}}' """
+        f"ELSE {wrap(_obj('upper(a.source)', q('The publication itself')) + ' || ' + q(', ') + ' || ' + _obj(n2, q('Partner firm')))} END"
+    )
+    body = (f"SELECT a.path, a.seg, {resp} AS response FROM articles a "
+            "LEFT JOIN part p1 ON p1.p_partkey = a.seg LEFT JOIN part p2 ON p2.p_partkey = a.seg + 1")
+    return articles() + [("fx_responses", body)]
+
+
+def attached():
+    return fx_responses() + [("attached", "SELECT a.path, a.seg, a.title, a.source, a.date, a.content, r.response "
+                                          "FROM articles a LEFT JOIN fx_responses r USING (path, seg)")]
+
+
+def _string_or_missing(e, key):
+    return f"coalesce(json_type({e}, '$.{key}'), 'VARCHAR') = 'VARCHAR'"
+
+
+def parsed():
+    p1 = "SELECT *, regexp_extract(response, '(?s)\\{.*\\}', 0) AS js FROM attached"
+    p2 = ("SELECT *, CASE WHEN js <> '' AND json_valid(js) THEN json_type(js, '$.company_mentions') END AS kind, "
+          "CASE WHEN js <> '' AND json_valid(js) AND json_type(js, '$.company_mentions') = 'ARRAY' "
+          "THEN list_filter(json_extract(js, '$.company_mentions[*]'), lambda e: json_type(e) = 'OBJECT') "
+          "ELSE [] END AS objs FROM p1")
+    typed_ok = (f"len(list_filter(objs, lambda e: NOT ({_string_or_missing('e', 'company_name')} AND "
+                f"{_string_or_missing('e', 'description')}))) = 0")
+    p3 = ("SELECT *, CASE WHEN response IS NULL THEN 'no_reply' "
+          "WHEN NOT (contains(response, '{') AND contains(response, '}')) THEN 'no_json' "
+          "WHEN js = '' OR NOT json_valid(js) THEN 'invalid_json' "
+          "WHEN kind IS NULL THEN 'missing_key' "
+          f"WHEN kind = 'ARRAY' THEN CASE WHEN {typed_ok} THEN 'ok' ELSE 'bad_type' END "
+          "WHEN kind IN ('OBJECT', 'VARCHAR') THEN 'ok' ELSE 'bad_type' END AS status FROM p2")
+    name = strip("coalesce(json_extract_string(e, '$.company_name'), '')")
+    desc = strip("coalesce(json_extract_string(e, '$.description'), '')")
+    ment = (f"SELECT path, seg, title, source, date, status, CASE WHEN status = 'ok' THEN list_transform(objs, "
+            f"lambda e: {{'company_name': {name}, 'description': {desc}}}) ELSE [] END AS mentions FROM p3")
+    raw = ("SELECT path, seg, source, CAST(x.i - 1 AS BIGINT) AS pos, x.m.company_name AS company_name, "
+           "x.m.description AS description FROM (SELECT path, seg, source, unnest(list_transform(mentions, "
+           "lambda m, i: {'m': m, 'i': i})) AS x FROM parsed)")
+    return attached() + [("p1", p1), ("p2", p2), ("p3", p3), ("parsed", ment), ("raw_mentions", raw)]
+
+
+def is_blank(m):
+    return f"({m}.company_name = '')"
+
+
+def is_publication(name, source):
+    src = strip(f"coalesce({source}, '')")
+    return f"(lower({strip(name)}) = lower({src}))"
+
+
+def is_party(name):
+    from presslink.operators.replies import PARTY_NAMES, PARTY_SHORTHANDS, PARTY_SUFFIX
+    n = f"lower({strip(name)})"
+    return (f"({n} <> '' AND ({n} IN ({', '.join(q(x) for x in PARTY_NAMES)}) OR ends_with({n}, {q(PARTY_SUFFIX)}) "
+            f"OR {n} IN ({', '.join(q(x) for x in PARTY_SHORTHANDS)})))")
+
+
+def is_copyright(desc):
+    from presslink.operators.replies import COPYRIGHT_TRIGGERS
+    d = f"lower(coalesce({desc}, ''))"
+    return any_of([f"contains({d}, {q(t)})" for t in COPYRIGHT_TRIGGERS])
+
+
+def truncate(d, n=300):
+    return f"(CASE WHEN length({d}) > {n} THEN substr({d}, 1, {n - 3}) || '...' ELSE {d} END)"
+
+
+def analyses():
+    keep = (f"NOT ({is_blank('m')} OR {is_publication('m.company_name', 'source')} OR "
+            f"{is_party('m.company_name')} OR {is_copyright('m.description')})")
+    body = (f"SELECT path, seg, title AS article_title, source AS publication_source, date AS publication_date, "
+            f"status, list_transform(list_filter(mentions, lambda m: {keep}), lambda m: "
+            f"{{'company_name': m.company_name, 'description': {truncate('m.description')}}}) AS company_mentions "
+            "FROM parsed")
+    return parsed() + [("analyses", body)]
+
+
+def exploded():
+    cit = "'\"' || publication_source || '\", \"' || article_title || '\"'"
+    body = (f"SELECT path, seg, CAST(x.i - 1 AS BIGINT) AS pos, {cit} AS citation, publication_date AS date, "
+            "x.m.company_name AS company_name, x.m.description AS description FROM (SELECT *, "
+            "unnest(list_transform(company_mentions, lambda m, i: {'m': m, 'i': i})) AS x FROM analyses)")
+    return analyses() + [("exploded", body)]
+
+
+def csv_field(e):
+    return (f"(CASE WHEN regexp_matches({e}, '[\",' || chr(13) || chr(10) || ']') "
+            f"THEN '\"' || replace({e}, '\"', '\"\"') || '\"' ELSE {e} END)")
