@@ -313,3 +313,154 @@ def q_summary_report(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Documents -> articles -> replies -> analyses -> mentions per publication."""
     return rpt.publication_breakdown(_analyses(spark, sf))
+
+
+# ------------------------------------------------------------ 2.7 matching
+
+from presslink.operators import matching as mt  # noqa: E402
+from presslink.sources.tables import read_contributions_table, read_mentions_table  # noqa: E402
+
+
+def _mentions_n(spark, sf):
+    return mt.normalize_mentions(read_mentions_table(fx.fx_mentions(spark, sf)))
+
+
+def _contribs_n(spark, sf):
+    return mt.normalize_contributions(read_contributions_table(fx.fx_contributions(spark, sf)))
+
+
+def _top(spark, sf):
+    m = _mentions_n(spark, sf).select(F.col("norm").alias("m")).distinct()
+    return mt.fuzzy_topk(m, mt.contributor_strings(_contribs_n(spark, sf)))
+
+
+def _ranked(spark, sf):
+    return mt.rank_candidates(mt.merge_candidates(_top(spark, sf)))
+
+
+def _per_mention(spark, sf, df):
+    mn = _mentions_n(spark, sf).select("mention_id", F.col("norm").alias("m"))
+    return mn.join(df, "m", "inner").drop("m")
+
+
+@register("normalize_names", o.with_(o.mentions_norm() + o.contribs_norm(), (
+    "SELECT 'mention' AS kind, mention_id AS id, name AS original, norm AS normalized FROM mentions_norm "
+    "UNION ALL SELECT 'name', idx, contributor_name, name_norm FROM contribs_n "
+    "UNION ALL SELECT 'employer', idx, contributor_employer, emp_norm FROM contribs_n")))
+def q_normalize_names(spark, sf):
+    m = _mentions_n(spark, sf).select(F.lit("mention").alias("kind"), F.col("mention_id").alias("id"),
+                                      F.col("name").alias("original"), F.col("norm").alias("normalized"))
+    c = _contribs_n(spark, sf)
+    n = c.select(F.lit("name").alias("kind"), F.col("idx").alias("id"), F.col("contributor_name").alias("original"),
+                 F.col("name_norm").alias("normalized"))
+    e = c.select(F.lit("employer").alias("kind"), F.col("idx").alias("id"),
+                 F.col("contributor_employer").alias("original"), F.col("emp_norm").alias("normalized"))
+    return m.unionByName(n).unionByName(e)
+
+
+@register("token_set_scores", o.with_(
+    o.contribs_norm()
+    + [("adj_pairs", "SELECT a.idx, a.name_norm AS a_name, a.emp_norm AS a_emp, b.name_norm AS b_name "
+                     "FROM contribs_n a JOIN contribs_n b ON b.idx = a.idx + 1")]
+    + o.token_set_stages("adj_pairs", "a_name", "b_name", "idx", "nn")
+    + o.token_set_stages("adj_pairs", "a_emp", "b_name", "idx", "en"),
+    "SELECT nn_score.idx, nn_score.score AS name_score, en_score.score AS employer_name_score "
+    "FROM nn_score JOIN en_score USING (idx)"))
+def q_token_set_scores(spark, sf):
+    c = _contribs_n(spark, sf)
+    b = c.select((F.col("idx") - 1).alias("idx"), F.col("name_norm").alias("b_name"))
+    pairs = c.select("idx", "name_norm", "emp_norm").join(b, "idx", "inner")
+    return pairs.select("idx", mt.token_set_score("name_norm", "b_name").alias("name_score"),
+                        mt.token_set_score("emp_norm", "b_name").alias("employer_name_score"))
+
+
+def _topk_sql(field):
+    return o.with_(o.shortlist(), (
+        "SELECT mn.mention_id, CAST(t.rank AS INTEGER) AS rank, t.idx, CAST(trunc(t.score) AS INTEGER) AS score "
+        f"FROM mentions_norm mn JOIN topk t ON t.m = mn.norm WHERE t.field = '{field}'"))
+
+
+def _topk(spark, sf, field):
+    t = _top(spark, sf).filter(F.col("field") == field).select(
+        "m", "rank", "idx", F.col("score").cast("int").alias("score"))
+    return _per_mention(spark, sf, t)
+
+
+@register("topk_names", _topk_sql("name"))
+def q_topk_names(spark, sf):
+    return _topk(spark, sf, "name")
+
+
+@register("topk_employers", _topk_sql("employer"))
+def q_topk_employers(spark, sf):
+    return _topk(spark, sf, "employer")
+
+
+@register("merge_candidates", o.with_(o.shortlist(), (
+    "SELECT mn.mention_id, r.idx, r.name_score, r.employer_score FROM mentions_norm mn JOIN merged r ON r.m = mn.norm")))
+def q_merge_candidates(spark, sf):
+    return _per_mention(spark, sf, mt.merge_candidates(_top(spark, sf)).select(
+        "m", "idx", "name_score", "employer_score"))
+
+
+@register("rank_candidates", o.with_(o.shortlist(), (
+    "SELECT mn.mention_id, CAST(r.cand_rank AS INTEGER) AS cand_rank, r.idx FROM mentions_norm mn "
+    "JOIN ranked r ON r.m = mn.norm")))
+def q_rank_candidates(spark, sf):
+    return _per_mention(spark, sf, _ranked(spark, sf).select("m", F.col("cand_rank").cast("int"), "idx"))
+
+
+@register("best_candidates", o.with_(o.shortlist(), (
+    "SELECT mn.mention_id, b.best_idx, b.best_score FROM mentions_norm mn JOIN best b ON b.m = mn.norm")))
+def q_best_candidates(spark, sf):
+    return _per_mention(spark, sf, mt.best_candidates(_ranked(spark, sf)).select("m", "best_idx", "best_score"))
+
+
+@register("gated_mentions", o.with_(o.shortlist(), (
+    "SELECT mn.mention_id, b.best_score FROM mentions_norm mn JOIN best b ON b.m = mn.norm "
+    f"WHERE b.best_score > {mt.LOW_THRESHOLD}")))
+def q_gated_mentions(spark, sf):
+    return _per_mention(spark, sf, mt.gate(mt.best_candidates(_ranked(spark, sf))).select("m", "best_score"))
+
+
+def _prompts(spark, sf):
+    ranked = _ranked(spark, sf)
+    details = mt.candidate_details(ranked, _contribs_n(spark, sf))
+    return mt.adjudication_prompts(_mentions_n(spark, sf), details, mt.gate(mt.best_candidates(ranked))), details
+
+
+@register("adjudication_prompts", o.with_(o.adjudication_prompts(), "SELECT * FROM prompts"))
+def q_adjudication_prompts(spark, sf):
+    return _prompts(spark, sf)[0]
+
+
+@register("parse_adjudication", o.with_(o.parsed_adjudications(),
+                                        "SELECT mention_id, decision, index, reason FROM adj3"))
+def q_parse_adjudication(spark, sf):
+    return mt.parse_adjudication(fx.fx_adjudications(spark, sf)).select("mention_id", "decision", "index", "reason")
+
+
+def _decisions(spark, sf):
+    prompts, details = _prompts(spark, sf)
+    replies = fx.fx_adjudications(spark, sf).join(prompts.select("mention_id"), "mention_id", "left_semi")
+    return mt.resolve(mt.parse_adjudication(replies), _mentions_n(spark, sf), details)
+
+
+@register("resolve_decisions", o.with_(o.decisions(), "SELECT * FROM decisions"))
+def q_resolve_decisions(spark, sf):
+    return _decisions(spark, sf)
+
+
+@register("kept_matches", o.with_(o.decisions(), "SELECT * FROM kept"))
+def q_kept_matches(spark, sf):
+    return mt.kept_matches(_decisions(spark, sf))
+
+
+@register("match_report_lines", o.with_(o.decisions(), (
+    "SELECT CAST(-1 AS BIGINT) AS mention_id, x.n AS line_no, x.l AS line FROM unnest(["
+    "{'n': 0, 'l': 'Matches Report'}, {'n': 1, 'l': repeat('=', 40)}, {'n': 2, 'l': ''}]) AS t(x) "
+    "UNION ALL SELECT k.mention_id, x.n, x.l FROM kept k JOIN fx_mentions f USING (mention_id), unnest(["
+    "{'n': 0, 'l': 'Mention: ' || f.name}, {'n': 1, 'l': 'Decision: ' || k.decision}, "
+    "{'n': 2, 'l': ' - ' || k.detail}, {'n': 3, 'l': ''}]) AS t(x)")))
+def q_match_report_lines(spark, sf):
+    return mt.match_report_lines(mt.kept_matches(_decisions(spark, sf)), fx.fx_mentions(spark, sf))

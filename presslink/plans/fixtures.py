@@ -138,3 +138,48 @@ def fx_responses(spark: SparkSession, sf_dir: str, articles: DataFrame) -> DataF
                                  _obj(n2, F.lit("Partner firm")))))
     )
     return a.select("path", "seg", resp.alias("response"))
+
+
+def _suffix(k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in NAME_SUFFIXES]), (k % 5 + 1).cast("int"))
+
+
+def fx_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mention_id, name`` per part row: the part name (even keys), the name with one
+    letter removed (odd keys) or the brand (key % 3 = 2), plus a corporate suffix."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    name = F.col("p_name")
+    pos = ((k / 2).cast("long") % F.length(name) + 1).cast("int")
+    misspelled = F.concat(name.substr(F.lit(1), pos - 1), name.substr(pos + 1, F.length(name)))
+    base = F.when(k % 3 == 2, F.col("p_brand")).when(k % 2 == 1, misspelled).otherwise(name)
+    return p.select(k.alias("mention_id"), F.concat(base, _suffix(k)).alias("name"))
+
+
+def fx_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw contribution records ``idx, contributor_name, contributor_employer``
+    (employer missing when key % 11 = 0)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("idx"),
+        F.concat(F.col("p_name"), _suffix(k + 2)).alias("contributor_name"),
+        F.when(k % 11 != 0, F.concat(F.col("p_type"), F.lit(" "), F.col("p_name"))).alias("contributor_employer"))
+
+
+def fx_adjudications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjudication replies ``mention_id, reply, error`` by ``mention_id % 7``; a failed
+    call (NULL reply, error text) when ``mention_id % 17 = 16``."""
+    m = fx_mentions(spark, sf_dir).select("mention_id")
+    k = F.col("mention_id") % 7
+    reply = (
+        F.when(k == 0, F.lit('{"decision": "MATCH", "index": 1, "reason": "Same entity"}'))
+        .when(k == 1, F.lit('{"decision": "match", "index": 99, "reason": "Out of range"}'))
+        .when((k == 2) | (k == 6), F.lit('Result: {"decision": "NO_MATCH", "index": 0, "reason": "Generic overlap"}'))
+        .when(k == 3, F.lit('{"decision": "REVIEW", "index": 2, "reason": "Unclear"}'))
+        .when(k == 4, F.lit("The model could not decide."))
+        .otherwise(F.lit('{"decision": "MATCH", "index": "2", "reason": "Index given as text"}'))
+    )
+    failed = F.col("mention_id") % 17 == 16
+    return m.select("mention_id", F.when(~failed, reply).alias("reply"),
+                    F.when(failed, F.lit("APIError: request timed out")).alias("error"))

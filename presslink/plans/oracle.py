@@ -319,3 +319,173 @@ def exploded():
 def csv_field(e):
     return (f"(CASE WHEN regexp_matches({e}, '[\",' || chr(13) || chr(10) || ']') "
             f"THEN '\"' || replace({e}, '\"', '\"\"') || '\"' ELSE {e} END)")
+
+
+# ---------------------------------------------------------------- matching
+
+def normalize_name(e):
+    from presslink.functions.names import CORPORATE_SUFFIXES
+    s = f"lower(coalesce({e}, ''))"
+    s = f"regexp_replace({s}, {q(CORPORATE_SUFFIXES)}, '', 'g')"
+    s = f"regexp_replace({s}, '[^\\w\\s]', ' ', 'g')"
+    s = f"regexp_replace({s}, '\\s+', ' ', 'g')"
+    return strip(s)
+
+
+def _suffix(k):
+    from presslink.plans.fixtures import NAME_SUFFIXES
+    return f"{arr(NAME_SUFFIXES)}[({k}) % 5 + 1]"
+
+
+FX_MENTIONS = ("fx_mentions", (
+    "SELECT p_partkey AS mention_id, CASE WHEN p_partkey % 3 = 2 THEN p_brand "
+    "WHEN p_partkey % 2 = 1 THEN substr(p_name, 1, CAST((p_partkey // 2) % length(p_name) AS INTEGER)) || "
+    "substr(p_name, CAST((p_partkey // 2) % length(p_name) + 2 AS INTEGER)) ELSE p_name END || "
+    f"{_suffix('p_partkey')} AS name FROM part"))
+FX_CONTRIBUTIONS = ("fx_contributions", (
+    f"SELECT p_partkey AS idx, p_name || {_suffix('p_partkey + 2')} AS contributor_name, "
+    "CASE WHEN p_partkey % 11 <> 0 THEN p_type || ' ' || p_name END AS contributor_employer FROM part"))
+
+
+def mentions_norm():
+    return [FX_MENTIONS, ("mentions_norm", f"SELECT mention_id, name, {normalize_name('name')} AS norm FROM fx_mentions")]
+
+
+def contribs_norm():
+    return [FX_CONTRIBUTIONS, ("contribs_norm", (
+        f"SELECT idx, {strip('coalesce(contributor_name, ' + q('') + ')')} AS contributor_name, "
+        f"{strip('coalesce(contributor_employer, ' + q('') + ')')} AS contributor_employer FROM fx_contributions")),
+        ("contribs_n", (f"SELECT *, {normalize_name('contributor_name')} AS name_norm, "
+                        f"{normalize_name('contributor_employer')} AS emp_norm FROM contribs_norm"))]
+
+
+def _lcs(p, t):
+    mask = (f"list_sum(list_transform(range(length({p})), lambda i: CASE WHEN {p}[i+1] = ch "
+            f"THEN (1::BIGINT << i) ELSE 0::BIGINT END))")
+    full = f"((1::BIGINT << length({p})) - 1)"
+    return (f"(CASE WHEN length({p}) = 0 THEN 0 ELSE length({p}) - bit_count(list_reduce(string_split({t}, ''), "
+            f"lambda v, ch: ((v + (v & {mask})) | (v - (v & {mask}))) & {full}, {full})) END)")
+
+
+def token_set_stages(src: str, a: str, b: str, keep: str, prefix: str):
+    """CTEs scoring column pairs (a, b) of ``src``; ``keep`` columns pass through;
+    result CTE ``{prefix}_score`` has ``keep`` + ``score``."""
+    toks = lambda e: f"list_sort(list_distinct(list_filter(string_split({e}, ' '), lambda t: t <> '')))"
+    s1 = f"SELECT {keep}, {toks(a)} AS ta, {toks(b)} AS tb FROM {src}"
+    s2 = (f"SELECT {keep}, ta, tb, list_filter(ta, lambda t: list_contains(tb, t)) AS inter, "
+          f"list_filter(ta, lambda t: NOT list_contains(tb, t)) AS xa, "
+          f"list_filter(tb, lambda t: NOT list_contains(ta, t)) AS yb FROM {prefix}_t1")
+    s3 = (f"SELECT {keep}, len(ta) AS na, len(tb) AS nb, len(inter) AS ni, len(xa) AS nx, len(yb) AS ny, "
+          f"array_to_string(xa, ' ') AS sx, array_to_string(yb, ' ') AS sy, "
+          f"length(array_to_string(inter, ' ')) AS i FROM {prefix}_t2")
+    s4 = (f"SELECT *, length(sx) AS x, length(sy) AS y, CASE WHEN i > 0 THEN 1 ELSE 0 END AS s, "
+          f"CASE WHEN na = 0 OR nb = 0 OR (ni > 0 AND (nx = 0 OR ny = 0)) THEN NULL "
+          f"WHEN length(sx) <= length(sy) THEN {_lcs('sx', 'sy')} ELSE {_lcs('sy', 'sx')} END AS lcs "
+          f"FROM {prefix}_t3")
+    d = "CAST(100 AS DOUBLE)"
+    r0 = f"({d} - {d} * (x + y - 2 * lcs) / (i + s + x + i + s + y))"
+    sa = f"({d} - {d} * (s + x) / (i + i + s + x))"
+    sb = f"({d} - {d} * (s + y) / (i + i + s + y))"
+    s5 = (f"SELECT {keep}, CASE WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE "
+          f"WHEN ni > 0 AND (nx = 0 OR ny = 0) THEN 100.0::DOUBLE "
+          f"WHEN i = 0 THEN {r0} ELSE greatest({r0}, {sa}, {sb}) END AS score FROM {prefix}_t4")
+    return [(f"{prefix}_t1", s1), (f"{prefix}_t2", s2), (f"{prefix}_t3", s3), (f"{prefix}_t4", s4),
+            (f"{prefix}_score", s5)]
+
+
+def shortlist(k=5):
+    pairs = ("pairs", "SELECT DISTINCT m.norm AS m, f.field, f.c FROM (SELECT DISTINCT norm FROM mentions_norm) m, "
+             "(SELECT DISTINCT 'name' AS field, name_norm AS c FROM contribs_n UNION "
+             "SELECT DISTINCT 'employer', emp_norm FROM contribs_n) f")
+    recs = ("recs", "SELECT 'name' AS field, name_norm AS c, idx FROM contribs_n UNION ALL "
+                    "SELECT 'employer', emp_norm, idx FROM contribs_n")
+    top = ("topk", f"SELECT * FROM (SELECT p.m, p.field, r.idx, p.score, row_number() OVER (PARTITION BY p.m, p.field "
+                   f"ORDER BY p.score DESC, r.idx) AS rank FROM pair_score p JOIN recs r ON p.field = r.field AND "
+                   f"p.c = r.c) WHERE rank <= {k}")
+    merged = ("merged", (
+        "SELECT coalesce(n.m, e.m) AS m, coalesce(n.idx, e.idx) AS idx, n.rank AS name_rank, e.rank AS emp_rank, "
+        "coalesce(CAST(trunc(n.score) AS INTEGER), 0) AS name_score, "
+        "coalesce(CAST(trunc(e.score) AS INTEGER), 0) AS employer_score FROM "
+        "(SELECT * FROM topk WHERE field = 'name') n FULL OUTER JOIN (SELECT * FROM topk WHERE field = 'employer') e "
+        "ON n.m = e.m AND n.idx = e.idx"))
+    ranked = ("ranked", (
+        "SELECT *, row_number() OVER (PARTITION BY m ORDER BY greatest(name_score, employer_score) DESC, "
+        "CASE WHEN name_rank IS NOT NULL THEN 0 ELSE 1 END, coalesce(name_rank, emp_rank)) AS cand_rank, "
+        "count(*) OVER (PARTITION BY m) AS n_cands FROM merged"))
+    best = ("best", "SELECT m, idx AS best_idx, greatest(name_score, employer_score) AS best_score, n_cands "
+                    "FROM ranked WHERE cand_rank = 1")
+    return (mentions_norm() + contribs_norm() + [pairs] + token_set_stages("pairs", "m", "c", "m, field, c", "pair")
+            + [recs, top, merged, ranked, best])
+
+
+def details():
+    return shortlist() + [("details", "SELECT r.*, c.contributor_name, c.contributor_employer, c.name_norm, "
+                                      "c.emp_norm FROM ranked r JOIN contribs_n c USING (idx)")]
+
+
+def adjudication_prompts(low=62):
+    from presslink.operators.matching import ADJUDICATION_HEAD, ADJUDICATION_TAIL
+    line = ("CAST(cand_rank AS VARCHAR) || '. name=''' || contributor_name || ''' (norm=''' || name_norm || "
+            "'''), employer=''' || contributor_employer || ''' (norm=''' || emp_norm || '''), name_score=' || "
+            "CAST(name_score AS VARCHAR) || ', employer_score=' || CAST(employer_score AS VARCHAR)")
+    lines = ("cand_lines", f"SELECT m, string_agg({line}, chr(10) ORDER BY cand_rank) AS cands FROM details "
+                           f"WHERE m IN (SELECT m FROM best WHERE best_score > {low}) GROUP BY m")
+    head = "\n".join(ADJUDICATION_HEAD).replace("'", "''").replace("\n", "' || chr(10) || '")
+    tail = ADJUDICATION_TAIL.replace("'", "''")
+    prompts = ("prompts", (
+        f"SELECT mention_id, '{head}' || chr(10) || 'Company mention (original): ' || name || chr(10) || "
+        f"'Company mention (normalized): ' || norm || chr(10) || 'Candidates:' || chr(10) || cands || chr(10) || "
+        f"'{tail}' AS prompt FROM mentions_norm JOIN cand_lines ON norm = m"))
+    return details() + [lines, prompts]
+
+
+FX_ADJUDICATIONS = ("fx_adjudications", (
+    "SELECT mention_id, CASE WHEN mention_id % 17 = 16 THEN NULL WHEN mention_id % 7 = 0 THEN "
+    "'{\"decision\": \"MATCH\", \"index\": 1, \"reason\": \"Same entity\"}' WHEN mention_id % 7 = 1 THEN "
+    "'{\"decision\": \"match\", \"index\": 99, \"reason\": \"Out of range\"}' WHEN mention_id % 7 IN (2, 6) THEN "
+    "'Result: {\"decision\": \"NO_MATCH\", \"index\": 0, \"reason\": \"Generic overlap\"}' WHEN mention_id % 7 = 3 "
+    "THEN '{\"decision\": \"REVIEW\", \"index\": 2, \"reason\": \"Unclear\"}' WHEN mention_id % 7 = 4 THEN "
+    "'The model could not decide.' ELSE '{\"decision\": \"MATCH\", \"index\": \"2\", \"reason\": "
+    "\"Index given as text\"}' END AS reply, CASE WHEN mention_id % 17 = 16 THEN 'APIError: request timed out' "
+    "END AS error FROM fx_mentions"))
+
+
+def parsed_adjudications():
+    js = "regexp_extract(reply, '(?s)\\{.*\\}', 0)"
+    ok_json = f"(contains(reply, '{{') AND contains(reply, '}}') AND {js} <> '' AND json_valid({js}))"
+    it = f"json_type({js}, '$.index')"
+    idx_s = strip(f"json_extract_string({js}, '$.index')")
+    index = (f"CASE WHEN {it} IS NULL THEN 0 WHEN {it} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN "
+             f"CAST(trunc(CAST(json_extract({js}, '$.index') AS DOUBLE)) AS BIGINT) "
+             f"WHEN {it} = 'BOOLEAN' THEN CAST(CAST(json_extract({js}, '$.index') AS BOOLEAN) AS BIGINT) "
+             f"WHEN {it} = 'VARCHAR' AND regexp_matches({idx_s}, '^[+-]?[0-9]+$') THEN CAST({idx_s} AS BIGINT) END")
+
+    def pystr(key):
+        t = f"json_type({js}, '$.{key}')"
+        return (f"CASE WHEN {t} = 'NULL' THEN 'None' WHEN {t} = 'BOOLEAN' THEN CASE WHEN "
+                f"CAST(json_extract({js}, '$.{key}') AS BOOLEAN) THEN 'True' ELSE 'False' END "
+                f"ELSE json_extract_string({js}, '$.{key}') END")
+    a1 = ("adj1", f"SELECT mention_id, reply, error, {ok_json} AS json_ok FROM fx_adjudications")
+    a2 = ("adj2", f"SELECT *, CASE WHEN json_ok THEN {index} END AS idx_v FROM adj1")
+    a3 = ("adj3", (
+        "SELECT mention_id, reply, error, (json_ok AND idx_v IS NOT NULL) AS parse_ok, "
+        f"CASE WHEN json_ok AND idx_v IS NOT NULL THEN upper(coalesce({pystr('decision')}, 'REVIEW')) ELSE 'REVIEW' END "
+        "AS decision, CASE WHEN json_ok AND idx_v IS NOT NULL THEN idx_v ELSE 0 END AS index, "
+        f"CASE WHEN json_ok AND idx_v IS NOT NULL THEN coalesce({pystr('reason')}, '') ELSE "
+        "'Unparseable LLM response' END AS reason FROM adj2"))
+    return [FX_MENTIONS, FX_ADJUDICATIONS, a1, a2, a3]
+
+
+def decisions(low=62):
+    accept = ("'ACCEPT (' || CASE WHEN c.name_score >= c.employer_score THEN 'Name' ELSE 'Employer' END || ' score=' "
+              "|| CAST(greatest(c.name_score, c.employer_score) AS VARCHAR) || ') -> Contributor Name=''' || "
+              "c.contributor_name || ''', Contributor Employer=''' || c.contributor_employer || ''''")
+    res = ("decisions", (
+        f"SELECT a.mention_id, CASE WHEN a.error IS NOT NULL THEN 'REVIEW (LLM error)' "
+        f"WHEN a.decision = 'MATCH' AND c.idx IS NOT NULL THEN {accept} "
+        "WHEN a.decision = 'NO_MATCH' THEN 'NO_MATCH (LLM)' ELSE 'REVIEW (LLM)' END AS decision, "
+        "CASE WHEN a.error IS NOT NULL THEN a.error ELSE a.reason END AS detail "
+        "FROM adj3 a JOIN prompts p ON a.mention_id = p.mention_id JOIN mentions_norm mn ON mn.mention_id = a.mention_id "
+        "LEFT JOIN details c ON c.m = mn.norm AND c.cand_rank = a.index"))
+    kept = ("kept", "SELECT * FROM decisions WHERE starts_with(decision, 'ACCEPT') OR starts_with(decision, 'REVIEW')")
+    return adjudication_prompts(low) + parsed_adjudications() + [res, kept]
