@@ -464,3 +464,34 @@ def q_kept_matches(spark, sf):
     "{'n': 2, 'l': ' - ' || k.detail}, {'n': 3, 'l': ''}]) AS t(x)")))
 def q_match_report_lines(spark, sf):
     return mt.match_report_lines(mt.kept_matches(_decisions(spark, sf)), fx.fx_mentions(spark, sf))
+
+
+# ------------------------------------------------------------ 2.1 CSV round trips (S5 -> S3, S4)
+
+def _scratch(spark, name):
+    import uuid
+    from presslink.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-io/{name}-{uuid.uuid4().hex}"
+
+
+@register("load_mentions", o.with_([o.FX_MENTIONS], f"SELECT {o.strip('name')} AS name FROM fx_mentions "
+                                                         f"WHERE {o.strip('name')} <> ''"))
+def q_load_mentions(spark, sf):
+    from presslink.sources.csv import MENTION_COLUMN, read_mentions
+    path = _scratch(spark, "mentions")
+    (fx.fx_mentions(spark, sf).select(F.col("name").alias(MENTION_COLUMN))
+     .write.option("header", "true").option("escape", '"').csv(path))
+    return read_mentions(spark, path).select("name")
+
+
+@register("load_contributions", o.with_([o.FX_CONTRIBUTIONS], (
+    f"SELECT {o.strip('coalesce(contributor_name, ' + o.q('') + ')')} AS contributor_name, "
+    f"{o.strip('coalesce(contributor_employer, ' + o.q('') + ')')} AS contributor_employer FROM fx_contributions")))
+def q_load_contributions(spark, sf):
+    from presslink.sources.csv import CONTRIBUTOR_EMPLOYER, CONTRIBUTOR_NAME, read_contributions
+    path = _scratch(spark, "contributions")
+    (fx.fx_contributions(spark, sf).select(
+        F.col("idx").alias("Record Id"), F.col("contributor_name").alias(CONTRIBUTOR_NAME),
+        F.lit("extra column").alias("Memo"), F.col("contributor_employer").alias(CONTRIBUTOR_EMPLOYER))
+     .write.option("header", "true").option("escape", '"').csv(path))
+    return read_contributions(spark, path).select("contributor_name", "contributor_employer")
