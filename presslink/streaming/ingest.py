@@ -14,13 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from presslink.operators.articles import assemble_articles
 from presslink.session import ensure_checkpoint_dir
+
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 from presslink.sources.docx import PARAGRAPH_SCHEMA, _parse_files, corpus_paragraphs
 
 
 def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
                          checkpoint_location: str | None = None, available_now: bool = True,
                          max_files_per_trigger: int = 1000) -> StreamingQuery:
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.docx")
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", "*.docx")
              .option("maxFilesPerTrigger", max_files_per_trigger).load(input_dir))
     ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-stream/{abs(hash(output_path))}"
 
