@@ -81,10 +81,16 @@ def normalize_date(text) -> Column:
     )
 
 
+# Every date pattern contains four consecutive digits: text without them cannot match.
+DATE_GUARD = r"(?U)\d{4}"
+
+
 def extract_date_raw(text) -> Column:
-    """First date-looking fragment (group 1 of the first matching pattern), or NULL."""
+    """First date-looking fragment (group 1 of the first matching pattern), or NULL.
+    The cascade only runs on text with four consecutive digits (exact pre-test)."""
     t = col_(text)
-    return F.coalesce(*[F.nullif(F.regexp_extract(t, DATE_FLAGS + p, 1), F.lit("")) for p in DATE_PATTERNS])
+    cascade = F.coalesce(*[F.nullif(F.regexp_extract(t, DATE_FLAGS + p, 1), F.lit("")) for p in DATE_PATTERNS])
+    return F.when(t.rlike(DATE_GUARD), cascade)
 
 
 def extract_date(text) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,29 @@ SOURCE_PATTERNS = [
 
 SOURCE_FLAGS = "(?imdU)"
 
+# Literals every source pattern requires (lower case). A paragraph
+# containing none of them cannot match any pattern, so the cascade is skipped.
+# Outlet names already covered by a suffix word (e.g. "times", "post") are omitted.
+SOURCE_KEYWORDS = [
+    "copyright", "source:", "publication:",
+    "herald", "times", "post", "journal", "tribune", "globe", "daily", "news", "weekly", "magazine", "review",
+    "report", "wire", "press", "today", "business", "chronicle", "gazette", "bulletin", "record", "examiner",
+    "standard",
+    "reuters", "bloomberg", "cnn", "bbc", "npr", "sun sentinel",
+]
+# Characters that case-insensitive Unicode matching equates with ASCII letters
+# (dotless/dotted i, long s, Kelvin sign), folded before the keyword test.
+_FOLD_FROM, _FOLD_TO = "\u0131\u0130\u017f\u212a", "iisk"
+
+
+def source_guard(text) -> Column:
+    """Cheap exact pre-test: false means no source pattern can match."""
+    folded = F.lower(F.translate(col_(text), _FOLD_FROM, _FOLD_TO))
+    return reduce(lambda a, b: a | b, [folded.contains(k) for k in SOURCE_KEYWORDS])
+
 
 def extract_source(text) -> Column:
     """NULL when no pattern matches; ``coalesce`` stops at the first hit (T4)."""
     t = col_(text)
-    return F.coalesce(*[nonblank(F.regexp_extract(t, SOURCE_FLAGS + p, 1)) for p in SOURCE_PATTERNS])
+    cascade = F.coalesce(*[nonblank(F.regexp_extract(t, SOURCE_FLAGS + p, 1)) for p in SOURCE_PATTERNS])
+    return F.when(source_guard(t), cascade)

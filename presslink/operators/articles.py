@@ -28,18 +28,29 @@ def mark_boundaries(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("is_boundary", is_boundary("text"))
 
 
-def segment(paragraphs: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFrame:
     """``seg`` = number of boundaries at or before each paragraph in its path;
     boundary rows are removed.
 
     The running count is a two-level prefix sum so a path holding a large share
     of all rows never lands in one task: boundaries are counted per
     ``(path, ix div block)``, those small counts get a running total per path,
-    and each block only sorts its own rows.
+    and each block only sorts its own rows. The block counts need their own pass
+    over the input (an exact prefix sum is two-pass); ``block=None`` gives the
+    single-window form for inputs whose paths are bounded (one Word file each).
     """
     b = is_boundary("text").cast("int")
+    if block is None:
+        # Each path is small (one Word file): a plain running count per path.
+        w = Window.partitionBy("path").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+        return (paragraphs.withColumn("_b", b).withColumn("seg", F.sum("_b").over(w).cast("long"))
+                .filter(F.col("_b") == 0).drop("_b"))
     df = paragraphs.withColumn("_b", b).withColumn("_blk", F.floor(F.col("ix") / F.lit(block)))
-    per_block = df.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb"))
+    # One shuffle by (path, block) feeds both the block counts and the in-block
+    # running count (the same exchange, reused); the per-path running total then
+    # runs over the tiny block table only.
+    shuffled = df.repartition("path", "_blk")
+    per_block = shuffled.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb"))
     offsets = per_block.select(
         "path", "_blk",
         F.coalesce(
@@ -50,14 +61,13 @@ def segment(paragraphs: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     )
     local = F.sum("_b").over(
         Window.partitionBy("path", "_blk").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0))
-    out = (
-        df.withColumn("_local", local)
+    return (
+        shuffled.withColumn("_local", local)
         .join(offsets, ["path", "_blk"], "inner")
         .withColumn("seg", (F.col("_off") + F.col("_local")).cast("long"))
         .filter(F.col("_b") == 0)
         .drop("_b", "_blk", "_local", "_off")
     )
-    return out
 
 
 def annotate_paragraphs(segmented: DataFrame) -> DataFrame:
@@ -114,7 +124,7 @@ def build_articles(summary: DataFrame, default_source: str = DEFAULT_SOURCE,
 
 
 def assemble_articles(paragraphs: DataFrame, default_source: str = DEFAULT_SOURCE,
-                      default_date: str = DEFAULT_DATE, block: int = DEFAULT_BLOCK) -> DataFrame:
+                      default_date: str = DEFAULT_DATE, block: int | None = DEFAULT_BLOCK) -> DataFrame:
     """Raw paragraphs -> articles ``(path, seg, title, source, date, content, raw_text)``."""
     seg = segment(clean_paragraphs(paragraphs), block=block)
     return build_articles(segment_summary(seg), default_source, default_date)

@@ -29,6 +29,7 @@ from presslink.functions.names import normalize_name
 from presslink.functions.replies import has_braces, slice_json
 from presslink.functions.similarity import lcs_length
 from presslink.functions.text import strip
+from presslink.session import materialize
 
 TOP_K = 5
 LOW_THRESHOLD = 62
@@ -142,6 +143,9 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
     ``mention_norms(m)`` distinct; ``cands(field, c, idxs)`` from
     :func:`contributor_strings`. Returns ``m, field, rank, idx, score``.
     """
+    # Both inputs are read twice (size check, then the scan): checkpoint them once.
+    mention_norms = materialize(mention_norms)
+    cands = materialize(cands)
     n_m = mention_norms.count()
     n_c = cands.count()
     b = max(1, math.ceil(n_m / mention_block))

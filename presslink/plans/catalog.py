@@ -19,6 +19,7 @@ from presslink.operators import reports as rpt
 from presslink.functions.replies import slice_json, truncate_description
 from presslink.plans import fixtures as fx
 from presslink.plans import oracle as o
+from presslink.session import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -132,7 +133,9 @@ def q_build_articles(spark, sf):
 # ------------------------------------------------------------ 2.4 annotation
 
 def _attached(spark, sf):
-    a = fx_articles(spark, sf)
+    # The reply fixture is derived from the articles and joined back to them:
+    # checkpoint the articles once instead of assembling them twice.
+    a = materialize(fx_articles(spark, sf))
     return ann.attach_responses(a, fx.fx_responses(spark, sf, a))
 
 
@@ -335,7 +338,8 @@ def _top(spark, sf):
 
 
 def _ranked(spark, sf):
-    return mt.rank_candidates(mt.merge_candidates(_top(spark, sf)))
+    # Ranked shortlists feed both the candidate details and the gate.
+    return materialize(mt.rank_candidates(mt.merge_candidates(_top(spark, sf))))
 
 
 def _per_mention(spark, sf, df):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslink.functions.text import ascii_only
+from presslink.session import spread
 
 # Fixed values used by the fixture layout (ours, mirrored in the oracle SQL).
 MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select("doc_id", "source", ascii_only("text").alias("text"))
 
 

@@ -28,7 +28,7 @@ def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
 
     def process(batch: DataFrame, batch_id: int) -> None:
         corpus = batch.select("path", "content").mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
-        assemble_articles(corpus_paragraphs(corpus)).write.mode("append").parquet(output_path)
+        assemble_articles(corpus_paragraphs(corpus), block=None).write.mode("append").parquet(output_path)
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
