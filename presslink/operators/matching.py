@@ -149,7 +149,9 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
     n_m = mention_norms.count()
     n_c = cands.count()
     b = max(1, math.ceil(n_m / mention_block))
-    p = max(1, math.ceil(n_c / contrib_block))
+    # Enough contributor blocks to bound each group and to use every core.
+    cores = cands.sparkSession.sparkContext.defaultParallelism
+    p = max(1, math.ceil(n_c / contrib_block), min(cores, n_c))
     m_rep = mention_norms.select(
         "m", F.pmod(F.xxhash64("m"), F.lit(b)).alias("mb"),
         F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("cb"))
