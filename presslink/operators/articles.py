@@ -45,7 +45,7 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
         w = Window.partitionBy("path").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
         return (paragraphs.withColumn("_b", b).withColumn("seg", F.sum("_b").over(w).cast("long"))
                 .filter(F.col("_b") == 0).drop("_b"))
-    df = paragraphs.withColumn("_b", b).withColumn("_blk", F.floor(F.col("ix") / F.lit(block)))
+    df = paragraphs.withColumn("_b", b).withColumn("_blk", F.expr(f"ix div {int(block)}"))
     # One shuffle by (path, block) feeds both the block counts and the in-block
     # running count (the same exchange, reused); the per-path running total then
     # runs over the tiny block table only.

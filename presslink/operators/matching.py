@@ -102,11 +102,16 @@ def _score(a: _Tokens, b: _Tokens, floor: float) -> float:
     return max(r0, side)
 
 
+def _frame(m, f, i, s) -> pd.DataFrame:
+    return pd.DataFrame({"m": pd.Series(m, dtype=object), "field": pd.Series(f, dtype=object),
+                         "idx": pd.Series(i, dtype="int64"), "score": pd.Series(s, dtype="float64")})
+
+
 def _block_topk(k: int):
     def run(mentions: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
         out_m, out_f, out_i, out_s = [], [], [], []
         if mentions.empty or cands.empty:
-            return pd.DataFrame({"m": out_m, "field": out_f, "idx": out_i, "score": out_s})
+            return _frame(out_m, out_f, out_i, out_s)
         groups = {}
         for field, sub in cands.groupby("field"):
             groups[field] = [(_Tokens(c), list(ix)) for c, ix in zip(sub["c"], sub["idxs"])]
@@ -132,7 +137,7 @@ def _block_topk(k: int):
                     out_f.append(field)
                     out_i.append(-nix)
                     out_s.append(sc)
-        return pd.DataFrame({"m": out_m, "field": out_f, "idx": out_i, "score": out_s})
+        return _frame(out_m, out_f, out_i, out_s)
     return run
 
 

@@ -3,8 +3,9 @@
 The batch rules are reused unchanged through ``foreachBatch``: an article never
 spans two files, so each micro-batch of whole files is processed exactly like
 the batch job and appended to the article table. The stream checkpoint records
-which files were done, so a restarted job (or a lost executor) neither skips
-nor repeats a file's articles.
+which files were done, and each micro-batch overwrites its own ``batch_id=``
+partition, so a restarted job or a re-run batch neither skips nor repeats a
+file's articles.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
     ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-stream/{abs(hash(output_path))}"
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        # foreachBatch may re-run a batch after a failure: each batch overwrites its
+        # own partition, so a retry replaces rather than duplicates its articles.
         corpus = batch.select("path", "content").mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
-        assemble_articles(corpus_paragraphs(corpus), block=None).write.mode("append").parquet(output_path)
+        (assemble_articles(corpus_paragraphs(corpus), block=None)
+         .write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch_id={batch_id}"))
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
