@@ -16,10 +16,10 @@ Plan (exact, no pair is ever emitted as a row):
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +27,16 @@ from pyspark.sql.types import DoubleType
 
 from presslink.functions.names import normalize_name
 from presslink.functions.replies import has_braces, slice_json
-from presslink.functions.similarity import lcs_length
+from presslink.functions.similarity import token_set_ratio
 from presslink.functions.text import strip
 from presslink.session import materialize
 
 TOP_K = 5
 LOW_THRESHOLD = 62
 HIGH_THRESHOLD = 93          # read by the reference configuration, never used for a decision (T11)
-MENTION_BLOCK = 4096         # distinct mention strings per cogroup
-CONTRIB_BLOCK = 20000        # distinct contributor strings per cogroup
+MENTION_BLOCK = 8192         # distinct mention strings per cogroup (upper bound)
+MIN_MENTION_BLOCK = 32       # smallest mention block worth its own group
+CONTRIB_BLOCK = 50000        # distinct contributor strings per cogroup (vector length)
 
 FIELDS = {"name": "contributor_name", "employer": "contributor_employer"}
 
@@ -67,39 +68,104 @@ def contributor_strings(contribs_norm: DataFrame, k: int = TOP_K) -> DataFrame:
 
 # ------------------------------------------------------------------ K1 inside tasks
 
-class _Tokens:
-    __slots__ = ("set", "n")
-
-    def __init__(self, s: str):
-        self.set = frozenset(s.split())
-        self.n = len(s)
-
-
-def _joined_len(tokens) -> int:
-    return sum(map(len, tokens)) + max(len(tokens) - 1, 0)
-
-
-def _score(a: _Tokens, b: _Tokens, floor: float) -> float:
-    """Token-set ratio; returns early with the bound when it cannot beat ``floor``."""
-    ta, tb = a.set, b.set
-    if not ta or not tb:
-        return 0.0
-    inter = ta & tb
-    xa, yb = ta - tb, tb - ta
-    if inter and (not xa or not yb):
-        return 100.0
-    i, x, y = _joined_len(inter), _joined_len(xa), _joined_len(yb)
-    s = 1 if i else 0
+class _FieldBlock:
+    """The contributor strings of one field in one block, prepared for vector scoring."""
+
+    def __init__(self, strings, idxs, alphabet: dict[str, int]):
+        self.strings = list(strings)
+        n = len(self.strings)
+        self.idxs = [list(x) for x in idxs]
+        self.min_idx = np.array([x[0] if len(x) else np.iinfo(np.int64).max for x in self.idxs], dtype=np.int64)
+        toks = [set(c.split()) for c in self.strings]
+        self.n_tok = np.array([len(t) for t in toks], dtype=np.int64)
+        self.tok_len = np.array([sum(map(len, t)) for t in toks], dtype=np.int64)
+        postings: dict[str, list[int]] = {}
+        for j, t in enumerate(toks):
+            for w in t:
+                postings.setdefault(w, []).append(j)
+        self.postings = {w: np.array(v, dtype=np.int64) for w, v in postings.items()}
+        # sorted token strings (the i = 0 comparison side) as a padded code matrix
+        joined = [" ".join(sorted(t)) for t in toks]
+        width = max((len(x) for x in joined), default=0)
+        self.codes = np.zeros((n, width), dtype=np.int32)
+        for j, x in enumerate(joined):
+            for q, ch in enumerate(x):
+                code = alphabet.get(ch)
+                if code is None:
+                    code = alphabet[ch] = len(alphabet) + 1
+                self.codes[j, q] = code
+
+
+def _lcs_many(pattern: str, block: _FieldBlock, alphabet: dict[str, int]) -> np.ndarray:
+    """LCS(pattern, each joined contributor string), bit-parallel over one uint64 per
+    candidate (pattern length <= 63). Padding codes have an empty match mask, which
+    leaves the state unchanged, so ragged lengths need no masking."""
+    m = len(pattern)
+    n = len(block.strings)
+    if m == 0 or n == 0:
+        return np.zeros(n, dtype=np.int64)
+    table = np.zeros(len(alphabet) + 2, dtype=np.uint64)
+    for q, ch in enumerate(pattern):
+        code = alphabet.get(ch)
+        if code is not None:
+            table[code] |= np.uint64(1) << np.uint64(q)
+    full = np.uint64((1 << m) - 1)
+    v = np.full(n, full, dtype=np.uint64)
+    for col in range(block.codes.shape[1]):
+        u = v & table[block.codes[:, col]]
+        v = ((v + u) | (v - u)) & full
+    return m - np.bitwise_count(v).astype(np.int64)
+
+
+def _scores(m: str, block: _FieldBlock, alphabet: dict[str, int]) -> np.ndarray:
+    """Exact token-set ratio of ``m`` against every string of the block (vectorised)."""
+    n = len(block.strings)
+    ta = set(m.split())
+    if not ta or n == 0:
+        return np.zeros(n)
+    n_a, len_a = len(ta), sum(map(len, ta))
+    inter_n = np.zeros(n, dtype=np.int64)
+    inter_len = np.zeros(n, dtype=np.int64)
+    for w in ta:
+        hit = block.postings.get(w)
+        if hit is not None:
+            inter_n[hit] += 1
+            inter_len[hit] += len(w)
+    xn, yn = n_a - inter_n, block.n_tok - inter_n
+    i = inter_len + np.maximum(inter_n - 1, 0)
+    x = (len_a - inter_len) + np.maximum(xn - 1, 0)
+    y = (block.tok_len - inter_len) + np.maximum(yn - 1, 0)
+    s = (inter_n > 0).astype(np.int64)
     l1, l2 = i + s + x, i + s + y
-    side = 0.0
-    if i:
-        side = max(100.0 - 100.0 * (s + x) / (i + l1), 100.0 - 100.0 * (s + y) / (i + l2))
-    bound = max(100.0 - 100.0 * abs(x - y) / (l1 + l2), side)
-    if bound < floor:
-        return bound  # cannot enter the current top-k; exact value not needed
-    sx, sy = " ".join(sorted(xa)), " ".join(sorted(yb))
-    r0 = 100.0 - 100.0 * (x + y - 2 * lcs_length(sx, sy)) / (l1 + l2)
-    return max(r0, side)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        side = np.where(i > 0, np.maximum(100.0 - 100.0 * (s + x) / (i + l1), 100.0 - 100.0 * (s + y) / (i + l2)),
+                        0.0)
+        r0_bound = 100.0 - 100.0 * np.abs(x - y) / (l1 + l2)
+        score = np.where(r0_bound <= side, side, np.nan)
+        none_shared = inter_n == 0
+        if none_shared.any():
+            pattern = " ".join(sorted(ta))
+            if len(pattern) <= 63:
+                lcs = _lcs_many(pattern, block, alphabet)
+                r0 = 100.0 - 100.0 * (x + y - 2 * lcs) / (x + y)
+                score = np.where(none_shared, r0, score)
+    score = np.where(block.n_tok == 0, 0.0, score)
+    score = np.where((inter_n > 0) & ((xn == 0) | (yn == 0)), 100.0, score)
+    todo = np.flatnonzero(np.isnan(score))
+    for j in todo:   # shared tokens with a length bound above the side ratios, or long names
+        score[j] = token_set_ratio(m, block.strings[j])
+    return score
+
+
+def _topk_records(score: np.ndarray, block: _FieldBlock, k: int) -> list[tuple[float, int]]:
+    """Top-k records by (score desc, idx asc): only the k best strings by
+    (score, smallest idx) can hold them."""
+    if len(score) == 0:
+        return []
+    order = np.lexsort((block.min_idx, -score))[:k]
+    recs = [(float(score[j]), ix) for j in order for ix in block.idxs[j][:k]]
+    recs.sort(key=lambda t: (-t[0], t[1]))
+    return recs[:k]
 
 
 def _frame(m, f, i, s) -> pd.DataFrame:
@@ -112,30 +178,14 @@ def _block_topk(k: int):
         out_m, out_f, out_i, out_s = [], [], [], []
         if mentions.empty or cands.empty:
             return _frame(out_m, out_f, out_i, out_s)
-        groups = {}
-        for field, sub in cands.groupby("field"):
-            groups[field] = [(_Tokens(c), list(ix)) for c, ix in zip(sub["c"], sub["idxs"])]
+        alphabet: dict[str, int] = {}
+        blocks = {field: _FieldBlock(sub["c"], sub["idxs"], alphabet) for field, sub in cands.groupby("field")}
         for m in mentions["m"]:
-            tm = _Tokens(m)
-            for field, rows in groups.items():
-                heap: list[tuple[float, int]] = []   # min-heap of (score, -idx): worst kept on top
-                for tc, idxs in rows:
-                    floor = heap[0][0] if len(heap) >= k else -1.0
-                    sc = _score(tm, tc, floor)
-                    if sc < floor:
-                        continue
-                    for ix in idxs:
-                        item = (sc, -ix)
-                        if len(heap) < k:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
-                        else:
-                            break  # idxs ascending: later ones rank lower
-                for sc, nix in heap:
+            for field, block in blocks.items():
+                for sc, ix in _topk_records(_scores(m, block, alphabet), block, k):
                     out_m.append(m)
                     out_f.append(field)
-                    out_i.append(-nix)
+                    out_i.append(ix)
                     out_s.append(sc)
         return _frame(out_m, out_f, out_i, out_s)
     return run
@@ -153,10 +203,11 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
     cands = materialize(cands)
     n_m = mention_norms.count()
     n_c = cands.count()
-    b = max(1, math.ceil(n_m / mention_block))
-    # Enough contributor blocks to bound each group and to use every core.
+    # Contributor blocks stay large (long vectors in the scorer); mention blocks
+    # bound each group and give at least one group per core.
     cores = cands.sparkSession.sparkContext.defaultParallelism
-    p = max(1, math.ceil(n_c / contrib_block), min(cores, n_c))
+    b = max(1, math.ceil(n_m / mention_block), min(cores, math.ceil(n_m / MIN_MENTION_BLOCK)))
+    p = max(1, math.ceil(n_c / contrib_block))
     m_rep = mention_norms.select(
         "m", F.pmod(F.xxhash64("m"), F.lit(b)).alias("mb"),
         F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("cb"))
