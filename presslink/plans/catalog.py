@@ -162,18 +162,29 @@ def q_extraction_prompts(spark, sf):
     return ann.extraction_prompt(fx_articles(spark, sf)).select("path", "seg", "prompt")
 
 
+STUB_NAME_PATTERN = r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"
+
+
 def stub_extractor(prompt: str) -> str:
     """Deterministic stand-in for a model: names the capitalised two-word phrases of
     the article body (a real deployment passes its own client function)."""
     import json
     import re
     body = prompt.split("\nContent: ", 1)[-1].split("\n\nMANDATORY CHECKLIST", 1)[0]
-    names = re.findall(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b", body)
+    names = re.findall(STUB_NAME_PATTERN, body)
     return json.dumps({"company_mentions": [{"company_name": n, "description": "Named in the article"}
                                             for n in dict.fromkeys(names)]})
 
 
-@register("annotate_stub")
+def _stub_sql():
+    names = f"list_distinct(regexp_extract_all(content, {o.q(STUB_NAME_PATTERN)}, 1))"
+    keep = f"NOT ({o.is_publication('n', 'source')} OR {o.is_party('n')})"
+    return o.with_(o.articles(), (
+        f"SELECT path, seg, 'ok' AS status, CAST(len(list_filter({names}, lambda n: {keep})) AS BIGINT) "
+        "AS n_mentions FROM articles"))
+
+
+@register("annotate_stub", _stub_sql())
 def q_annotate_stub(spark, sf):
     prompts = ann.extraction_prompt(fx_articles(spark, sf)).select("path", "seg", "title", "source", "date", "prompt")
     out = ann.annotate(prompts, stub_extractor)
