@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslink.functions.text import col_, nonblank, strip
+from presslink.functions.text import cached_column, col_, nonblank, strip
 
 _FULL = "January|February|March|April|May|June|July|August|September|October|November|December"
 _ABBR = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -57,6 +57,7 @@ def _g(s: Column, pattern: str, i: int) -> Column:
     return F.regexp_extract(s, pattern, i)
 
 
+@cached_column
 def normalize_date(text) -> Column:
     """Rewrite a date string to ``YYYY-MM-DD``; missing month/day become ``01``;
     anything unrecognised is returned stripped but otherwise unchanged."""
@@ -85,6 +86,7 @@ def normalize_date(text) -> Column:
 DATE_GUARD = r"(?U)\d{4}"
 
 
+@cached_column
 def extract_date_raw(text) -> Column:
     """First date-looking fragment (group 1 of the first matching pattern), or NULL.
     The cascade only runs on text with four consecutive digits (exact pre-test)."""
@@ -93,6 +95,7 @@ def extract_date_raw(text) -> Column:
     return F.when(t.rlike(DATE_GUARD), cascade)
 
 
+@cached_column
 def extract_date(text) -> Column:
     """Extracted and normalised publication date, NULL when the text has none."""
     return nonblank(normalize_date(extract_date_raw(text)))

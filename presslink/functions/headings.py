@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslink.functions.text import col_, split_words
+from presslink.functions.text import cached_column, col_, split_words
 
 # Phrases that mark a paragraph as metadata, never a title.
 SKIP_PHRASES = [
@@ -25,6 +25,7 @@ def _any(cs) -> Column:
     return reduce(lambda a, b: a | b, cs)
 
 
+@cached_column
 def is_heading(text, style, first_bold) -> Column:
     """Boolean heading flag of an already stripped, non-empty paragraph."""
     t, st, bold = col_(text), col_(style), col_(first_bold)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslink.functions.text import col_, strip
+from presslink.functions.text import cached_column, col_, strip
 
 # Corporate suffix words removed before matching.
 CORPORATE_SUFFIXES = r"\b(incorporated|inc|llc|l\.l\.c\.|ltd|co|corp|corporation|plc)\b"
 
 
+@cached_column
 def normalize_name(c) -> Column:
     """lower → drop suffix words → punctuation to space → collapse spaces → strip."""
     s = F.lower(F.coalesce(col_(c), F.lit("")))

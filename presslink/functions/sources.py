@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslink.functions.text import col_, nonblank
+from presslink.functions.text import cached_column, col_, nonblank
 
 # The source patterns, in priority order. They are matched
 # case-insensitively with ^ at every line start; Python's Unicode classes
@@ -52,6 +52,7 @@ def source_guard(text) -> Column:
     return reduce(lambda a, b: a | b, [folded.contains(k) for k in SOURCE_KEYWORDS])
 
 
+@cached_column
 def extract_source(text) -> Column:
     """NULL when no pattern matches; ``coalesce`` stops at the first hit (T4)."""
     t = col_(text)

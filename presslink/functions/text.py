@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,23 @@ WS_CLASS = r"[\s\x1c-\x1f]"
 BOUNDARY = "end of document"
 
 
+def cached_column(fn):
+    """Memoise a rule built from column *names* (Columns are reusable expression trees;
+    building a large one costs many JVM round trips). Keyed by the running context."""
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        if not all(isinstance(a, (str, int)) for a in args):
+            return fn(*args)
+        key = (id(SparkContext._active_spark_context), args)
+        col = cache.get(key)
+        if col is None:
+            col = cache[key] = fn(*args)
+        return col
+    return wrapper
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

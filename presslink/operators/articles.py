@@ -70,13 +70,14 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
     )
 
 
-def annotate_paragraphs(segmented: DataFrame) -> DataFrame:
-    """Per-paragraph rule results feeding the segment aggregate."""
-    return (
-        segmented.withColumn("is_heading", is_heading("text", "style", "first_bold"))
-        .withColumn("src", extract_source("text"))
-        .withColumn("dt", extract_date("text"))
-    )
+def annotate_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """Per-paragraph rule results (heading flag, source, date) feeding the segment
+    aggregate. Applied before segmentation so the regex work runs in the input stage."""
+    if "is_heading" in paragraphs.columns:
+        return paragraphs
+    return paragraphs.select(
+        "*", is_heading("text", "style", "first_bold").alias("is_heading"),
+        extract_source("text").alias("src"), extract_date("text").alias("dt"))
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:
@@ -94,12 +95,10 @@ def segment_summary(segmented: DataFrame) -> DataFrame:
         F.collect_list(F.struct("ix", "text")).alias("_parts"),
     )
     parts = F.array_sort(F.filter("_parts", lambda x: F.col("title_ix").isNull() | (x["ix"] != F.col("title_ix"))))
-    return (
-        agg.withColumn("_parts", parts)
-        .withColumn("n_parts", F.size("_parts"))
-        .withColumn("content", F.array_join(F.transform("_parts", lambda x: x["text"]), "\n"))
-        .drop("_parts")
-    )
+    return agg.select(
+        "path", "seg", "title_ix", "title", "source", "date",
+        F.size(parts).alias("n_parts"),
+        F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("content"))
 
 
 def build_articles(summary: DataFrame, default_source: str = DEFAULT_SOURCE,
@@ -126,5 +125,5 @@ def build_articles(summary: DataFrame, default_source: str = DEFAULT_SOURCE,
 def assemble_articles(paragraphs: DataFrame, default_source: str = DEFAULT_SOURCE,
                       default_date: str = DEFAULT_DATE, block: int | None = DEFAULT_BLOCK) -> DataFrame:
     """Raw paragraphs -> articles ``(path, seg, title, source, date, content, raw_text)``."""
-    seg = segment(clean_paragraphs(paragraphs), block=block)
+    seg = segment(annotate_paragraphs(clean_paragraphs(paragraphs)), block=block)
     return build_articles(segment_summary(seg), default_source, default_date)

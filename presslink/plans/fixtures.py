@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslink.functions.text import ascii_only
+from presslink.functions.text import ascii_only, cached_column
 from presslink.session import spread
 
 # Fixed values used by the fixture layout (ours, mirrored in the oracle SQL).
@@ -78,7 +78,11 @@ def _para(ix: Column, text: Column, style: Column, bold: Column) -> Column:
 
 def fx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw paragraphs ``path, ix, text, style, first_bold`` (one scan, one explode)."""
-    d = fx_documents(spark, sf_dir)
+    return fx_documents(spark, sf_dir).select(F.col("source").alias("path"), _paragraph_rows())
+
+
+@cached_column
+def _paragraph_rows() -> Column:
     doc = F.col("doc_id")
     base = doc * F.lit(LINE_STRIDE)
     normal, no = F.lit("Normal"), F.lit(False)
@@ -91,8 +95,7 @@ def fx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        lambda line, i: _para(base + 3 + i, line, normal, (i == 0) & (doc % 7 == 0)))
     end = _para(base + END_POS, F.lit("End of Document"), normal, no)
     head = F.filter(F.array(title, src, dt), lambda x: x.isNotNull())
-    return d.select(F.col("source").alias("path"),
-                    F.inline(F.concat(head, body, F.array(end))))
+    return F.inline(F.concat(head, body, F.array(end)))
 
 
 def fx_paragraphs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
