@@ -46,21 +46,35 @@ def _style_names(z: zipfile.ZipFile) -> tuple[dict[str, str], str | None]:
     return names, default
 
 
-def _paragraph_text(p) -> str:
+def _run_text(r) -> str:
     out = []
-    for el in p.iter():
+    for el in r:
         tag = el.tag
         if tag == W + "t":
             out.append(el.text or "")
         elif tag in (W + "tab", W + "ptab"):
             out.append("\t")
-        elif tag in (W + "br", W + "cr"):
+        elif tag == W + "br":
+            out.append("\n" if el.get(W + "type") in (None, "textWrapping") else "")
+        elif tag == W + "cr":
             out.append("\n")
         elif tag == W + "noBreakHyphen":
             out.append("-")
     return "".join(out)
 
 
+def _paragraph_text(p) -> str:
+    """Text of the paragraph's own runs and hyperlink runs (not tracked insertions,
+    fields or nested content controls)."""
+    out = []
+    for child in p:
+        if child.tag == W + "r":
+            out.append(_run_text(child))
+        elif child.tag == W + "hyperlink":
+            out.extend(_run_text(r) for r in child.findall(W + "r"))
+    return "".join(out)
+
+
 def parse_docx(content: bytes) -> list[tuple[str, str | None, bool]]:
     """Body paragraphs (not table cells) as ``(text, style name, first run bold)``."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -71,7 +85,7 @@ def parse_docx(content: bytes) -> list[tuple[str, str | None, bool]]:
         return rows
     for p in body.findall(W + "p"):
         ps = p.find(f"{W}pPr/{W}pStyle")
-        style = names.get(ps.get(W + "val"), ps.get(W + "val")) if ps is not None else default
+        style = names.get(ps.get(W + "val"), default) if ps is not None else default
         runs = p.findall(W + "r")
         bold = _on(runs[0].find(f"{W}rPr/{W}b")) if runs else None
         rows.append((_paragraph_text(p), style, bool(bold)))

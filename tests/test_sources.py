@@ -79,3 +79,21 @@ def test_streaming_ingest(spark, tmp_path):
     titles = sorted(r.title for r in spark.read.parquet(out).select("title").collect())
     assert titles == ["Test Article Title", "Test Article Title", "quiet bold headline text"]
     assert spark.read.parquet(out).filter(F.col("path").endswith("b.docx")).count() == 1
+
+
+def test_paragraph_text_rules(tmp_path):
+    import zipfile
+    from conftest import W_NS
+    doc = (f'<w:document xmlns:w="{W_NS}"><w:body>'
+           '<w:p><w:r><w:t>A</w:t><w:tab/><w:t>B</w:t><w:br/><w:t>C</w:t><w:br w:type="page"/></w:r>'
+           '<w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink><w:ins><w:r><w:t>inserted</w:t></w:r></w:ins></w:p>'
+           '<w:p><w:pPr><w:pStyle w:val="Missing"/></w:pPr><w:r><w:t>x</w:t></w:r></w:p>'
+           '</w:body></w:document>')
+    p = tmp_path / "t.docx"
+    with zipfile.ZipFile(p, "w") as z:
+        z.writestr("word/document.xml", doc)
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{W_NS}"><w:style w:type="paragraph" w:default="1" '
+                                      'w:styleId="Normal"><w:name w:val="Normal"/></w:style></w:styles>')
+    rows = parse_docx(p.read_bytes())
+    assert rows[0][0] == "A\tB\nClink"
+    assert rows[1][1] == "Normal"
