@@ -1 +1 @@
-"""Fixture derivations, the query catalog, SQL oracles and end-to-end pipelines."""
+"""Fixture derivations, the query catalog, SQL oracles and end-to-end flows."""

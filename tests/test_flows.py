@@ -5,7 +5,7 @@ import os
 
 from conftest import paragraphs_df
 
-from presslink.plans.pipeline import analyze_news, match_contributions, write_news
+from presslink.plans.flows import analyze_news, match_contributions, write_news
 from presslink.sources.sinks import write_match_report
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from presslink.functions.similarity import token_set_ratio
 from presslink.operators import matching as mt
-from presslink.plans.pipeline import match_contributions
+from presslink.plans.flows import match_contributions
 
 
 def test_token_set_ratio_goldens():
