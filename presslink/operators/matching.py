@@ -29,7 +29,7 @@ from presslink.functions.names import normalize_name
 from presslink.functions.replies import has_braces, slice_json
 from presslink.functions.similarity import token_set_ratio
 from presslink.functions.text import strip
-from presslink.session import materialize
+from presslink.session import cores, materialize
 
 TOP_K = 5
 LOW_THRESHOLD = 62
@@ -205,8 +205,7 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
     n_c = cands.count()
     # Contributor blocks stay large (long vectors in the scorer); mention blocks
     # bound each group and give at least one group per core.
-    cores = cands.sparkSession.sparkContext.defaultParallelism
-    b = max(1, math.ceil(n_m / mention_block), min(cores, math.ceil(n_m / MIN_MENTION_BLOCK)))
+    b = max(1, math.ceil(n_m / mention_block), min(cores(cands.sparkSession), math.ceil(n_m / MIN_MENTION_BLOCK)))
     p = max(1, math.ceil(n_c / contrib_block))
     m_rep = mention_norms.select(
         "m", F.pmod(F.xxhash64("m"), F.lit(b)).alias("mb"),

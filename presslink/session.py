@@ -43,12 +43,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
         current = tempfile.mkdtemp(prefix="presslink-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set(CHECKPOINT_CONF, current)
+        except Exception:  # noqa: BLE001 - some deployments lock core settings at runtime
+            pass
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(current)
+    except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
+        pass
     return current
 
 
+def cores(spark: SparkSession) -> int:
+    """Cluster parallelism (default parallelism), with a configuration fallback."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
@@ -63,7 +77,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores
     (e.g. one small file with one row group) so per-row work is parallel; on
     large inputs the scan already has enough splits and this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    n = cores(df.sparkSession)
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (remote session): leave as is
+        return df
+    return df.repartition(n) if parts < n else df
