@@ -53,3 +53,27 @@ def test_match_flow_with_function_and_report_file(spark, tmp_path):
     accept = "Decision: ACCEPT (Name score=100) -> Contributor Name='Acme Widgets LLC', Contributor Employer='Other'"
     assert lines == ["Matches Report", "=" * 40, "", "Mention: Acme Widgets", accept, " - same", "",
                      "Mention: Acme Widgets", accept, " - same", ""]
+
+
+def test_extraction_prompt_content(spark):
+    from presslink.operators.annotate import extraction_prompt
+    a = spark.createDataFrame([("p", 0, "Test Article", "Test Source", "2024-01-15", "Body 100% here {x}")],
+                              "path string, seg long, title string, source string, date string, content string")
+    prompt = extraction_prompt(a).first().prompt
+    assert "Title: Test Article\nSource: Test Source\nDate: 2024-01-15\nContent: Body 100% here {x}" in prompt
+    assert prompt.count("Test Source") == 2
+    assert '"company_mentions": [' in prompt and "{{" not in prompt
+    assert "maximum 300 characters" in prompt
+
+
+def test_empty_input_gives_zero_totals(spark):
+    from presslink.operators.annotate import annotation_audit
+    from presslink.operators.replies import parse_mentions
+    empty = paragraphs_df(spark, [])
+    res = analyze_news(empty, reply_fn=lambda p: "{}")
+    t = res.totals.first()
+    assert (t.total_articles, t.articles_with_mentions, t.total_mentions) == (0, 0, 0)
+    assert res.breakdown.count() == 0
+    none = spark.createDataFrame([], "response string")
+    audit = annotation_audit(parse_mentions(none)).first()
+    assert (audit.ok, audit.failed, audit.total, audit.success_rate) == (0, 0, 0, 0.0)
