@@ -11,7 +11,7 @@ from presslink.operators import annotate as ann
 from presslink.operators import matching as mt
 from presslink.operators import replies as rep
 from presslink.operators import reports as rpt
-from presslink.operators.articles import assemble_articles
+from presslink.operators.articles import DEFAULT_BLOCK, assemble_articles
 from presslink.options import Options
 from presslink.session import materialize
 from presslink.sources import sinks
@@ -28,10 +28,15 @@ class NewsResult:
 
 
 def analyze_news(paragraphs: DataFrame, responses: DataFrame | None = None,
-                 reply_fn: Callable[[str], str] | None = None, opts: Options = Options()) -> NewsResult:
+                 reply_fn: Callable[[str], str] | None = None, opts: Options = Options(),
+                 block: int | None = DEFAULT_BLOCK) -> NewsResult:
     """Paragraphs -> articles -> replies (a reply table, or ``reply_fn`` run once per
-    article) -> analyses -> mention rows and summaries."""
-    articles = assemble_articles(paragraphs, opts.default_source, opts.default_date)
+    article) -> analyses -> mention rows and summaries.
+
+    ``block=None`` segments each path in one window (right for Word corpora, where a
+    path is one file); the default two-level form is safe for arbitrarily large paths.
+    """
+    articles = assemble_articles(paragraphs, opts.default_source, opts.default_date, block=block)
     if reply_fn is not None:
         replied = ann.annotate(ann.extraction_prompt(articles), reply_fn).drop("prompt")
     elif responses is not None:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presslink.session import materialize
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 PARAGRAPH_SCHEMA = "path string, ix long, text string, style string, first_bold boolean, error string"
@@ -115,18 +117,21 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(cols)
 
 
-def read_docx_corpus(spark: SparkSession, directory: str) -> DataFrame:
+def read_docx_corpus(spark: SparkSession, directory: str, persist: bool = True) -> DataFrame:
     """Every ``*.docx`` directly in ``directory`` -> ``path, ix, text, style, first_bold, error``.
 
     Paragraph rows have ``error`` NULL and ``ix`` set; a file that failed has one
     row with ``error`` set; an empty document has one row with both NULL.
     Raises ``FileNotFoundError`` when the directory holds no Word files.
+    The parsed corpus feeds both article assembly and the audit, so by default it
+    is checkpointed once (files are parsed exactly once).
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx")
              .option("recursiveFileLookup", "false").load(directory).select("path", "content"))
     if files.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"No .docx files found in {directory}")
-    return files.mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
+    corpus = files.mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
+    return materialize(corpus) if persist else corpus
 
 
 def corpus_paragraphs(corpus: DataFrame) -> DataFrame:
