@@ -52,23 +52,3 @@ def token_set_ratio(a: str, b: str) -> float:
     if not i:
         return r0
     return max(r0, _ratio(s + x, i + l1), _ratio(s + y, i + l2))
-
-
-def token_set_ratio_bound(a: str, b: str) -> float:
-    """Upper bound of ``token_set_ratio`` that needs no LCS (LCS <= min(x, y))."""
-    ta, tb = set(a.split()), set(b.split())
-    if not ta or not tb:
-        return 0.0
-    inter = [t for t in ta if t in tb]
-    xa, yb = ta - tb, tb - ta
-    if inter and (not xa or not yb):
-        return 100.0
-    i = sum(map(len, inter)) + max(len(inter) - 1, 0)
-    x = sum(map(len, xa)) + max(len(xa) - 1, 0)
-    y = sum(map(len, yb)) + max(len(yb) - 1, 0)
-    s = 1 if i else 0
-    l1, l2 = i + s + x, i + s + y
-    r0 = _ratio(abs(x - y), l1 + l2)
-    if not i:
-        return r0
-    return max(r0, _ratio(s + x, i + l1), _ratio(s + y, i + l2))
