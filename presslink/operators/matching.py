@@ -207,12 +207,18 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
     # bound each group and give at least one group per core.
     b = max(1, math.ceil(n_m / mention_block), min(cores(cands.sparkSession), math.ceil(n_m / MIN_MENTION_BLOCK)))
     p = max(1, math.ceil(n_c / contrib_block))
+    # Block keys are LONG on both sides: co-partitioning needs identical key types.
     m_rep = mention_norms.select(
-        "m", F.pmod(F.xxhash64("m"), F.lit(b)).alias("mb"),
-        F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("cb"))
+        "m", F.pmod(F.xxhash64("m"), F.lit(b).cast("long")).alias("mb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("cb"))
     c_rep = cands.select(
-        "field", "c", "idxs", F.pmod(F.xxhash64("field", "c"), F.lit(p)).alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("mb"))
+        "field", "c", "idxs", F.pmod(F.xxhash64("field", "c"), F.lit(p).cast("long")).alias("cb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))).alias("mb"))
+    # One partition per block pair, fixed by the user-side repartition so AQE keeps
+    # the scorer's parallelism instead of coalescing small (but CPU-heavy) groups.
+    n = b * p
+    m_rep = m_rep.repartition(n, "mb", "cb")
+    c_rep = c_rep.repartition(n, "mb", "cb")
     local = (m_rep.groupBy("mb", "cb").cogroup(c_rep.groupBy("mb", "cb"))
              .applyInPandas(_block_topk(k), "m string, field string, idx long, score double"))
     w = Window.partitionBy("m", "field").orderBy(F.col("score").desc(), F.col("idx"))
