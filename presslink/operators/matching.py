@@ -203,10 +203,12 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
     cands = materialize(cands)
     n_m = mention_norms.count()
     n_c = cands.count()
-    # Contributor blocks stay large (long vectors in the scorer); mention blocks
-    # bound each group and give at least one group per core.
-    b = max(1, math.ceil(n_m / mention_block), min(cores(cands.sparkSession), math.ceil(n_m / MIN_MENTION_BLOCK)))
+    # Contributor blocks stay large (long vectors in the scorer). Mention blocks bound
+    # each group; beyond that, only enough of them to give about one group per core
+    # (each extra mention block replicates every contributor string once more).
     p = max(1, math.ceil(n_c / contrib_block))
+    want = math.ceil(cores(cands.sparkSession) / p)
+    b = max(1, math.ceil(n_m / mention_block), min(want, math.ceil(n_m / MIN_MENTION_BLOCK)))
     # Block keys are LONG on both sides: co-partitioning needs identical key types.
     m_rep = mention_norms.select(
         "m", F.pmod(F.xxhash64("m"), F.lit(b).cast("long")).alias("mb"),
