@@ -17,7 +17,6 @@ Plan (exact, no pair is ever emitted as a row):
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
