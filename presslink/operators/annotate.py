@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from presslink.session import materialize
+from presslink.session import arrow_batch, materialize
+
+ROWS_PER_BATCH = 256
 
 # Fixed value: the extraction prompt; {title}, {source}, {date}, {content} are
 # filled per article ({source} appears twice).
@@ -123,7 +125,10 @@ def annotate(df: DataFrame, fn: Callable[[str], str], prompt_col: str = "prompt"
             yield pdf.assign(response=responses, error=errors)
 
     out = df.mapInPandas(run, schema)
-    return materialize(out) if persist else out
+    if not persist:
+        return out
+    with arrow_batch(df.sparkSession, ROWS_PER_BATCH):   # prompts carry whole articles
+        return materialize(out)
 
 
 def attach_responses(articles: DataFrame, responses: DataFrame, keys=("path", "seg")) -> DataFrame:

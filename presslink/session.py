@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -83,3 +84,21 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 - no RDD view (remote session): leave as is
         return df
     return df.repartition(n) if parts < n else df
+
+
+ARROW_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def arrow_batch(spark: SparkSession, rows: int):
+    """Run the enclosed (eager) execution with at most ``rows`` rows per Arrow batch,
+    for Python steps whose rows are large (whole files, long prompts)."""
+    old = spark.conf.get(ARROW_BATCH_CONF, None)
+    spark.conf.set(ARROW_BATCH_CONF, str(rows))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(ARROW_BATCH_CONF)
+        else:
+            spark.conf.set(ARROW_BATCH_CONF, old)

@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslink.session import materialize
+from presslink.session import arrow_batch, materialize
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 PARAGRAPH_SCHEMA = "path string, ix long, text string, style string, first_bold boolean, error string"
+FILES_PER_BATCH = 16   # Arrow batch of binaryFile rows handed to one Python call
 
 
 def _on(el) -> bool | None:
@@ -131,7 +132,10 @@ def read_docx_corpus(spark: SparkSession, directory: str, persist: bool = True)
     if files.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"No .docx files found in {directory}")
     corpus = files.mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
-    return materialize(corpus) if persist else corpus
+    if not persist:
+        return corpus
+    with arrow_batch(spark, FILES_PER_BATCH):   # a row is a whole file
+        return materialize(corpus)
 
 
 def corpus_paragraphs(corpus: DataFrame) -> DataFrame:

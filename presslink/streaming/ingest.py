@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from presslink.operators.articles import assemble_articles
-from presslink.session import ensure_checkpoint_dir
+from presslink.session import arrow_batch, ensure_checkpoint_dir
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-from presslink.sources.docx import PARAGRAPH_SCHEMA, _parse_files, corpus_paragraphs
+from presslink.sources.docx import FILES_PER_BATCH, PARAGRAPH_SCHEMA, _parse_files, corpus_paragraphs
 
 
 def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
@@ -31,8 +31,9 @@ def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
         # foreachBatch may re-run a batch after a failure: each batch overwrites its
         # own partition, so a retry replaces rather than duplicates its articles.
         corpus = batch.select("path", "content").mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
-        (assemble_articles(corpus_paragraphs(corpus), block=None)
-         .write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch_id={batch_id}"))
+        with arrow_batch(batch.sparkSession, FILES_PER_BATCH):
+            (assemble_articles(corpus_paragraphs(corpus), block=None)
+             .write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch_id={batch_id}"))
 
     writer = files.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
