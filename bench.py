@@ -38,6 +38,12 @@ def main():
     times = {n: round(run(n, spark, sf), 3) for n in names}
     paragraphs = catalog.QUERIES["clean_paragraphs"](spark, sf).count()
     t_art = times.get("build_articles")
+    # scored pairs per field = distinct mention strings x distinct contributor strings
+    n_m = catalog._mentions_n(spark, sf).select("norm").distinct().count()
+    cn = catalog._contribs_n(spark, sf)
+    pairs = {"name": n_m * cn.select("name_norm").distinct().count(),
+             "employer": n_m * cn.select("emp_norm").distinct().count()}
+    t_names = times.get("topk_names")
     out = {
         "metric": "headline_total_sec",
         "value": round(sum(times.values()), 3),
@@ -47,6 +53,9 @@ def main():
         "cpus": int(os.environ.get("BENCH_CPUS", "8")),
         "cold_total_sec": round(sum(cold.values()), 3),
         "article_assembly_paragraphs_per_sec": round(paragraphs / t_art, 1) if t_art else None,
+        # each top-k query scores both fields (the block scorer handles them together)
+        "fuzzy_join_pairs_per_sec": round((pairs["name"] + pairs["employer"]) / t_names, 1) if t_names else None,
+        "fuzzy_join_pairs": pairs["name"] + pairs["employer"],
     }
     print(json.dumps(out))
 

@@ -10,6 +10,8 @@ file's articles.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,7 +27,9 @@ def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
                          max_files_per_trigger: int = 1000) -> StreamingQuery:
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", "*.docx")
              .option("maxFilesPerTrigger", max_files_per_trigger).load(input_dir))
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-stream/{abs(hash(output_path))}"
+    # Stable across processes (Python's hash() is salted per run), so a restart finds its state.
+    key = hashlib.sha1(output_path.encode("utf-8")).hexdigest()[:20]
+    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-stream/{key}"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # foreachBatch may re-run a batch after a failure: each batch overwrites its
