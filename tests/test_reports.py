@@ -57,3 +57,9 @@ def test_summary_file(spark, tmp_path):
     assert lines == ["Summary Statistics", "Total Articles Processed,3", "Articles with Company Mentions,2",
                      "Total Company Mentions,3", "Unique Companies Mentioned,2", "", "Publication Breakdown",
                      "Publication,Articles,Total Mentions", "Publication A,2,3", "Publication B,1,0"]
+
+
+def test_summary_quotes_publication_with_comma(spark):
+    a = spark.createDataFrame([("p", 0, "T", 'Daily, "The" Post', "2024-01-01", [("X", "d")])], SCHEMA)
+    lines = [r.line for r in rpt.summary_report(a).orderBy("ord", "key").collect()]
+    assert lines[-1] == '"Daily, ""The"" Post",1,1'
