@@ -43,6 +43,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared checkpoint folder; create a scratch one only when unset (tests)."""
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        try:
+            existing = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001
+            existing = None
+        if existing:
+            return existing
         current = tempfile.mkdtemp(prefix="presslink-ckpt-")
         try:
             spark.conf.set(CHECKPOINT_CONF, current)
