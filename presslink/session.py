@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
+        if spark.conf.get(CHECKPOINT_CONF, None) is None:
+            return spark.sparkContext.getCheckpointDir()   # the setting could not be stored
     except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
         pass
     return current
