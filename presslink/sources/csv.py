@@ -44,3 +44,20 @@ def read_contributions(spark: SparkSession, path: str) -> DataFrame:
         if col not in df.columns:
             raise ValueError(f"CF CSV missing required column: {col}")
     return read_contributions_table(df, "_row", f"`{CONTRIBUTOR_NAME}`", f"`{CONTRIBUTOR_EMPLOYER}`")
+
+
+def contributions_to_table(spark: SparkSession, csv_path: str, out_path: str) -> DataFrame:
+    """Convert contribution CSV files once to Parquet, keeping ``idx`` (file order) and
+    ``source_file``, then read the table back: later jobs scan it in parallel splits
+    instead of one task per multi-line CSV file."""
+    df = _read_csv(spark, csv_path)
+    for col in (CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER):
+        if col not in df.columns:
+            raise ValueError(f"CF CSV missing required column: {col}")
+    (df.select(
+        F.col("_row").alias("idx"),
+        strip(F.coalesce(F.col(f"`{CONTRIBUTOR_NAME}`"), F.lit(""))).alias("contributor_name"),
+        strip(F.coalesce(F.col(f"`{CONTRIBUTOR_EMPLOYER}`"), F.lit(""))).alias("contributor_employer"),
+        "source_file")
+     .write.mode("overwrite").parquet(out_path))
+    return spark.read.parquet(out_path)

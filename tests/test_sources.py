@@ -97,3 +97,13 @@ def test_paragraph_text_rules(tmp_path):
     rows = parse_docx(p.read_bytes())
     assert rows[0][0] == "A\tB\nClink"
     assert rows[1][1] == "Normal"
+
+
+def test_contributions_to_table(spark, tmp_path):
+    from presslink.sources.csv import contributions_to_table
+    c = tmp_path / "c.csv"
+    c.write_text("Contributor Name,Contributor Employer\nAcme Widgets LLC,Other\n Bob ,\n", encoding="utf-8")
+    t = contributions_to_table(spark, str(c), str(tmp_path / "table"))
+    rows = [(r.contributor_name, r.contributor_employer) for r in t.orderBy("idx").collect()]
+    assert rows == [("Acme Widgets LLC", "Other"), ("Bob", "")]
+    assert set(t.columns) == {"idx", "contributor_name", "contributor_employer", "source_file"}
