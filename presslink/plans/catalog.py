@@ -144,7 +144,8 @@ def _parsed(spark, sf):
 
 
 def _analyses(spark, sf):
-    return rep.build_analyses(_parsed(spark, sf))
+    # Reports read the analyses several times (totals, names, breakdown): parse once.
+    return materialize(rep.build_analyses(_parsed(spark, sf)))
 
 
 def _prompt_sql():
