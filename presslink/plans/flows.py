@@ -74,7 +74,7 @@ def match_contributions(mentions: DataFrame, contributions: DataFrame, replies:
     mn = mt.normalize_mentions(mentions)
     cn = mt.normalize_contributions(contributions)
     ranked = materialize(mt.shortlist(mn, cn, opts.top_k, **blocks))
-    details = mt.candidate_details(ranked, cn)
+    details = materialize(mt.candidate_details(ranked, cn))   # read by prompts and decisions
     gated = mt.gate(mt.best_candidates(ranked), opts.low_threshold)
     prompts = mt.adjudication_prompts(mn, details, gated)
     if reply_fn is not None:
