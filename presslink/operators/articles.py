@@ -46,11 +46,10 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
         return (paragraphs.withColumn("_b", b).withColumn("seg", F.sum("_b").over(w).cast("long"))
                 .filter(F.col("_b") == 0).drop("_b"))
     df = paragraphs.withColumn("_b", b).withColumn("_blk", F.expr(f"ix div {int(block)}"))
-    # One shuffle by (path, block) feeds both the block counts and the in-block
-    # running count (the same exchange, reused); the per-path running total then
-    # runs over the tiny block table only.
-    shuffled = df.repartition("path", "_blk")
-    per_block = shuffled.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb"))
+    # Block counts: partial (map-side) aggregation, so only one small count per
+    # (path, block) and input split is shuffled; their running total per path runs
+    # over that tiny table.
+    per_block = df.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb"))
     offsets = per_block.select(
         "path", "_blk",
         F.coalesce(
@@ -62,7 +61,7 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
     local = F.sum("_b").over(
         Window.partitionBy("path", "_blk").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0))
     return (
-        shuffled.withColumn("_local", local)
+        df.withColumn("_local", local)
         .join(offsets, ["path", "_blk"], "inner")
         .withColumn("seg", (F.col("_off") + F.col("_local")).cast("long"))
         .filter(F.col("_b") == 0)
