@@ -36,8 +36,9 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
     of all rows never lands in one task: boundaries are counted per
     ``(path, ix div block)``, those small counts get a running total per path,
     and each block only sorts its own rows. The block counts need their own pass
-    over the input (an exact prefix sum is two-pass); ``block=None`` gives the
-    single-window form for inputs whose paths are bounded (one Word file each).
+    over the input (an exact prefix sum is two-pass); it aggregates map-side, so
+    only partial counts are shuffled. ``block=None`` gives the single-window form
+    for inputs whose paths are bounded (one Word file each).
     """
     b = is_boundary("text").cast("int")
     if block is None:
