@@ -27,6 +27,12 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("source_file", F.input_file_name()))
 
 
+def _require_contribution_columns(df: DataFrame) -> None:
+    for col in (CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER):
+        if col not in df.columns:
+            raise ValueError(f"CF CSV missing required column: {col}")
+
+
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
     """``mention_id, name, source_file``: names stripped, blanks dropped, duplicates kept."""
     df = _read_csv(spark, path)
@@ -40,9 +46,7 @@ def read_mentions(spark: SparkSession, path: str) -> DataFrame:
 def read_contributions(spark: SparkSession, path: str) -> DataFrame:
     """``idx, contributor_name, contributor_employer``; only the two fields are read."""
     df = _read_csv(spark, path)
-    for col in (CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER):
-        if col not in df.columns:
-            raise ValueError(f"CF CSV missing required column: {col}")
+    _require_contribution_columns(df)
     return read_contributions_table(df, "_row", f"`{CONTRIBUTOR_NAME}`", f"`{CONTRIBUTOR_EMPLOYER}`")
 
 
@@ -51,9 +55,7 @@ def contributions_to_table(spark: SparkSession, csv_path: str, out_path: str) ->
     ``source_file``, then read the table back: later jobs scan it in parallel splits
     instead of one task per multi-line CSV file."""
     df = _read_csv(spark, csv_path)
-    for col in (CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER):
-        if col not in df.columns:
-            raise ValueError(f"CF CSV missing required column: {col}")
+    _require_contribution_columns(df)
     (df.select(
         F.col("_row").alias("idx"),
         strip(F.coalesce(F.col(f"`{CONTRIBUTOR_NAME}`"), F.lit(""))).alias("contributor_name"),
