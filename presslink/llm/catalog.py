@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from presslink.llm import warc
+from pyspark.sql import functions as F
+
+from presslink.llm import simhash, warc
 from presslink.llm.common import read_table
 
 
@@ -10,6 +12,15 @@ def op1_warc(spark, sf_dir):
     return warc.page_digests(read_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op4_simhash(spark, sf_dir):
+    d = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, max_distance=4)
+    return d.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"),
+                    F.col("component").alias("component_id"))
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op4_simhash": op4_simhash,
+}
 
 ORACLES = {"op1_warc": warc.ORACLE_OP1}

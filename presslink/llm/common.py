@@ -181,3 +181,52 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = h * _U(_BASE) + words[i:i + n]
     return mix(h)
+
+
+# -- arrays dealt by bucket -----------------------------------------------------------------------
+# Millions of small records travel as a few binary rows: a task sorts its records by bucket and sends
+# one row per bucket with the records' columns as bytes. The number of buckets grows with the input, so
+# a bucket's content stays bounded.
+
+def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One row ``bucket, n, c0, c1, ...`` per bucket that occurs; equal buckets keep their order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, np.int64)
+    bounds = np.concatenate([[0], cut, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    n = np.diff(bounds)
+    out = [pa.array(bucket[bounds[:-1]].astype(np.int32)), pa.array(n.astype(np.int32))]
+    for c in columns:
+        c = np.ascontiguousarray(c[order])
+        off = (bounds * c.dtype.itemsize).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(c.tobytes())]))
+    return pa.RecordBatch.from_arrays(out, names=["bucket", "n", *(f"c{i}" for i in range(len(columns)))])
+
+
+def packed_schema(columns: int) -> str:
+    return ", ".join(["bucket int", "n int", *(f"c{i} binary" for i in range(columns))])
+
+
+def unpack(batches, dtypes: list):
+    """(bucket, arrays) for each bucket of a stream of packed rows that is sorted by bucket."""
+    now, parts = None, []
+
+    def done():
+        return now, [np.concatenate([np.frombuffer(p[i], d) for p in parts]) for i, d in enumerate(dtypes)]
+
+    for batch in batches:
+        buckets = batch.column("bucket").to_pylist()
+        columns = [batch.column(f"c{i}") for i in range(len(dtypes))]
+        for r, bucket in enumerate(buckets):
+            if bucket != now and parts:
+                yield done()
+                parts = []
+            now = bucket
+            parts.append([c[r].as_buffer() for c in columns])
+    if parts:
+        yield done()
+
+
+def to_buckets(packed: DataFrame, buckets: int) -> DataFrame:
+    """All rows of a bucket to one task, buckets in order."""
+    return packed.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket")
