@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import simhash, warc
+from presslink.llm import simhash, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -18,9 +18,15 @@ def op4_simhash(spark, sf_dir):
                     F.col("component").alias("component_id"))
 
 
+def op9_suffix(spark, sf_dir):
+    d = suffix.dedup(read_table(spark, sf_dir, "documents"), min_len=50)
+    return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_simhash": op4_simhash,
+    "op9_suffix": op9_suffix,
 }
 
 ORACLES = {"op1_warc": warc.ORACLE_OP1}
