@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import simhash, suffix, warc
+from presslink.llm import langid, packing, simhash, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -12,12 +12,26 @@ def op1_warc(spark, sf_dir):
     return warc.page_digests(read_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op3_langid(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 def op4_simhash(spark, sf_dir):
     d = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, max_distance=4)
     return d.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"),
                     F.col("component").alias("component_id"))
 
 
+def op5_packing(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                  max_len=4096, end_id=1)
+    return packing.pack(pieces, max_len=4096).withColumnRenamed("id", "doc_id")
+
+
 def op9_suffix(spark, sf_dir):
     d = suffix.dedup(read_table(spark, sf_dir, "documents"), min_len=50)
     return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -25,7 +39,9 @@ def op9_suffix(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op9_suffix": op9_suffix,
 }
 
