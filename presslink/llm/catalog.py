@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import langid, packing, simhash, suffix, warc
+from presslink.llm import langid, licenses, mixing, packing, quality, simhash, sketch, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -32,17 +32,40 @@ def op5_packing(spark, sf_dir):
     return packing.pack(pieces, max_len=4096).withColumnRenamed("id", "doc_id")
 
 
+def op6_sketch(spark, sf_dir):
+    d = sketch.with_next(read_table(spark, sf_dir, "documents"), k=256, shingle=5)
+    return d.withColumnRenamed("id", "doc_id")
+
+
+def op7_licenses(spark, sf_dir):
+    return licenses.scan(read_table(spark, sf_dir, "documents"), min_dice=0.8).withColumnRenamed("id", "doc_id")
+
+
+def op8_mixing(spark, sf_dir):
+    d = mixing.taken(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3)
+    return d.withColumnRenamed("id", "doc_id")
+
+
 def op9_suffix(spark, sf_dir):
     d = suffix.dedup(read_table(spark, sf_dir, "documents"), min_len=50)
     return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_quality(spark, sf_dir):
+    d = quality.clean(read_table(spark, sf_dir, "documents"), with_text=False)
+    return d.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_sketch": op6_sketch,
+    "op7_licenses": op7_licenses,
+    "op8_mixing": op8_mixing,
     "op9_suffix": op9_suffix,
+    "op10_quality": op10_quality,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE_OP1}
+ORACLES = {"op1_warc": warc.ORACLE_OP1, "op7_licenses": licenses.oracle()}
