@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import langid, licenses, mixing, packing, quality, simhash, sketch, suffix, warc
+from presslink.llm import chaining, langid, licenses, mixing, packing, quality, simhash, sketch, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -12,6 +12,11 @@ def op1_warc(spark, sf_dir):
     return warc.page_digests(read_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op2_chaining(spark, sf_dir):
+    d = chaining.passages(read_table(spark, sf_dir, "documents"), k=5, min_words=25, min_similarity=0.8)
+    return d.withColumnRenamed("id", "doc_id").withColumnRenamed("ref_id", "ref_doc_id")
+
+
 def op3_langid(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
     model = langid.train(docs.where(~F.col("held_out")))
@@ -58,6 +63,7 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_chaining": op2_chaining,
     "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,

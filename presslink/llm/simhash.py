@@ -63,15 +63,16 @@ def fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp``: one row per row of ``docs`` (fp: the 64 bits as a signed long)."""
+    """``id, tag, fp``: one row per row of ``docs`` (fp: the 64 bits as a signed long; tag: a hash of the text)."""
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, k) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.fromiter((fingerprint(t, k) for t in b.column(2).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(
+        run, "id long, tag long, fp long")
 
 
 # -- Golay code -----------------------------------------------------------------------------------
@@ -318,7 +319,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 4, max_distance: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``id, fp, component`` per row; component: the smallest id of all rows it is linked with."""
+    """``id, tag, fp, root, component`` per row; component: the smallest id of all rows it is linked with; tag: a hash
+    of the text, which tells rows that repeat an id apart; root: the component's name, also where it has no id."""
     fps = store(fingerprints(docs, k, id_col, text_col), "simhash-fp")
     nodes = store(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(fuzzy_links(nodes, max_distance))
@@ -326,8 +328,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, max_distance: int = 4, id_col:
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     own = store(own, "simhash-roots")
     least = own.groupBy("root").agg(F.min("least").alias("component"))
-    table = store(own.join(least, "root").select("fp", "component"), "simhash-components")
-    return deal(fps, table, "fp", "left").select("id", "fp", "component")
+    table = store(own.join(least, "root").select("fp", "root", "component"), "simhash-components")
+    return deal(fps, table, "fp", "left").select("id", "tag", "fp", "root", "component")
+
+
+def keep_first(docs: DataFrame, k: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the row with the smallest id (nulls last), then tag, once."""
+    found = near_duplicates(docs, k, max_distance, id_col, text_col)
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tag"))
+    stay = found.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.tag").alias("_tag"))
+    own = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
+    kept = own.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")), "left_semi")
+    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
 
 
 def hex_fingerprint(column: str = "fp"):

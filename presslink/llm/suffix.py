@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslink.llm.common import (_BASE, _BASE_INV, BYTE_CODE, _powers, column_bytes, deal, mix, pack, pieces,
-                                  store, to_buckets)
+from presslink.llm.common import (_BASE, _BASE_INV, _powers, BYTE_CODE, column_bytes, deal, mix, pack, pieces, store,
+                                  to_buckets)
 
 GROUP_BYTES = 4 << 20          # text of a group
 BUCKET_ANCHORS = 400_000       # anchors of a bucket
@@ -377,7 +377,7 @@ def _match(min_len: int):
     return run
 
 
-RESULT = "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+RESULT = "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string"
 
 
 def _cut_pass(min_len: int, keep_text: bool):
@@ -418,8 +418,8 @@ def _cut_pass(min_len: int, keep_text: bool):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
             kept = raw[offsets[i]:offsets[i + 1]][~own].tobytes()
             out.append((name, int(own.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist(),
-                        kept if keep_text else None))
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
+                        kept.decode("utf-8", "ignore") if keep_text else None))
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
         fields = ["digest", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
         return pa.Table.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=fields)
 
@@ -441,7 +441,8 @@ def _distinct(batches):
 def dedup(docs: DataFrame, min_len: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False,
           group_bytes: int = GROUP_BYTES, bucket_anchors: int = BUCKET_ANCHORS, wide: int = WIDE) -> DataFrame:
     """Per row of ``docs``: ``id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (starts and ends of the removed
-    runs in turn) and, with ``keep_text``, ``kept`` (the bytes that stay)."""
+    runs in turn) and, with ``keep_text``, ``kept`` (the text that stays; a character that a cut breaks goes whole; null
+    where nothing is removed from a text too short to have a match)."""
     if min_len < 2:
         raise ValueError("min_len must be 2 bytes or more")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -480,4 +481,4 @@ def dedup(docs: DataFrame, min_len: int = 50, id_col: str = "doc_id", text_col:
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
         F.when(copy, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(
             F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
-        *([F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []))
+        *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep_text else []))
