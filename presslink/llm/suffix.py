@@ -418,7 +418,7 @@ def _cut_pass(min_len: int, keep_text: bool):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
             kept = raw[offsets[i]:offsets[i + 1]][~own].tobytes()
             out.append((name, int(own.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist(),
-                        kept.decode("utf-8", "ignore") if keep_text else None))
+                        kept.decode("utf-8", "ignore") if keep_text and len(edge) else None))
         types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
         fields = ["digest", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
         return pa.Table.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=fields)
@@ -442,7 +442,7 @@ def dedup(docs: DataFrame, min_len: int = 50, id_col: str = "doc_id", text_col:
           group_bytes: int = GROUP_BYTES, bucket_anchors: int = BUCKET_ANCHORS, wide: int = WIDE) -> DataFrame:
     """Per row of ``docs``: ``id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (starts and ends of the removed
     runs in turn) and, with ``keep_text``, ``kept`` (the text that stays; a character that a cut breaks goes whole; null
-    where nothing is removed from a text too short to have a match)."""
+    where nothing is removed)."""
     if min_len < 2:
         raise ValueError("min_len must be 2 bytes or more")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
