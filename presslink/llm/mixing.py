@@ -36,7 +36,7 @@ from presslink.llm.common import store
 WEIGHTS = (1, 2, 3)
 MAX_SOURCES = 100_000
 BLOCK_DOCS = 500
-SHARD_BLOCKS = 64
+SHARD_BLOCKS = 16
 SUPER = 1024
 
 
@@ -68,6 +68,7 @@ class Mix:
     sources: DataFrame         # sid, source, source_size, target, blocks
     draws: DataFrame           # sid, block, pass, shard, part (only picked rows)
     picks: DataFrame           # sid, block, h
+    shards: int
     seed: int
 
 
@@ -119,7 +120,8 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     picks = of_part.groupBy("sid").applyInArrow(_pick, "sid int, block long, h long")
     has_part = {i for i in range(len(found)) if left[i] > 0 and whole[i] < blocks[i]}
     draws = [passes[i] * blocks[i] + whole[i] + (i in has_part) for i in range(len(found))]
-    return Mix(sources, _draws(spark, draws, blocks, passes, whole, seed, shard_blocks), store(picks, "mix-picks"), seed)
+    shards = max(1, -(-sum(draws) // shard_blocks))
+    return Mix(sources, _draws(spark, draws, blocks, passes, whole, seed, shards), store(picks, "mix-picks"), shards, seed)
 
 
 def _pick(table):
@@ -167,9 +169,8 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draws(spark, draws, blocks, passes, whole, seed, shard_blocks) -> DataFrame:
+def _draws(spark, draws, blocks, passes, whole, seed, shards) -> DataFrame:
     counts = np.array(draws, dtype=np.int64)
-    shards = max(1, -(-int(counts.sum()) // shard_blocks))
     source_blocks, source_passes, source_whole = np.array(blocks), np.array(passes), np.array(whole)
 
     def run(batches):
@@ -213,5 +214,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
              .join(plan.picks.withColumn("picked", F.lit(True)), ["sid", "block", "h"], "left")
              .where("NOT part OR picked"))
     shuffled = (drawn.withColumn("_order", F.xxhash64(F.lit(plan.seed + 2), "shard", "turn", "h", "id"))
-                .repartition("shard").sortWithinPartitions("shard", "_order"))
+                .repartition(min(plan.shards, 20_000), "shard").sortWithinPartitions("shard", "_order"))
     return shuffled.select("_row.*")
