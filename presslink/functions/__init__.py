@@ -4,9 +4,9 @@ from presslink.functions.dates import extract_date, extract_date_raw, normalize_
 from presslink.functions.headings import is_heading
 from presslink.functions.names import normalize_name
 from presslink.functions.sources import extract_source
-from presslink.functions.text import WS, ascii_only, is_boundary, strip
+from presslink.functions.text import WS, is_boundary, strip
 
 __all__ = [
-    "WS", "ascii_only", "extract_date", "extract_date_raw", "extract_source",
+    "WS", "extract_date", "extract_date_raw", "extract_source",
     "is_boundary", "is_heading", "normalize_date", "normalize_name", "strip",
 ]

@@ -25,3 +25,17 @@ def truncate_description(c, n: int = 300) -> Column:
     """Over ``n`` characters -> first ``n-3`` characters plus ``...``."""
     d = col_(c)
     return F.when(F.length(d) > n, F.concat(F.substring(d, 1, n - 3), F.lit("..."))).otherwise(d)
+
+
+END_MARK = "\u0001end"
+
+
+def whole_object(js: Column) -> Column:
+    """The JSON object that ``js`` is as a whole, as VARIANT; NULL if it is not one object and nothing else.
+    The text goes into an array before an end mark: text after the first value breaks the array, or
+    leaves another number of elements or another second one."""
+    two = F.try_parse_json(F.concat(F.lit("["), js, F.lit(',"\\u0001end"]')))
+    first = F.try_variant_get(two, "$[0]", "variant")
+    alone = (F.schema_of_variant(first).startswith("OBJECT") & (F.try_variant_get(two, "$[1]", "string") == END_MARK)
+             & F.try_variant_get(two, "$[2]", "variant").isNull())
+    return F.when(alone, first)

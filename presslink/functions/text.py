@@ -31,7 +31,8 @@ def cached_column(fn):
     def wrapper(*args):
         if not all(isinstance(a, (str, int)) for a in args):
             return fn(*args)
-        key = (id(SparkContext._active_spark_context), args)
+        context = SparkContext._active_spark_context
+        key = (context.applicationId if context is not None else None, args)
         col = cache.get(key)
         if col is None:
             col = cache[key] = fn(*args)
@@ -58,11 +59,6 @@ def is_boundary(text) -> Column:
     return F.lower(col_(text)) == F.lit(BOUNDARY)
 
 
-def ascii_only(text) -> Column:
-    """Keep printable ASCII and newlines (shaped fixtures; same rule in the SQL oracle)."""
-    return F.regexp_replace(col_(text), r"[^\x20-\x7E\n]", "")
-
-
 def split_words(text) -> Column:
     """``str.split()`` on an already stripped string."""
     return F.split(col_(text), "(?U)" + WS_CLASS + "+")

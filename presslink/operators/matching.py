@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from presslink.functions.names import normalize_name
-from presslink.functions.replies import has_braces, slice_json
+from presslink.functions.replies import has_braces, slice_json, whole_object
 from presslink.functions.similarity import token_set_ratio
 from presslink.functions.text import strip
 from presslink.session import cores, materialize
@@ -230,13 +230,13 @@ def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
 
 def merge_candidates(top: DataFrame) -> DataFrame:
     """Both shortlists by record; missing side 0; scores truncated to int."""
-    n = top.filter(F.col("field") == "name").select(
-        "m", "idx", F.col("rank").alias("name_rank"), F.col("score").cast("int").alias("name_score"))
-    e = top.filter(F.col("field") == "employer").select(
-        "m", "idx", F.col("rank").alias("emp_rank"), F.col("score").cast("int").alias("employer_score"))
-    return (n.join(e, ["m", "idx"], "full_outer")
-            .withColumn("name_score", F.coalesce("name_score", F.lit(0)))
-            .withColumn("employer_score", F.coalesce("employer_score", F.lit(0))))
+    def side(field, column):
+        return F.max(F.when(F.col("field") == field, F.col(column)))
+
+    # one pass over the scored rows: a join of the two sides would score every pair twice
+    return top.groupBy("m", "idx").agg(
+        side("name", "rank").alias("name_rank"), F.coalesce(side("name", "score").cast("int"), F.lit(0)).alias("name_score"),
+        side("employer", "rank").alias("emp_rank"), F.coalesce(side("employer", "score").cast("int"), F.lit(0)).alias("employer_score"))
 
 
 def rank_candidates(merged: DataFrame) -> DataFrame:
@@ -334,7 +334,8 @@ def parse_adjudication(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     """``decision`` (upper-cased), ``index`` (int), ``reason``; any failure gives
     (``REVIEW``, 0, ``Unparseable LLM response``) (T15)."""
     r = F.col(reply_col)
-    v = F.try_parse_json(slice_json(r))
+    df = df.withColumn("_reply", whole_object(slice_json(r)))
+    v = F.col("_reply")
     dec_v = F.try_variant_get(v, "$.decision", "variant")
     idx_v = F.try_variant_get(v, "$.index", "variant")
     rea_v = F.try_variant_get(v, "$.reason", "variant")
@@ -351,7 +352,7 @@ def parse_adjudication(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     return (df.withColumn("parse_ok", ok)
             .withColumn("decision", F.when(ok, decision).otherwise(F.lit("REVIEW")))
             .withColumn("index", F.when(ok, index).otherwise(F.lit(0).cast("long")))
-            .withColumn("reason", F.when(ok, reason).otherwise(F.lit("Unparseable LLM response"))))
+            .withColumn("reason", F.when(ok, reason).otherwise(F.lit("Unparseable LLM response"))).drop("_reply"))
 
 
 def resolve(parsed: DataFrame, mentions_norm: DataFrame, details: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslink.functions.replies import has_braces, slice_json, truncate_description
+from presslink.functions.replies import has_braces, slice_json, truncate_description, whole_object
 from presslink.functions.text import strip
 
 MAX_DESCRIPTION = 300
@@ -44,8 +44,9 @@ def parse_mentions(df: DataFrame, response_col: str = "response") -> DataFrame:
     """P10: adds ``status`` and ``mentions`` (objects only, names/descriptions stripped,
     reply order, duplicates kept; empty unless status is ``ok``)."""
     r = F.col(response_col)
-    js = slice_json(r)
-    v = F.try_parse_json(js)
+    # a column of its own: the rules below read it many times, and inlined they outgrow one compiled method
+    df = df.withColumn("_reply", whole_object(slice_json(r)))
+    v = F.col("_reply")
     cm = F.try_variant_get(v, "$.company_mentions", "variant")
     kind = F.schema_of_variant(cm)
     elems = F.coalesce(F.try_variant_get(cm, "$", "array<variant>"), F.array().cast("array<variant>"))
@@ -68,7 +69,7 @@ def parse_mentions(df: DataFrame, response_col: str = "response") -> DataFrame:
     ))
     return (df.withColumn("status", status)
             .withColumn("mentions", F.when(F.col("status") == "ok", mentions)
-                        .otherwise(F.array().cast(MENTION_TYPE))))
+                        .otherwise(F.array().cast(MENTION_TYPE))).drop("_reply"))
 
 
 def is_blank_name(m: Column) -> Column:

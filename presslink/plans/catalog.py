@@ -344,9 +344,10 @@ def _contribs_n(spark, sf):
     return mt.normalize_contributions(read_contributions_table(fx.fx_contributions(spark, sf)))
 
 
-def _top(spark, sf):
+def _top(spark, sf, field=None):
     m = _mentions_n(spark, sf).select(F.col("norm").alias("m")).distinct()
-    return mt.fuzzy_topk(m, mt.contributor_strings(_contribs_n(spark, sf)))
+    cands = mt.contributor_strings(_contribs_n(spark, sf))
+    return mt.fuzzy_topk(m, cands if field is None else cands.filter(F.col("field") == field))
 
 
 def _ranked(spark, sf):
@@ -397,7 +398,7 @@ def _topk_sql(field):
 
 
 def _topk(spark, sf, field):
-    t = _top(spark, sf).filter(F.col("field") == field).select(
+    t = _top(spark, sf, field).select(
         "m", "rank", "idx", F.col("score").cast("int").alias("score"))
     return _per_mention(spark, sf, t)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslink.functions.text import ascii_only, cached_column
+from presslink.functions.text import cached_column
 from presslink.session import spread
 
 # Fixed values used by the fixture layout (ours, mirrored in the oracle SQL).
@@ -18,6 +18,7 @@ MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
                "August", "September", "October", "November", "December"]
 MONTH_ABBR = [m[:3] for m in MONTH_NAMES]
 DATE_LABELS = ["Date: ", "Published: ", "Load-Date: ", ""]
+TWO_REPLIES = '{"decision": "MATCH", "index": 1, "reason": "r"} or maybe {"decision": "NO_MATCH", "index": 0}'
 NAME_SUFFIXES = [" Inc.", " LLC", " Corporation", " Ltd", ""]
 LINE_STRIDE = 1_000_000          # ix = doc_id * LINE_STRIDE + position
 END_POS = LINE_STRIDE - 1
@@ -28,8 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return d.select("doc_id", "source", ascii_only("text").alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def _digits_to_letters(c: Column) -> Column:
@@ -99,7 +99,7 @@ def _paragraph_rows() -> Column:
 
 
 def fx_paragraphs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 applied to the ASCII documents: one paragraph per line, path = doc_id."""
+    """S2 applied to the documents: one paragraph per line, path = doc_id."""
     from presslink.sources.text import paragraphs_from_text
     return paragraphs_from_text(fx_documents(spark, sf_dir), "doc_id", "text")
 
@@ -129,6 +129,8 @@ def fx_responses(spark: SparkSession, sf_dir: str, articles: DataFrame) -> DataF
                                F.lit("\nLet me know if you need more.")))
         .when(k == 2, F.lit("I could not find any companies in this article."))
         .when(k == 3, F.concat(F.lit('{"company_mentions": [{"company_name": "'), n1, F.lit('" ]}')))
+        .when(F.col("seg") % 16 == 4, F.concat(wrap(_obj(n1, F.lit("Investor"))), F.lit(" see {note}")))
+        .when(F.col("seg") % 48 == 12, F.concat(wrap(_obj(n1, F.lit("Investor"))), F.lit(", {}")))
         .when(k == 4, F.concat(F.lit('{"companies": ['), _obj(n1, F.lit("Investor")), F.lit("]}")))
         .when(k == 5, wrap(F.concat(
             _obj(F.lit("Green Party"), F.lit("Political group")), F.lit(", "), _obj(n1, F.lit("Investor")),
@@ -178,6 +180,7 @@ def fx_adjudications(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("mention_id") % 7
     reply = (
         F.when(k == 0, F.lit('{"decision": "MATCH", "index": 1, "reason": "Same entity"}'))
+        .when((k == 1) & (F.col("mention_id") % 2 == 0), F.lit(TWO_REPLIES))
         .when(k == 1, F.lit('{"decision": "match", "index": 99, "reason": "Out of range"}'))
         .when((k == 2) | (k == 6), F.lit('Result: {"decision": "NO_MATCH", "index": 0, "reason": "Generic overlap"}'))
         .when(k == 3, F.lit('{"decision": "REVIEW", "index": 2, "reason": "Unclear"}'))

@@ -2,8 +2,8 @@
 
 Each query's SQL is ``WITH <fixture and helper CTEs> <final select>``; the
 fixture CTEs rebuild the shaped inputs from the driver tables row for row.
-DuckDB's RE2 has ASCII classes, which equal the Unicode ones on the ASCII
-fixtures; Unicode behaviour is covered by pytest instead.
+DuckDB's RE2 has ASCII classes, so the rules' patterns are written with explicit
+Unicode classes here (:func:`uni`).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from presslink.functions.headings import (BOLD_EXCLUDED_PREFIXES, SKIP_PHRASES,
                                           TITLE_EXCLUDED_SUFFIXES)
 from presslink.functions.sources import SOURCE_PATTERNS
 from presslink.functions.text import WS
-from presslink.plans.fixtures import (DATE_LABELS, END_POS, LINE_STRIDE, MONTH_ABBR, MONTH_NAMES)
+from presslink.plans.fixtures import (DATE_LABELS, END_POS, LINE_STRIDE, MONTH_ABBR, MONTH_NAMES, TWO_REPLIES)
 
 
 def q(s: str) -> str:
@@ -51,14 +51,38 @@ def with_(ctes, final: str) -> str:
 
 # ---------------------------------------------------------------- rules
 
+# Unicode meanings of the classes, as the inside of a bracket
+_CLASS = {"s": r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}",
+          "d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"}
+
+
+def uni(p: str) -> str:
+    """A pattern with Unicode instead of ASCII classes; a word edge before or after a group takes the edge character."""
+    out, inside, i = [], False, 0
+    while i < len(p):
+        c, e = p[i], p[i + 1:i + 2]
+        if c == "\\" and e in _CLASS:
+            out.append(_CLASS[e] if inside else f"[{_CLASS[e]}]")
+        elif c == "\\" and e == "b":
+            out.append(f"(?:^|$|[^{_CLASS['w']}])")
+        elif c == "\\":
+            out.append(c + e)
+        else:
+            inside = (c == "[") or (inside and c != "]")
+            out.append(c)
+            i -= 1
+        i += 2
+    return "".join(out)
+
+
 def extract_source(t: str) -> str:
     return "coalesce(" + ", ".join(
-        nonblank(f"regexp_extract({t}, {q('(?im)' + p)}, 1)") for p in SOURCE_PATTERNS) + ")"
+        nonblank(f"regexp_extract({t}, {q('(?im)' + uni(p))}, 1)") for p in SOURCE_PATTERNS) + ")"
 
 
 def extract_date_raw(t: str) -> str:
     return "coalesce(" + ", ".join(
-        f"nullif(regexp_extract({t}, {q('(?i)' + p)}, 1), '')" for p in DATE_PATTERNS) + ")"
+        f"nullif(regexp_extract({t}, {q('(?i)' + uni(p))}, 1), '')" for p in DATE_PATTERNS) + ")"
 
 
 def month_of(e: str) -> str:
@@ -72,6 +96,8 @@ def normalize_date(s: str) -> str:
     ndy, dny, ny, y = (r"(?i)^(\w+)\s+(\d{1,2}),?\s+(\d{4})$", r"(?i)^(\d{1,2})\s+(\w+)\s+(\d{4})$",
                        r"(?i)^(\w+)\s+(\d{4})$", r"^(\d{4})$")
 
+    iso, sl, da, ndy, dny, ny, y = (uni(p) for p in (iso, sl, da, ndy, dny, ny, y))
+
     def g(p, i):
         return f"regexp_extract({s}, {q(p)}, {i})"
 
@@ -99,7 +125,7 @@ def is_heading(t: str, style: str, bold: str) -> str:
     styled = f"coalesce(contains(lower({style}), 'heading'), false)"
     bold_rule = (f"(coalesce({bold}, false) AND length({t}) BETWEEN 10 AND 200 AND NOT "
                  + any_of([f"starts_with({t}, {q(p)})" for p in BOLD_EXCLUDED_PREFIXES]) + ")")
-    caps = f"len(list_filter(string_split_regex({t}, '\\s+'), lambda w: regexp_matches(w, '^[A-Z]')))"
+    caps = f"len(list_filter(string_split_regex({t}, {q(uni(chr(92) + 's+'))}), lambda w: regexp_matches(w, '^\\p{{Lu}}')))"
     title_like = (f"(length({t}) BETWEEN 10 AND 150 AND NOT "
                   + any_of([f"starts_with({t}, {q(p)})" for p in TITLE_EXCLUDED_PREFIXES])
                   + " AND NOT " + any_of([f"ends_with({t}, {q(p)})" for p in TITLE_EXCLUDED_SUFFIXES])
@@ -114,7 +140,7 @@ def is_boundary(t: str) -> str:
 # ---------------------------------------------------------------- fixtures
 
 FX_DOCUMENTS = ("fx_documents",
-                "SELECT doc_id, source, regexp_replace(text, '[^\\x20-\\x7E\\n]', '', 'g') AS text FROM documents")
+                "SELECT doc_id, source, text FROM documents")
 
 
 def _date_text() -> str:
@@ -228,6 +254,8 @@ def fx_responses():
         f"WHEN a.seg % 8 = 1 THEN 'Here is my analysis.' || chr(10) || {wrap(_obj(n1, q('Main subject')))} || chr(10) || 'Let me know if you need more.' "
         "WHEN a.seg % 8 = 2 THEN 'I could not find any companies in this article.' "
         f"""WHEN a.seg % 8 = 3 THEN '{{"company_mentions": [{{"company_name": "' || {n1} || '" ]}}' """
+        f"WHEN a.seg % 16 = 4 THEN {wrap(_obj(n1, q('Investor')))} || ' see {{note}}' "
+        f"WHEN a.seg % 48 = 12 THEN {wrap(_obj(n1, q('Investor')))} || ', {{}}' "
         f"""WHEN a.seg % 8 = 4 THEN '{{"companies": [' || {_obj(n1, q('Investor'))} || ']}}' """
         f"WHEN a.seg % 8 = 5 THEN {wrap(' || '.join([_obj(q('Green Party'), q('Political group')), q(', '), _obj(n1, q('Investor')), q(', '), _obj(q('   '), q('blank')), q(', '), _obj(q('Democrats'), q('Party members'))]))} "
         f"WHEN a.seg % 8 = 6 THEN {wrap(_obj(n1, q('Holds the Copyright to the article')) + ' || ' + q(', ') + ' || ' + _obj(n2, "repeat('Long description ', 21)"))} "
@@ -441,7 +469,8 @@ def adjudication_prompts(low=62):
 
 FX_ADJUDICATIONS = ("fx_adjudications", (
     "SELECT mention_id, CASE WHEN mention_id % 17 = 16 THEN NULL WHEN mention_id % 7 = 0 THEN "
-    "'{\"decision\": \"MATCH\", \"index\": 1, \"reason\": \"Same entity\"}' WHEN mention_id % 7 = 1 THEN "
+    "'{\"decision\": \"MATCH\", \"index\": 1, \"reason\": \"Same entity\"}' "
+    f"WHEN mention_id % 14 = 8 THEN {q(TWO_REPLIES)} WHEN mention_id % 7 = 1 THEN "
     "'{\"decision\": \"match\", \"index\": 99, \"reason\": \"Out of range\"}' WHEN mention_id % 7 IN (2, 6) THEN "
     "'Result: {\"decision\": \"NO_MATCH\", \"index\": 0, \"reason\": \"Generic overlap\"}' WHEN mention_id % 7 = 3 "
     "THEN '{\"decision\": \"REVIEW\", \"index\": 2, \"reason\": \"Unclear\"}' WHEN mention_id % 7 = 4 THEN "

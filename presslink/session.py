@@ -50,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             existing = None
         if existing:
             return existing
+        master = str(spark.sparkContext.master)
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master {master})")
         current = tempfile.mkdtemp(prefix="presslink-ckpt-")
         try:
             spark.conf.set(CHECKPOINT_CONF, current)
