@@ -7,7 +7,7 @@ paragraphs; every segment between two boundaries yields at most one article.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslink.functions import extract_date, extract_source, is_boundary, is_heading, strip
@@ -16,6 +16,8 @@ DEFAULT_SOURCE = "Unknown Source"
 DEFAULT_DATE = "1900-01-01"
 # Paragraph positions per prefix-sum block: bounds the rows one window task sorts.
 DEFAULT_BLOCK = 1 << 20
+#: Blocks per group in the running count of boundaries.
+SUPER_BLOCKS = 1024
 
 
 def clean_paragraphs(paragraphs: DataFrame) -> DataFrame:
@@ -28,14 +30,20 @@ def mark_boundaries(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("is_boundary", is_boundary("text"))
 
 
+def _before(col: str, w) -> Column:
+    """Sum of ``col`` over the rows before this one."""
+    return F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFrame:
     """``seg`` = number of boundaries at or before each paragraph in its path;
     boundary rows are removed.
 
-    The running count is a two-level prefix sum so a path holding a large share
+    The running count is a three-level prefix sum so a path holding a large share
     of all rows never lands in one task: boundaries are counted per
-    ``(path, ix div block)``, those small counts get a running total per path,
-    and each block only sorts its own rows. The block counts need their own pass
+    ``(path, ix div block)``, those counts get a running total inside groups of
+    ``SUPER_BLOCKS`` blocks, the groups' sums one per path, and each block only
+    sorts its own rows. The block counts need their own pass
     over the input (an exact prefix sum is two-pass); it aggregates map-side, so
     only partial counts are shuffled. ``block=None`` gives the single-window form
     for inputs whose paths are bounded (one Word file each).
@@ -48,17 +56,15 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
                 .filter(F.col("_b") == 0).drop("_b"))
     df = paragraphs.withColumn("_b", b).withColumn("_blk", F.expr(f"ix div {int(block)}"))
     # Block counts: partial (map-side) aggregation, so only one small count per
-    # (path, block) and input split is shuffled; their running total per path runs
-    # over that tiny table.
-    per_block = df.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb"))
-    offsets = per_block.select(
-        "path", "_blk",
-        F.coalesce(
-            F.sum("_nb").over(
-                Window.partitionBy("path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-    )
+    # (path, block) and input split is shuffled. The window over a whole path sees
+    # one row per SUPER_BLOCKS blocks.
+    per_block = df.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb")).withColumn(
+        "_sup", F.expr(f"_blk div {SUPER_BLOCKS}"))
+    supers = per_block.groupBy("path", "_sup").agg(F.sum("_nb").alias("_ns"))
+    supers = supers.select("path", "_sup", _before("_ns", Window.partitionBy("path").orderBy("_sup")).alias("_base"))
+    inside = per_block.withColumn("_in", _before("_nb", Window.partitionBy("path", "_sup").orderBy("_blk")))
+    offsets = inside.join(supers, ["path", "_sup"], "inner").select(
+        "path", "_blk", (F.col("_base") + F.col("_in")).alias("_off"))
     local = F.sum("_b").over(
         Window.partitionBy("path", "_blk").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0))
     return (

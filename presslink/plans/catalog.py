@@ -19,7 +19,7 @@ from presslink.operators import reports as rpt
 from presslink.functions.replies import slice_json, truncate_description
 from presslink.plans import fixtures as fx
 from presslink.plans import oracle as o
-from presslink.session import materialize
+from presslink.session import materialize, scratch_folder
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -309,8 +309,7 @@ def q_publication_breakdown(spark, sf):
     return rpt.publication_breakdown(_analyses(spark, sf))
 
 
-@register("summary_report", o.with_(o.exploded() + [("totals", _TOTALS_SQL), ("uniq", _UNIQUE_SQL),
-                                                    ("breakdown", _BREAKDOWN_SQL)], (
+_REPORT_SQL = (
     "SELECT CAST(x.o AS BIGINT) AS ord, '' AS key, x.l AS line FROM totals, uniq, unnest(["
     "{'o': 0, 'l': 'Summary Statistics'}, "
     "{'o': 1, 'l': 'Total Articles Processed,' || CAST(total_articles AS VARCHAR)}, "
@@ -320,7 +319,11 @@ def q_publication_breakdown(spark, sf):
     "{'o': 5, 'l': ''}, {'o': 6, 'l': 'Publication Breakdown'}, "
     "{'o': 7, 'l': 'Publication,Articles,Total Mentions'}]) AS t(x) "
     f"UNION ALL SELECT 8, publication, {o.csv_field('publication')} || ',' || CAST(articles AS VARCHAR) || ',' || "
-    "CAST(total_mentions AS VARCHAR) FROM breakdown")))
+    "CAST(total_mentions AS VARCHAR) FROM breakdown")
+
+
+@register("summary_report", o.with_(o.exploded() + [("totals", _TOTALS_SQL), ("uniq", _UNIQUE_SQL),
+                                                    ("breakdown", _BREAKDOWN_SQL)], _REPORT_SQL))
 def q_summary_report(spark, sf):
     return rpt.summary_report(_analyses(spark, sf))
 
@@ -483,32 +486,54 @@ def q_match_report_lines(spark, sf):
     return mt.match_report_lines(mt.kept_matches(_decisions(spark, sf)), fx.fx_mentions(spark, sf))
 
 
-# ------------------------------------------------------------ 2.1 CSV round trips (S5 -> S3, S4)
+# ------------------------------------------------------------ 2.1 round trips through files
 
-def _scratch(spark, name):
-    import uuid
-    from presslink.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-io/{name}-{uuid.uuid4().hex}"
+def _in_files(df, order, files=3):
+    """Rows in ``files`` files whose names follow ``order``."""
+    return df.repartitionByRange(files, order).sortWithinPartitions(order)
 
 
-@register("load_mentions", o.with_([o.FX_MENTIONS], f"SELECT {o.strip('name')} AS name FROM fx_mentions "
-                                                         f"WHERE {o.strip('name')} <> ''"))
+@register("load_mentions", o.with_([o.FX_MENTIONS], (
+    f"SELECT * FROM (SELECT row_number() OVER (ORDER BY mention_id) - 1 AS mention_id, {o.strip('name')} AS name "
+    "FROM fx_mentions) WHERE name <> ''")))
 def q_load_mentions(spark, sf):
     from presslink.sources.csv import MENTION_COLUMN, read_mentions
-    path = _scratch(spark, "mentions")
-    (fx.fx_mentions(spark, sf).select(F.col("name").alias(MENTION_COLUMN))
+    path = scratch_folder(spark, "mentions")
+    (_in_files(fx.fx_mentions(spark, sf), "mention_id").select(F.col("name").alias(MENTION_COLUMN))
      .write.option("header", "true").option("escape", '"').csv(path))
-    return read_mentions(spark, path).select("name")
+    return read_mentions(spark, path).select("mention_id", "name")
 
 
 @register("load_contributions", o.with_([o.FX_CONTRIBUTIONS], (
-    f"SELECT {o.strip('coalesce(contributor_name, ' + o.q('') + ')')} AS contributor_name, "
+    "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, "
+    f"{o.strip('coalesce(contributor_name, ' + o.q('') + ')')} AS contributor_name, "
     f"{o.strip('coalesce(contributor_employer, ' + o.q('') + ')')} AS contributor_employer FROM fx_contributions")))
 def q_load_contributions(spark, sf):
     from presslink.sources.csv import CONTRIBUTOR_EMPLOYER, CONTRIBUTOR_NAME, read_contributions
-    path = _scratch(spark, "contributions")
-    (fx.fx_contributions(spark, sf).select(
+    path = scratch_folder(spark, "contributions")
+    (_in_files(fx.fx_contributions(spark, sf), "idx").select(
         F.col("idx").alias("Record Id"), F.col("contributor_name").alias(CONTRIBUTOR_NAME),
         F.lit("extra column").alias("Memo"), F.col("contributor_employer").alias(CONTRIBUTOR_EMPLOYER))
      .write.option("header", "true").option("escape", '"').csv(path))
-    return read_contributions(spark, path).select("contributor_name", "contributor_employer")
+    return read_contributions(spark, path).select("idx", "contributor_name", "contributor_employer")
+
+
+@register("write_mentions", o.with_(o.exploded(), (
+    "SELECT citation, date, company_name, coalesce(description, '') AS description FROM exploded")))
+def q_write_mentions(spark, sf):
+    from presslink.sources.sinks import MENTION_HEADERS, write_mentions
+    path = scratch_folder(spark, "mentions-out")
+    write_mentions(rpt.explode_mentions(_analyses(spark, sf)), path)
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    names = ["citation", "date", "company_name", "description"]
+    return back.select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(n) for h, n in zip(MENTION_HEADERS, names)])
+
+
+@register("write_summary", o.with_(o.exploded() + [("totals", _TOTALS_SQL), ("uniq", _UNIQUE_SQL),
+                                                   ("breakdown", _BREAKDOWN_SQL)],
+                                   f"SELECT line FROM ({_REPORT_SQL})"))
+def q_write_summary(spark, sf):
+    from presslink.sources.sinks import write_summary
+    path = scratch_folder(spark, "summary")
+    write_summary(rpt.summary_report(_analyses(spark, sf)), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,6 +88,19 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/presslink-io/{name}-{uuid.uuid4().hex}"
+
+    def forget():
+        with contextlib.suppress(Exception):   # the session may be gone already
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    atexit.register(forget)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores
     (e.g. one small file with one row group) so per-row work is parallel; on

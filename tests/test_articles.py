@@ -61,3 +61,9 @@ def test_boundary_count_property(spark):
     p = paragraphs_df(spark, data)
     arts = assemble_articles(p).collect()
     assert len(arts) == 1
+
+
+def test_segment_over_many_blocks_and_groups_of_blocks(spark):
+    rows = [("End of Document" if i % 3 == 2 else f"line {i}", "Normal", False) for i in range(2600)]
+    got = {r.ix: r.seg for r in segment(paragraphs_df(spark, rows), block=1).select("ix", "seg").collect()}
+    assert got == {i: i // 3 for i in range(2600) if i % 3 != 2}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from presslink.operators.articles import assemble_articles
 from presslink.sources.csv import read_contributions, read_mentions
 from presslink.sources.docx import corpus_paragraphs, ingest_audit, parse_docx, read_docx_corpus
-from presslink.streaming.ingest import stream_docx_articles
+from presslink.streaming.ingest import error_path, stream_docx_articles
 
 DOC = [("Test Article Title", "Heading1", True), ("Source: Test News", None, False),
        ("Date: 2024-01-15", None, None), ("Article content here.", None, None), ("End of Document", None, None),
@@ -79,6 +79,12 @@ def test_streaming_ingest(spark, tmp_path):
     titles = sorted(r.title for r in spark.read.parquet(out).select("title").collect())
     assert titles == ["Test Article Title", "Test Article Title", "quiet bold headline text"]
     assert spark.read.parquet(out).filter(F.col("path").endswith("b.docx")).count() == 1
+    (src / "c.docx").write_bytes(b"no archive")
+    q = stream_docx_articles(spark, str(src), out, checkpoint_location=str(tmp_path / "ckpt"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 3
+    failed = spark.read.parquet(error_path(out)).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in failed] == ["c.docx"] and failed[0].error
 
 
 def test_paragraph_text_rules(tmp_path):
