@@ -3,8 +3,10 @@
 A unit is a line of a text, or the whole text without its copyright lines. Units and templates are
 normalised alike: lower case, words are runs of letters and digits. For template size b, a unit of a
 bigrams can reach Dice d only if a is between d/(2-d) * b and (2-d)/d * b; that size bound is part of the join,
-and units outside the bounds of all templates are not spelled out at all. Units meet templates by an
-equi-join on the bigram (the templates' bigrams are a fixed table, broadcast), so nothing is compared
+and units outside the bounds of all templates are not spelled out at all. The same bound says how many of a
+template's bigrams a unit must hold, so of some of its words it must hold at least one (:func:`signal_words`):
+texts and lines with none of those words are passed over before they are split, and no match is lost by it.
+Units meet templates by an equi-join on the bigram (the templates' bigrams are a fixed table, broadcast), so nothing is compared
 that shares no bigram; counts are combined inside tasks before the shuffle.
 
 Defined cases: null and empty texts match nothing; a unit of fewer than two words has no bigram; repeated
@@ -15,7 +17,11 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter, defaultdict
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_DICE = 0.8
@@ -84,23 +90,56 @@ def template_table(spark, templates=TEMPLATES, min_dice: float = MIN_DICE) -> Da
                     F.floor(F.col("size") * ((2 - min_dice) / min_dice) + 1e-9).alias("hi"), F.posexplode("bigrams").alias("pos", "bigram"))
 
 
+def signal_words(table) -> list[str]:
+    """Words of which every unit that matches a template holds at least one, from rows of :func:`template_table`.
+
+    Dice d of a template of b bigrams needs d/(2-d) * b of them (``lo``), so a unit may lack ``t_size - lo``. A
+    set of words that touches more of the template's bigrams than that cannot be missing as a whole. One set for
+    all templates is grown greedily, long words first as they are rare in other texts.
+    """
+    need, touched = {}, defaultdict(set)
+    for r in table:
+        need[r.template] = r.t_size - r.lo + 1
+        for word in r.bigram.split(" "):
+            touched[word].add((r.template, r.bigram))
+    chosen: list[str] = []
+    while any(n > 0 for n in need.values()):
+        def gain(word):
+            per = Counter(t for t, _ in touched[word])
+            return len(word) * sum(max(0, min(n, need[t])) for t, n in per.items()), word
+        best = max(touched, key=gain)
+        done = touched.pop(best)
+        for t, _ in done:
+            need[t] -= 1
+        for rest in touched.values():
+            rest -= done
+        chosen.append(best)
+    return chosen
+
+
+def _holds_any(column: str, words: list[str]) -> Column:
+    # lower case once per value: the lambda's variable
+    return F.exists(F.array(F.lower(F.col(column))), lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in words]))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
     """``id, license, dice, line, n_units`` per row: the best match (line: from 0, null for the whole text), how many
     units match; null licence and dice 0 where none does."""
     table = template_table(docs.sparkSession, templates, min_dice)
-    bounds = table.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    known = table.collect()                                                # the templates, whatever the input
+    lowest, highest, signals = min(r.lo for r in known), max(r.hi for r in known), signal_words(known)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     lines = F.split("text", "\n")
     line_units = F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("unit")))
     whole = F.struct(F.lit(None).cast("int").alias("line"),
                      F.array_join(F.filter(lines, lambda x: ~x.rlike(COPYRIGHT)), "\n").alias("unit"))
-    units = (rows.where(F.col("text").isNotNull())
+    units = (rows.where(F.col("text").isNotNull() & _holds_any("text", signals))
              .select("id", "key", F.explode(F.concat(F.array(whole), F.when(F.size(lines) > 1, line_units).otherwise(
                  F.array().cast("array<struct<line:int,unit:string>>")))).alias("u")).select("id", "key", "u.*"))
     # sizes first: words are at most one more than bigrams can be, and cost less than the bigrams
-    units = units.withColumn("words", _words("unit")).where((F.size("words") > bounds.lo))
-    units = _with_bigrams(units).where(F.col("size").between(bounds.lo, bounds.hi)).select("id", "key", "line", "size", "bigrams")
+    units = units.where(_holds_any("unit", signals)).withColumn("words", _words("unit")).where(F.size("words") > lowest)
+    units = _with_bigrams(units).where(F.col("size").between(lowest, highest)).select("id", "key", "line", "size", "bigrams")
     hits = (units.select("id", "key", "line", "size", F.explode("bigrams").alias("bigram"))
             .join(F.broadcast(table), "bigram").where("size BETWEEN lo AND hi")
             .groupBy("id", "key", "line", "license", "template", "size", "t_size")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -58,6 +59,26 @@ def test_size_bounds_do_not_lose_a_match():
                 assert 0.8 / 1.2 * b - 1e-9 <= a <= 1.2 / 0.8 * b + 1e-9
 
 
+def test_signal_words_are_in_every_match(spark):
+    """Templates with words dropped, doubled and replaced, down to the least Dice, against brute force."""
+    rng = random.Random(5)
+    texts = []
+    for _, t in licenses.TEMPLATES:
+        for share in (0.05, 0.1, 0.15, 0.2):
+            words = [w for w in t.split() if rng.random() > share]
+            texts.append(" ".join(rng.choice([w, w, w, w, "zebra", w.upper()]) if rng.random() < share else w for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.id, r.license, r.dice, r.line, r.n_units) for r in licenses.scan(df).collect())
+    want = [(i, *brute(t)) for i, t in enumerate(texts)]
+    assert got == want and 0.8 <= min(w[2] for w in want if w[1]) < 0.83
+    assert any(w[1] is None for w in want)
+
+
+def test_signal_words_are_few(spark):
+    words = licenses.signal_words(licenses.template_table(spark).collect())
+    assert len(words) < 60 and len(set(words)) == len(words)
+
+
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
