@@ -7,6 +7,8 @@ paragraphs; every segment between two boundaries yields at most one article.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ DEFAULT_SOURCE = "Unknown Source"
 DEFAULT_DATE = "1900-01-01"
 # Paragraph positions per prefix-sum block: bounds the rows one window task sorts.
 DEFAULT_BLOCK = 1 << 20
-#: Blocks per group in the running count of boundaries.
-SUPER_BLOCKS = 1024
+#: Blocks (or groups of blocks) per group in the running count of boundaries: the rows one window sorts.
+FAN = 1 << 15
 
 
 def clean_paragraphs(paragraphs: DataFrame) -> DataFrame:
@@ -35,15 +37,31 @@ def _before(col: str, w) -> Column:
     return F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def _running(counts: DataFrame, levels: int) -> DataFrame:
+    """``path, _blk, _n`` -> ``path, _blk, _off``: the total of the path's earlier blocks.
+
+    Each level adds up ``FAN`` neighbours, so a window never holds more than ``FAN`` rows.
+    """
+    if levels == 0:
+        return counts.select("path", "_blk", _before("_n", Window.partitionBy("path").orderBy("_blk")).alias("_off"))
+    fine = counts.withColumn("_up", F.expr(f"_blk div {FAN}"))
+    groups = fine.groupBy("path", "_up").agg(F.sum("_n").alias("_n")).withColumnRenamed("_up", "_blk")
+    above = _running(groups, levels - 1).select("path", F.col("_blk").alias("_up"), F.col("_off").alias("_base"))
+    inside = fine.withColumn("_in", _before("_n", Window.partitionBy("path", "_up").orderBy("_blk")))
+    return inside.join(above, ["path", "_up"], "inner").select(
+        "path", "_blk", (F.col("_base") + F.col("_in")).alias("_off"))
+
+
 def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFrame:
     """``seg`` = number of boundaries at or before each paragraph in its path;
     boundary rows are removed.
 
-    The running count is a three-level prefix sum so a path holding a large share
+    The running count is a prefix sum in levels so a path holding a large share
     of all rows never lands in one task: boundaries are counted per
     ``(path, ix div block)``, those counts get a running total inside groups of
-    ``SUPER_BLOCKS`` blocks, the groups' sums one per path, and each block only
-    sorts its own rows. The block counts need their own pass
+    ``FAN`` blocks, the groups inside groups of groups, with enough levels for any
+    long ``ix`` (so no window grows with the data), and each block only sorts its
+    own rows. The block counts need their own pass
     over the input (an exact prefix sum is two-pass); it aggregates map-side, so
     only partial counts are shuffled. ``block=None`` gives the single-window form
     for inputs whose paths are bounded (one Word file each).
@@ -56,15 +74,10 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
                 .filter(F.col("_b") == 0).drop("_b"))
     df = paragraphs.withColumn("_b", b).withColumn("_blk", F.expr(f"ix div {int(block)}"))
     # Block counts: partial (map-side) aggregation, so only one small count per
-    # (path, block) and input split is shuffled. The window over a whole path sees
-    # one row per SUPER_BLOCKS blocks.
-    per_block = df.groupBy("path", "_blk").agg(F.sum("_b").alias("_nb")).withColumn(
-        "_sup", F.expr(f"_blk div {SUPER_BLOCKS}"))
-    supers = per_block.groupBy("path", "_sup").agg(F.sum("_nb").alias("_ns"))
-    supers = supers.select("path", "_sup", _before("_ns", Window.partitionBy("path").orderBy("_sup")).alias("_base"))
-    inside = per_block.withColumn("_in", _before("_nb", Window.partitionBy("path", "_sup").orderBy("_blk")))
-    offsets = inside.join(supers, ["path", "_sup"], "inner").select(
-        "path", "_blk", (F.col("_base") + F.col("_in")).alias("_off"))
+    # (path, block) and input split is shuffled.
+    per_block = df.groupBy("path", "_blk").agg(F.sum("_b").alias("_n"))
+    bits = 63 - int(math.log2(block))
+    offsets = _running(per_block, max(0, math.ceil(bits / int(math.log2(FAN))) - 1))
     local = F.sum("_b").over(
         Window.partitionBy("path", "_blk").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0))
     return (
@@ -98,12 +111,14 @@ def segment_summary(segmented: DataFrame) -> DataFrame:
         F.min_by("text", F.when(F.col("is_heading"), F.col("ix"))).alias("title"),
         F.max_by("src", F.when(F.col("src").isNotNull(), F.col("ix"))).alias("source"),
         F.max_by("dt", F.when(F.col("dt").isNotNull(), F.col("ix"))).alias("date"),
+        F.count(F.lit(1)).alias("_n"),
         F.collect_list(F.struct("ix", "text")).alias("_parts"),
     )
     parts = F.array_sort(F.filter("_parts", lambda x: F.col("title_ix").isNull() | (x["ix"] != F.col("title_ix"))))
     return agg.select(
         "path", "seg", "title_ix", "title", "source", "date",
-        F.size(parts).alias("n_parts"),
+        # by count, so that the texts are not collected where the content is not asked for
+        (F.col("_n") - F.col("title_ix").isNotNull().cast("int")).cast("int").alias("n_parts"),
         F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("content"))
 
 

@@ -26,7 +26,6 @@ from pyspark.sql.types import DoubleType
 
 from presslink.functions.names import normalize_name
 from presslink.functions.replies import has_braces, slice_json, whole_object
-from presslink.functions.similarity import token_set_ratio
 from presslink.functions.text import strip
 from presslink.session import cores, materialize
 
@@ -36,6 +35,7 @@ HIGH_THRESHOLD = 93          # read by the reference configuration, never used f
 MENTION_BLOCK = 8192         # distinct mention strings per cogroup (upper bound)
 MIN_MENTION_BLOCK = 32       # smallest mention block worth its own group
 CONTRIB_BLOCK = 50000        # distinct contributor strings per cogroup (vector length)
+HOT_ROWS = 100_000           # mention rows of one name that go to one task
 
 FIELDS = {"name": "contributor_name", "employer": "contributor_employer"}
 
@@ -68,68 +68,88 @@ def contributor_strings(contribs_norm: DataFrame, k: int = TOP_K) -> DataFrame:
 # ------------------------------------------------------------------ K1 inside tasks
 
 class _FieldBlock:
-    """The contributor strings of one field in one block, prepared for vector scoring."""
+    """Contributor strings of one field and of similar length, prepared for vector scoring."""
 
     def __init__(self, strings, idxs, alphabet: dict[str, int]):
-        self.strings = list(strings)
-        n = len(self.strings)
+        n = len(strings)
         self.idxs = [list(x) for x in idxs]
         self.min_idx = np.array([x[0] if len(x) else np.iinfo(np.int64).max for x in self.idxs], dtype=np.int64)
-        toks = [set(c.split()) for c in self.strings]
+        toks = [sorted(set(c.split())) for c in strings]
         self.n_tok = np.array([len(t) for t in toks], dtype=np.int64)
         self.tok_len = np.array([sum(map(len, t)) for t in toks], dtype=np.int64)
-        postings: dict[str, list[int]] = {}
-        for j, t in enumerate(toks):
-            for w in t:
-                postings.setdefault(w, []).append(j)
-        self.postings = {w: np.array(v, dtype=np.int64) for w, v in postings.items()}
-        # sorted token strings (the i = 0 comparison side) as a padded code matrix
-        joined = [" ".join(sorted(t)) for t in toks]
-        width = max((len(x) for x in joined), default=0)
+        postings: dict[str, list[tuple[int, int]]] = {}
+        # sorted token strings as a padded code matrix; ``owner``: the token a character (or the space after it) is of
+        width = max((len(" ".join(t)) for t in toks), default=0)
         self.codes = np.zeros((n, width), dtype=np.int32)
-        for j, x in enumerate(joined):
-            for q, ch in enumerate(x):
-                code = alphabet.get(ch)
-                if code is None:
-                    code = alphabet[ch] = len(alphabet) + 1
-                self.codes[j, q] = code
-
-
-def _lcs_many(pattern: str, block: _FieldBlock, alphabet: dict[str, int]) -> np.ndarray:
-    """LCS(pattern, each joined contributor string), bit-parallel over one uint64 per
-    candidate (pattern length <= 63). Padding codes have an empty match mask, which
-    leaves the state unchanged, so ragged lengths need no masking."""
-    m = len(pattern)
-    n = len(block.strings)
-    if m == 0 or n == 0:
-        return np.zeros(n, dtype=np.int64)
-    table = np.zeros(len(alphabet) + 2, dtype=np.uint64)
+        self.owner = np.zeros((n, width), dtype=np.int32)
+        self.space = alphabet.setdefault(" ", len(alphabet) + 1)
+        for j, t in enumerate(toks):
+            at = 0
+            for i, w in enumerate(t):
+                postings.setdefault(w, []).append((j, i))
+                for ch in w + " " * (i + 1 < len(t)):
+                    self.codes[j, at] = alphabet.setdefault(ch, len(alphabet) + 1)
+                    self.owner[j, at] = i
+                    at += 1
+        self.postings = {w: np.array(v, dtype=np.int64).T for w, v in postings.items()}
+
+    def without(self, rows: np.ndarray, shared: list[str]) -> np.ndarray:
+        """Codes of ``rows`` with the ``shared`` tokens (and the spaces they leave) blanked out."""
+        if not shared:
+            return self.codes[rows]
+        kept = np.arange(max(int(self.n_tok.max()), 1)) < self.n_tok[rows, None]
+        for w in shared:
+            hit, token = self.postings[w]
+            at = np.searchsorted(hit, rows)          # rows hold every shared token once
+            kept[np.arange(len(rows)), token[at]] = False
+        last = kept.shape[1] - 1 - np.argmax(kept[:, ::-1], axis=1)
+        codes, owner = self.codes[rows], self.owner[rows]
+        stays = np.take_along_axis(kept, owner, axis=1)
+        stays &= (codes != self.space) | (owner < last[:, None])
+        return np.where(stays, codes, 0)
+
+
+LCS_BITS = 62        # bits of a pattern per uint64: room for a carry
+
+
+def _lcs_many(pattern: str, codes: np.ndarray, alphabet: dict[str, int]) -> np.ndarray:
+    """LCS(pattern, each row of codes), bit-parallel over as many uint64 per candidate as
+    the pattern needs. Code 0 has an empty match mask, which leaves the state unchanged,
+    so padding and blanked characters need no masking."""
+    m, n = len(pattern), len(codes)
+    words = -(-m // LCS_BITS)
+    table = np.zeros((words, len(alphabet) + 2), dtype=np.uint64)
     for q, ch in enumerate(pattern):
         code = alphabet.get(ch)
         if code is not None:
-            table[code] |= np.uint64(1) << np.uint64(q)
-    full = np.uint64((1 << m) - 1)
-    v = np.full(n, full, dtype=np.uint64)
-    for col in range(block.codes.shape[1]):
-        u = v & table[block.codes[:, col]]
-        v = ((v + u) | (v - u)) & full
-    return m - np.bitwise_count(v).astype(np.int64)
+            table[q // LCS_BITS, code] |= np.uint64(1) << np.uint64(q % LCS_BITS)
+    full = [np.uint64((1 << min(LCS_BITS, m - w * LCS_BITS)) - 1) for w in range(words)]
+    v = [np.full(n, f, dtype=np.uint64) for f in full]
+    for col in range(codes.shape[1]):
+        c = codes[:, col]
+        carry = np.uint64(0)
+        for w in range(words):
+            u = v[w] & table[w][c]
+            total = v[w] + u + carry
+            carry = total >> np.uint64(LCS_BITS)
+            v[w] = (total | (v[w] - u)) & full[w]
+    return m - sum((np.bitwise_count(x).astype(np.int64) for x in v), np.zeros(n, dtype=np.int64))
 
 
 def _scores(m: str, block: _FieldBlock, alphabet: dict[str, int]) -> np.ndarray:
     """Exact token-set ratio of ``m`` against every string of the block (vectorised)."""
-    n = len(block.strings)
-    ta = set(m.split())
+    n = len(block.idxs)
+    ta = sorted(set(m.split()))
     if not ta or n == 0:
         return np.zeros(n)
     n_a, len_a = len(ta), sum(map(len, ta))
-    inter_n = np.zeros(n, dtype=np.int64)
-    inter_len = np.zeros(n, dtype=np.int64)
-    for w in ta:
+    has = np.zeros((n, n_a), dtype=bool)
+    for q, w in enumerate(ta):
         hit = block.postings.get(w)
         if hit is not None:
-            inter_n[hit] += 1
-            inter_len[hit] += len(w)
+            has[hit[0], q] = True
+    inter_n = has.sum(axis=1)
+    inter_len = has @ np.array([len(w) for w in ta], dtype=np.int64)
     xn, yn = n_a - inter_n, block.n_tok - inter_n
     i = inter_len + np.maximum(inter_n - 1, 0)
     x = (len_a - inter_len) + np.maximum(xn - 1, 0)
@@ -141,21 +161,36 @@ def _scores(m: str, block: _FieldBlock, alphabet: dict[str, int]) -> np.ndarray:
                         0.0)
         r0_bound = 100.0 - 100.0 * np.abs(x - y) / (l1 + l2)
         score = np.where(r0_bound <= side, side, np.nan)
-        none_shared = inter_n == 0
-        if none_shared.any():
-            pattern = " ".join(sorted(ta))
-            if len(pattern) <= 63:
-                lcs = _lcs_many(pattern, block, alphabet)
-                r0 = 100.0 - 100.0 * (x + y - 2 * lcs) / (x + y)
-                score = np.where(none_shared, r0, score)
     score = np.where(block.n_tok == 0, 0.0, score)
     score = np.where((inter_n > 0) & ((xn == 0) | (yn == 0)), 100.0, score)
     todo = np.flatnonzero(np.isnan(score))
-    for j in todo:   # shared tokens with a length bound above the side ratios, or long names
-        score[j] = token_set_ratio(m, block.strings[j])
+    if len(todo):   # the rest of the tokens decides: one pass per set of shared tokens
+        sets, which = np.unique(has[todo], axis=0, return_inverse=True)
+        which = which.ravel()
+        for g, shared in enumerate(sets):
+            rows = todo[which == g]
+            rest = " ".join(w for w, gone in zip(ta, shared) if not gone)
+            lcs = _lcs_many(rest, block.without(rows, [w for w, gone in zip(ta, shared) if gone]), alphabet)
+            r0 = 100.0 - 100.0 * (x[rows] + y[rows] - 2 * lcs) / (l1[rows] + l2[rows])
+            score[rows] = np.maximum(r0, side[rows])
     return score
 
 
+BLOCK_CELLS = 1 << 22        # characters of one code matrix
+
+
+def _field_blocks(cands: pd.DataFrame, alphabet: dict[str, int], cells: int = BLOCK_CELLS) -> list[_FieldBlock]:
+    """The strings in order of length, cut so that a matrix (strings x longest string) has at most ``cells`` cells."""
+    order = cands["c"].str.len().to_numpy().argsort(kind="stable")
+    strings, idxs = cands["c"].to_numpy()[order], cands["idxs"].to_numpy()[order]
+    out, start = [], 0
+    for end in range(1, len(strings) + 1):
+        if end == len(strings) or (end + 1 - start) * len(strings[end]) > cells:
+            out.append(_FieldBlock(strings[start:end], idxs[start:end], alphabet))
+            start = end
+    return out
+
+
 def _topk_records(score: np.ndarray, block: _FieldBlock, k: int) -> list[tuple[float, int]]:
     """Top-k records by (score desc, idx asc): only the k best strings by
     (score, smallest idx) can hold them."""
@@ -178,10 +213,11 @@ def _block_topk(k: int):
         if mentions.empty or cands.empty:
             return _frame(out_m, out_f, out_i, out_s)
         alphabet: dict[str, int] = {}
-        blocks = {field: _FieldBlock(sub["c"], sub["idxs"], alphabet) for field, sub in cands.groupby("field")}
+        blocks = {field: _field_blocks(sub, alphabet) for field, sub in cands.groupby("field")}
         for m in mentions["m"]:
-            for field, block in blocks.items():
-                for sc, ix in _topk_records(_scores(m, block, alphabet), block, k):
+            for field, parts in blocks.items():
+                found = [r for part in parts for r in _topk_records(_scores(m, part, alphabet), part, k)]
+                for sc, ix in sorted(found, key=lambda t: (-t[0], t[1]))[:k]:
                     out_m.append(m)
                     out_f.append(field)
                     out_i.append(ix)
@@ -304,7 +340,25 @@ def candidate_details(ranked: DataFrame, contribs_norm: DataFrame) -> DataFrame:
     return ranked.join(recs, "idx", "inner")
 
 
-def adjudication_prompts(mentions_norm: DataFrame, details: DataFrame, gated: DataFrame) -> DataFrame:
+def join_hot(many: DataFrame, few: DataFrame, key: str, salt: str, on: tuple[str, ...] = (), how: str = "inner",
+             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``many`` joined to ``few`` on ``key`` (and ``on``), where one key may hold any share of ``many``'s rows.
+
+    A key with more than ``hot_rows`` rows is dealt by a hash of ``salt`` into shares of about that size; ``few``'s
+    rows of such a key (a shortlist, so at most 2k) are repeated once per share. The list of hot keys has one row
+    per ``hot_rows`` rows of ``many`` at most; whether it is broadcast is decided by its size at run time.
+    """
+    hot = (many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+           .select(key, F.ceil(F.col("_n") / hot_rows).cast("long").alias("_shares")))
+    shares = F.coalesce(F.col("_shares"), F.lit(1).cast("long"))
+    dealt = many.join(hot, key, "left").withColumn("_share", F.pmod(F.xxhash64(salt), shares)).drop("_shares")
+    repeated = few.join(hot, key, "left").withColumn(
+        "_share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("_shares")
+    return dealt.join(repeated, [key, "_share", *on], how).drop("_share")
+
+
+def adjudication_prompts(mentions_norm: DataFrame, details: DataFrame, gated: DataFrame,
+                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """One prompt per gated mention row ``mention_id, prompt``."""
     lines = details.join(gated.select("m"), "m", "left_semi").groupBy("m").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
@@ -313,7 +367,8 @@ def adjudication_prompts(mentions_norm: DataFrame, details: DataFrame, gated: Da
                            F.col("contributor_employer"), F.col("emp_norm"), F.col("name_score"),
                            F.col("employer_score")).alias("line")))), lambda x: x["line"]), "\n").alias("cands"))
     head = "\n".join(ADJUDICATION_HEAD)
-    return mentions_norm.join(lines, mentions_norm["norm"] == lines["m"], "inner").select(
+    rows = mentions_norm.select("mention_id", "name", "norm")
+    return join_hot(rows, lines.withColumnRenamed("m", "norm"), "norm", "mention_id", hot_rows=hot_rows).select(
         "mention_id",
         F.concat(F.lit(head + "\nCompany mention (original): "), F.col("name"),
                  F.lit("\nCompany mention (normalized): "), F.col("norm"), F.lit("\nCandidates:\n"),
@@ -355,7 +410,7 @@ def parse_adjudication(df: DataFrame, reply_col: str = "reply") -> DataFrame:
             .withColumn("reason", F.when(ok, reason).otherwise(F.lit("Unparseable LLM response"))).drop("_reply"))
 
 
-def resolve(parsed: DataFrame, mentions_norm: DataFrame, details: DataFrame) -> DataFrame:
+def resolve(parsed: DataFrame, mentions_norm: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``mention_id, decision, detail``.
 
     MATCH with index in 1..n -> ACCEPT line from that candidate's original strings;
@@ -368,7 +423,7 @@ def resolve(parsed: DataFrame, mentions_norm: DataFrame, details: DataFrame) ->
         F.when(F.col("name_score") >= F.col("employer_score"), F.lit("Name")).otherwise(F.lit("Employer"))
         .alias("_field"), F.greatest("name_score", "employer_score").alias("_score"),
         "contributor_name", "contributor_employer")
-    j = pm.join(cand, ["norm", "index"], "left")
+    j = join_hot(pm, cand, "norm", "mention_id", on=("index",), how="left", hot_rows=hot_rows)
     accept = F.concat(F.lit("ACCEPT ("), F.col("_field"), F.lit(" score="), F.col("_score").cast("string"),
                       F.lit(") -> Contributor Name='"), F.col("contributor_name"),
                       F.lit("', Contributor Employer='"), F.col("contributor_employer"), F.lit("'"))

@@ -135,7 +135,8 @@ def q_build_articles(spark, sf):
 def _attached(spark, sf):
     # The reply fixture is derived from the articles and joined back to them:
     # checkpoint the articles once instead of assembling them twice.
-    a = materialize(fx_articles(spark, sf))
+    # Only what the replies and reports use: the texts stay out of the checkpoint.
+    a = materialize(fx_articles(spark, sf).select("path", "seg", "title", "source", "date"))
     return ann.attach_responses(a, fx.fx_responses(spark, sf, a))
 
 
@@ -215,9 +216,16 @@ def q_slice_json(spark, sf):
 
 
 @register("parse_mentions", o.with_(o.parsed(), (
-    "SELECT path, seg, status, CAST(len(mentions) AS BIGINT) AS n_mentions FROM parsed")))
+    "SELECT path, seg, status, CAST(len(mentions) AS BIGINT) AS n_mentions, array_to_string(list_transform(mentions, "
+    "lambda m: m.company_name || ' = ' || m.description), ' | ') AS mention_values FROM parsed")))
 def q_parse_mentions(spark, sf):
-    return _parsed(spark, sf).select("path", "seg", "status", F.size("mentions").cast("long").alias("n_mentions"))
+    return _parsed(spark, sf).select("path", "seg", "status", F.size("mentions").cast("long").alias("n_mentions"),
+                                     _values("mentions").alias("mention_values"))
+
+
+def _values(mentions):
+    return F.array_join(F.transform(mentions, lambda m: F.concat(
+        m["company_name"], F.lit(" = "), m["description"])), " | ")
 
 
 _RAW_COLS = "path, seg, pos, company_name, description"
@@ -263,13 +271,14 @@ def q_truncate_description(spark, sf):
 @register("build_analyses", o.with_(o.analyses(), (
     "SELECT path, seg, article_title, publication_source, publication_date, status, "
     "CAST(len(company_mentions) AS BIGINT) AS n_mentions, "
-    "array_to_string(list_transform(company_mentions, lambda m: m.company_name), ' | ') AS mention_names "
+    "array_to_string(list_transform(company_mentions, lambda m: m.company_name || ' = ' || m.description), ' | ') "
+    "AS mention_values "
     "FROM analyses")))
 def q_build_analyses(spark, sf):
     return _analyses(spark, sf).select(
         "path", "seg", "article_title", "publication_source", "publication_date", "status",
         F.size("company_mentions").cast("long").alias("n_mentions"),
-        F.array_join(F.transform("company_mentions", lambda m: m["company_name"]), " | ").alias("mention_names"))
+        _values("company_mentions").alias("mention_values"))
 
 
 # ------------------------------------------------------------ 2.6 reports
@@ -493,6 +502,35 @@ def _in_files(df, order, files=3):
     return df.repartitionByRange(files, order).sortWithinPartitions(order)
 
 
+def _word_corpus(spark, sf):
+    from presslink.sources.docx import parse_docx_files
+    return parse_docx_files(fx.fx_word_files(spark, sf), persist=False)
+
+
+_DOCX_SQL = (
+    f"SELECT path, CAST(ix AS BIGINT) AS ix, text, style, first_bold, false AS failed FROM (SELECT CAST(ix // {fx.LINE_STRIDE} AS "
+    f"VARCHAR) || '.docx' AS path, row_number() OVER (PARTITION BY ix // {fx.LINE_STRIDE} ORDER BY ix) - 1 AS ix, text, "
+    f"style, first_bold FROM fx_paragraphs WHERE (ix // {fx.LINE_STRIDE}) % 10 <> 9) UNION ALL "
+    "SELECT CAST(doc_id AS VARCHAR) || '.docx', NULL, NULL, NULL, NULL, true FROM documents WHERE doc_id % 10 = 9")
+
+
+@register("docx_paragraphs", o.with_(o.fx_paragraphs(), _DOCX_SQL))
+def q_docx_paragraphs(spark, sf):
+    return _word_corpus(spark, sf).select("path", "ix", "text", "style", "first_bold",
+                                          F.col("error").isNotNull().alias("failed"))
+
+
+@register("ingest_audit", o.with_(o.segment_summary(), (
+    "SELECT count(*) FILTER (WHERE doc_id % 10 <> 9) AS successful_files, count(*) FILTER (WHERE doc_id % 10 = 9) AS "
+    "failed_files, count(*) AS total_files, (SELECT count(*) FROM summary WHERE title IS NOT NULL AND n_parts > 0 AND "
+    f"(title_ix // {fx.LINE_STRIDE}) % 10 <> 9) AS total_articles, CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER "
+    "(WHERE doc_id % 10 <> 9) AS DOUBLE) / count(*) ELSE 0.0 END AS success_rate FROM documents")))
+def q_ingest_audit(spark, sf):
+    from presslink.sources.docx import corpus_paragraphs, ingest_audit
+    corpus = materialize(_word_corpus(spark, sf))
+    return ingest_audit(corpus, art.assemble_articles(corpus_paragraphs(corpus), block=None))
+
+
 @register("load_mentions", o.with_([o.FX_MENTIONS], (
     f"SELECT * FROM (SELECT row_number() OVER (ORDER BY mention_id) - 1 AS mention_id, {o.strip('name')} AS name "
     "FROM fx_mentions) WHERE name <> ''")))

@@ -20,8 +20,9 @@ MONTH_ABBR = [m[:3] for m in MONTH_NAMES]
 DATE_LABELS = ["Date: ", "Published: ", "Load-Date: ", ""]
 TWO_REPLIES = '{"decision": "MATCH", "index": 1, "reason": "r"} or maybe {"decision": "NO_MATCH", "index": 0}'
 NAME_SUFFIXES = [" Inc.", " LLC", " Corporation", " Ltd", ""]
-LINE_STRIDE = 1_000_000          # ix = doc_id * LINE_STRIDE + position
-END_POS = LINE_STRIDE - 1
+# ix = doc_id * LINE_STRIDE + position. A Spark array is one value of at most 2^31 bytes and each paragraph in it takes
+# over 40, so a document never has as many lines.
+LINE_STRIDE = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +79,12 @@ def _para(ix: Column, text: Column, style: Column, bold: Column) -> Column:
 
 def fx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw paragraphs ``path, ix, text, style, first_bold`` (one scan, one explode)."""
-    return fx_documents(spark, sf_dir).select(F.col("source").alias("path"), _paragraph_rows())
+    return fx_documents(spark, sf_dir).select(F.col("source").alias("path"), F.inline(_paragraphs()))
 
 
 @cached_column
-def _paragraph_rows() -> Column:
+def _paragraphs() -> Column:
+    """All paragraphs of a document as an array."""
     doc = F.col("doc_id")
     base = doc * F.lit(LINE_STRIDE)
     normal, no = F.lit("Normal"), F.lit(False)
@@ -91,11 +93,53 @@ def _paragraph_rows() -> Column:
         F.when(doc % 2 == 0, F.lit("Heading 1")).otherwise(normal), doc % 3 == 0))
     src = F.when(doc % 10 != 1, _para(base + 1, _source_text(doc, F.col("source")), normal, no))
     dt = F.when(doc % 10 != 2, _para(base + 2, _date_text(doc), normal, no))
-    body = F.transform(F.split(F.col("text"), "\n"),
+    lines = F.split(F.col("text"), "\n")
+    body = F.transform(lines,
                        lambda line, i: _para(base + 3 + i, line, normal, (i == 0) & (doc % 7 == 0)))
-    end = _para(base + END_POS, F.lit("End of Document"), normal, no)
+    end = _para(base + 3 + F.size(lines), F.lit("End of Document"), normal, no)
     head = F.filter(F.array(title, src, dt), lambda x: x.isNotNull())
-    return F.inline(F.concat(head, body, F.array(end)))
+    return F.concat(head, body, F.array(end))
+
+
+def is_broken(doc_id: Column) -> Column:
+    """Which Word files of the corpus fixture are no archives."""
+    return doc_id % 10 == 9
+
+
+def _word_files(batches):
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    styles = (f'<w:styles {ns}><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>'
+              '<w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="Heading 1"/></w:style></w:styles>')
+    for pdf in batches:
+        files = []
+        for broken, paragraphs in zip(pdf["broken"], pdf["paragraphs"]):
+            if broken:
+                files.append(b"no archive")
+                continue
+            body = "".join(
+                "<w:p>" + ('<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if p["style"] == "Heading 1" else "")
+                + "<w:r>" + ("<w:rPr><w:b/></w:rPr>" if p["first_bold"] else "")
+                + f'<w:t xml:space="preserve">{escape(p["text"], {chr(13): "&#13;"})}</w:t></w:r></w:p>' for p in paragraphs)
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/styles.xml", styles)
+                z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+            files.append(out.getvalue())
+        yield pd.DataFrame({"path": pdf["path"], "content": files})
+
+
+def fx_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: one Word file per document, some of them broken."""
+    doc = F.col("doc_id")
+    return fx_documents(spark, sf_dir).select(
+        F.concat(doc.cast("string"), F.lit(".docx")).alias("path"), is_broken(doc).alias("broken"),
+        _paragraphs().alias("paragraphs")).mapInPandas(_word_files, "path string, content binary")
 
 
 def fx_paragraphs_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from presslink.functions.headings import (BOLD_EXCLUDED_PREFIXES, SKIP_PHRASES,
                                           TITLE_EXCLUDED_SUFFIXES)
 from presslink.functions.sources import SOURCE_PATTERNS
 from presslink.functions.text import WS
-from presslink.plans.fixtures import (DATE_LABELS, END_POS, LINE_STRIDE, MONTH_ABBR, MONTH_NAMES, TWO_REPLIES)
+from presslink.plans.fixtures import (DATE_LABELS, LINE_STRIDE, MONTH_ABBR, MONTH_NAMES, TWO_REPLIES)
 
 
 def q(s: str) -> str:
@@ -179,7 +179,7 @@ def _fx_paragraphs_body() -> str:
     dt = f"CASE WHEN doc_id % 10 <> 2 THEN " + _para(f"{base} + 2", _date_text(), "'Normal'", "false") + " END"
     body = (f"list_transform(string_split(text, chr(10)), lambda line, i: "
             + _para(f"{base} + 2 + i", "line", "'Normal'", "(i = 1 AND doc_id % 7 = 0)") + ")")
-    end = _para(f"{base} + {END_POS}", "'End of Document'", "'Normal'", "false")
+    end = _para(f"{base} + 3 + len(string_split(text, chr(10)))", "'End of Document'", "'Normal'", "false")
     return (f"SELECT path, p.ix AS ix, p.text AS text, p.style AS style, p.first_bold AS first_bold FROM ("
             f"SELECT source AS path, unnest(list_concat(list_filter([{title}, {src}, {dt}], lambda x: x IS NOT NULL), "
             f"{body}, [{end}])) AS p FROM fx_documents)")

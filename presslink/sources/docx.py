@@ -118,6 +118,24 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(cols)
 
 
+def parse_docx_files(files: DataFrame, persist: bool = True) -> DataFrame:
+    """Word files ``path, content`` -> ``path, ix, text, style, first_bold, error`` (see :func:`read_docx_corpus`)."""
+    corpus = files.select("path", "content").mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
+    if not persist:
+        return corpus
+    with arrow_batch(files.sparkSession, FILES_PER_BATCH):   # a row is a whole file
+        return materialize(corpus)
+
+
+def read_docx_file(spark: SparkSession, path: str) -> DataFrame:
+    """One Word file; unlike a file of a corpus, one that cannot be read is an error for the caller."""
+    corpus = parse_docx_files(spark.read.format("binaryFile").load(path))
+    failed = corpus.filter(F.col("error").isNotNull()).first()
+    if failed is not None:
+        raise ValueError(f"cannot read {path}: {failed.error}")
+    return corpus
+
+
 def read_docx_corpus(spark: SparkSession, directory: str, persist: bool = True) -> DataFrame:
     """Every ``*.docx`` directly in ``directory`` -> ``path, ix, text, style, first_bold, error``.
 
@@ -131,11 +149,7 @@ def read_docx_corpus(spark: SparkSession, directory: str, persist: bool = True)
              .option("recursiveFileLookup", "false").load(directory).select("path", "content"))
     if files.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"No .docx files found in {directory}")
-    corpus = files.mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
-    if not persist:
-        return corpus
-    with arrow_batch(spark, FILES_PER_BATCH):   # a row is a whole file
-        return materialize(corpus)
+    return parse_docx_files(files, persist)
 
 
 def corpus_paragraphs(corpus: DataFrame) -> DataFrame:

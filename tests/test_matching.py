@@ -110,3 +110,36 @@ def test_candidate_order_and_employer_field(spark):
     # two records only: both are in both top-5 lists; ties on 100 keep the name-list order
     assert [(r.idx, r.name_score, r.employer_score) for r in ranked] == [(1, 100, 15), (0, 33, 100)]
     assert "ACCEPT (Employer score=100)" in lines(res)[4]
+
+
+@pytest.mark.parametrize("hot_rows", [7, 100_000])
+def test_hot_names_are_dealt(spark, hot_rows):
+    """One name on half of all mention rows: same rows as a plain join, in many shares."""
+    many = spark.createDataFrame([(i, "hot" if i % 2 else f"n{i % 9}") for i in range(200)], "mention_id long, norm string")
+    few = spark.createDataFrame([("hot", r, f"hot{r}") for r in (1, 2)] + [("n4", 1, "x"), ("gone", 1, "y")],
+                                "norm string, index long, detail string")
+    for how, on in (("inner", ()), ("left", ("index",))):
+        left = many if how == "inner" else many.withColumn("index", F.lit(2).cast("long"))
+        got = mt.join_hot(left, few, "norm", "mention_id", on=on, how=how, hot_rows=hot_rows)
+        want = left.join(few, ["norm", *on], how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("cells", [1, 200, 1 << 22])
+def test_vector_scores_equal_pairwise_scores(cells):
+    """Names with and without shared tokens, with shared tokens at both ends and of more than 63 and 200 characters."""
+    import pandas as pd
+    rng = random.Random(3)
+    vocabulary = ["american", "fund", "a", "b", "ab", "ireland", "cab", "x" * 70, "é", "zz", "group", "of", "the", "trust"]
+    names = ["", "a", "the the"] + [" ".join(rng.choices(vocabulary, k=rng.randint(1, 12))) for _ in range(150)]
+    names += [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 60))) for _ in range(50)]
+    cands = pd.DataFrame({"c": names, "idxs": [[i] for i in range(len(names))]})
+    alphabet = {}
+    blocks = mt._field_blocks(cands, alphabet, cells)
+    assert sum(len(b.idxs) for b in blocks) == len(names) and (cells > 200 or len(blocks) > 20)
+    assert max(len(n) for n in names) > 200
+    for m in names:
+        for block in blocks:
+            got = mt._scores(m, block, alphabet)
+            want = [token_set_ratio(m, names[i[0]]) for i in block.idxs]
+            assert got.tolist() == want

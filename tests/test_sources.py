@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from presslink.operators.articles import assemble_articles
 from presslink.sources.csv import read_contributions, read_mentions
-from presslink.sources.docx import corpus_paragraphs, ingest_audit, parse_docx, read_docx_corpus
+from presslink.sources.docx import corpus_paragraphs, ingest_audit, parse_docx, read_docx_corpus, read_docx_file
 from presslink.streaming.ingest import error_path, stream_docx_articles
 
 DOC = [("Test Article Title", "Heading1", True), ("Source: Test News", None, False),
@@ -40,6 +40,14 @@ def test_corpus_to_articles_with_bad_file(spark, tmp_path):
     assert audit.success_rate == pytest.approx(2 / 3)
 
 
+def test_single_file(spark, tmp_path):
+    write_docx(tmp_path / "a.docx", DOC)
+    assert corpus_paragraphs(read_docx_file(spark, str(tmp_path / "a.docx"))).count() == len(DOC)
+    (tmp_path / "broken.docx").write_bytes(b"not a zip")
+    with pytest.raises(ValueError, match="broken.docx"):
+        read_docx_file(spark, str(tmp_path / "broken.docx"))
+
+
 def test_no_word_files(spark, tmp_path):
     (tmp_path / "x.txt").write_text("x")
     with pytest.raises(FileNotFoundError):
