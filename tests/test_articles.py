@@ -1,8 +1,8 @@
 """Segmentation and article assembly (W1, A1-A3, P7) including segment edges."""
 
 from conftest import paragraphs_df
+from pyspark.sql import functions as F
 
-from presslink.operators import articles
 from presslink.operators.articles import assemble_articles, clean_paragraphs, segment
 
 
@@ -64,8 +64,8 @@ def test_boundary_count_property(spark):
     assert len(arts) == 1
 
 
-def test_segment_over_many_blocks_and_groups_of_blocks(spark, monkeypatch):
-    monkeypatch.setattr(articles, "FAN", 512)     # several levels with few rows
+def test_segment_over_many_blocks_and_groups_of_blocks(spark):
     rows = [("End of Document" if i % 3 == 2 else f"line {i}", "Normal", False) for i in range(2600)]
-    got = {r.ix: r.seg for r in segment(paragraphs_df(spark, rows), block=1).select("ix", "seg").collect()}
+    p = paragraphs_df(spark, rows).withColumn("ix", F.col("ix") * (1 << 26))     # 2,600 blocks, six groups of blocks
+    got = {r.ix >> 26: r.seg for r in segment(p).select("ix", "seg").collect()}
     assert got == {i: i // 3 for i in range(2600) if i % 3 != 2}
