@@ -13,7 +13,7 @@ def op1_warc(spark, sf_dir):
 
 
 def op2_chaining(spark, sf_dir):
-    d = chaining.passages(read_table(spark, sf_dir, "documents"), k=5, min_words=25, min_similarity=0.8)
+    d = chaining.passages(read_table(spark, sf_dir, "documents"), k=4, min_words=25, min_similarity=0.8)
     return d.withColumnRenamed("id", "doc_id").withColumnRenamed("ref_id", "ref_doc_id")
 
 
