@@ -15,8 +15,8 @@ again and joined from their pieces.
 Defined cases: a null payload is empty; an empty payload is a record of 0 bytes and is deduplicated
 like any other (from ``min_bytes`` on); rows with a repeated id and equal payload are all responses if
 that id is the smallest; a null id counts as larger than any id (its record has no id header); an
-empty table gives an empty archive and no rows; other columns are ignored. Line breaks in an url are
-percent-encoded. One record must fit one task (a WARC payload is one value).
+empty table gives an empty archive and no rows; other columns are ignored. Line breaks in an url, and the
+slash of a magic in it, are percent-encoded; an url may have any length. One record must fit one task (a WARC payload is one value).
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ def record_text(date: str) -> Column:
     """The record up to its terminator, as bytes in a string column."""
     revisit = F.col("refers_to").isNotNull()
     safe_url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    safe_url = F.replace(safe_url, F.lit(MAGIC), F.lit(MAGIC.replace("/", "%2F")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.length("payload").cast("string"), F.lit(END))
     block = F.concat(http.cast("binary"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
@@ -98,7 +99,7 @@ def scan_pieces(spark: SparkSession, path: str) -> DataFrame:
 def _parsed(piece: DataFrame) -> DataFrame:
     """Header fields, block and payload of a piece (or of joined pieces) in ``value``."""
     head = F.substring_index("value", END, 1)
-    p = (piece.withColumn("head", F.when(F.col("value").rlike(r"^[01]\r\n"), F.substring(head, 1, 1 << 16)))
+    p = (piece.withColumn("head", F.when(F.col("value").rlike(r"^[01]\r\n"), head))
          .withColumn("head_size", F.octet_length(head) + len(MAGIC) + 4)
          .withColumn("block_size", F.regexp_extract("head", r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,15})[ \t]*(\r|$)",
                                                     1).try_cast("long")))

@@ -73,3 +73,10 @@ def test_small_payloads_stay_responses_below_the_bound(spark):
 
 def test_registered():
     assert "op1_warc" in catalog.QUERIES and "op1_warc" in catalog.ORACLES
+
+
+@pytest.mark.parametrize("url", ["http://h/" + "u" * 70_000, "http://h/WARC/1.1/x?WARC/1.", "WARC/1.1\r\nWARC/1.0\r\n\r\n"])
+def test_any_url_keeps_its_record_and_those_after_it(spark, url, tmp_path):
+    data = [(i, url if i in (1, 3) else f"http://h/{i}", t, "x", "y") for i, t in enumerate(["a", "b", "c", "b", "d"])]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    assert sorted(map(tuple, warc.page_digests(df, str(tmp_path / "w")).collect()), key=str) == expected(data)
