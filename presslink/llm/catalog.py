@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import chaining, langid, licenses, mixing, packing, quality, simhash, sketch, suffix, warc
+from presslink.llm import chaining, langid, licenses, mixing, packing, quality, search, simhash, sketch, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -61,6 +61,10 @@ def op10_quality(spark, sf_dir):
     return d.withColumnRenamed("id", "doc_id")
 
 
+def op11_search(spark, sf_dir):
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chaining": op2_chaining,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
+    "op11_search": op11_search,
 }
 
-ORACLES = {"op1_warc": warc.ORACLE_OP1, "op7_licenses": licenses.oracle()}
+ORACLES = {"op1_warc": warc.ORACLE_OP1, "op7_licenses": licenses.oracle(), "op11_search": search.ORACLE_OP11}

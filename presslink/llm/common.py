@@ -143,12 +143,17 @@ _BASE = 0xD6E8FEB86659FD93
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: A-Z to a-z, byte by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each text (length: texts + 1)."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[raw]
+    word = ~separator[raw]
     edge = np.zeros(n + 1, dtype=bool)        # a text begins here
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
