@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import chaining, langid, licenses, mixing, packing, quality, search, simhash, sketch, suffix, warc
+from presslink.llm import alignment, chaining, langid, licenses, mixing, packing, quality, search, simhash, sketch, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -65,6 +65,14 @@ def op11_search(spark, sf_dir):
     return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    d = alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("piece_bpe_32k.model"))
+    return d.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chaining": op2_chaining,
@@ -77,6 +85,7 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
     "op11_search": op11_search,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES = {"op1_warc": warc.ORACLE_OP1, "op7_licenses": licenses.oracle(), "op11_search": search.ORACLE_OP11}
