@@ -36,7 +36,7 @@ from presslink.llm.common import deal, store
 
 ANCHOR = 16
 STEP_CHARS = 1 << 19
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 CACHE_CHARS = 64               # longer chunks are not kept
 MAX_PAIRS = 2_000_000          # 34 MB are broadcast at most
 TASK_PAIRS = 2_000_000         # distinct pairs that a task holds before it hands them on
@@ -44,8 +44,11 @@ TASK_PAIRS = 2_000_000         # distinct pairs that a task holds before it hand
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯▁　﻿]")
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
 class Encoder(dict):
-    """Chunk to its ids (little-endian unsigned 32-bit), emptied when full; and the bytes of each id."""
+    """Chunk to its ids (little-endian unsigned 32-bit) for many chunks; and the bytes of each id."""
 
     CHUNKS: re.Pattern
     by_chunk = True
@@ -57,9 +60,14 @@ class Encoder(dict):
         for chunks in cut:
             new.update(chunks or ())
         new.difference_update(self)
-        if len(self) + len(new) > CACHE_CHUNKS:
+        if len(self) + len(new) > CACHE_CHUNKS:            # the shorter chunks stay, they come back more often
+            sizes = np.array([len(c) for c in self], np.int64)
+            limit = np.median(sizes) if len(sizes) else 0
+            kept = [(c, ids) for c, ids in self.items() if len(c) < limit]
             self.clear()
+            self.update(kept)
             new.update(c for chunks in cut for c in chunks or ())
+            new.difference_update(self)
         new = list(new)
         self.update(zip(new, map(_u4, self.encode(new))))
         out = [_u4(self.whole(t)) if chunks is None and t else b"".join(map(self.__getitem__, chunks or ()))
@@ -85,8 +93,9 @@ def _u4(ids) -> bytes:
 class ByteLevel(Encoder):
     """Tokenizer A; its text has the space before it."""
 
-    # the tokenizer's own rule joins one space to what follows and never crosses other white space
-    CHUNKS = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
+    # the tokenizer's own rule joins one space to what follows, never crosses other white space and ends letters
+    # before what is no letter
+    CHUNKS = re.compile(rf" ?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)| ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
 
     def __init__(self, path: str):
         super().__init__()
@@ -112,7 +121,7 @@ class ByteLevel(Encoder):
 class Pieces(Encoder):
     """Tokenizer B, which writes a space before the text itself."""
 
-    CHUNKS = re.compile(r" +[^ \n]*|\n[^ \n]*")
+    CHUNKS = re.compile(rf" +[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)| +[^ \n]*|\n?[^ \n]+|\n")
 
     def __init__(self, path: str):
         super().__init__()
@@ -125,14 +134,15 @@ class Pieces(Encoder):
         self.blank = self.own.piece_to_id("▁")
         # chunks give the ids of the whole only if no piece crosses their edges and no text is rewritten
         probe = "x  éé ﬁ\tz\n w "
-        self.by_chunk = not any(re.search("[^▁]▁|.\n|\n.", p) for p in pieces) and \
-            self.own.normalize(probe) == "▁" + probe.replace(" ", "▁") and self.own.encode(" \n") == [
-                *self.own.encode(" "), *self.own.encode("\n")[1:]] and self.own.encode("\n")[:1] == [self.blank]
+        crossing = re.compile(rf"[^▁]▁|\n|[{_LETTERS}][\x00-@\[-`{{-\x7f]")
+        self.by_chunk = not any(crossing.search(p) for p in pieces if not re.fullmatch("<.*>", p)) and \
+            self.own.normalize(probe) == "▁" + probe.replace(" ", "▁") and \
+            self.own.encode("\n", out_type=str) == ["▁", "<0x0A>"]
 
     def encode(self, chunks: list[str]):
-        # after a line break without the space that the tokenizer writes, else with it for the chunk's own
-        got = self.own.encode([c if c[0] == "\n" else c[1:] for c in chunks], num_threads=1)
-        return [ids[1:] if c[0] == "\n" else ids or [self.blank] for c, ids in zip(chunks, got)]
+        # the tokenizer's own space stands for the first one of the chunk; a chunk without any follows a line break here
+        got = self.own.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
+        return [(ids or [self.blank]) if c[0] == " " else ids[2:] for c, ids in zip(chunks, got)]
 
     def whole(self, text: str):
         return self.own.encode(text)
