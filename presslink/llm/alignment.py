@@ -56,19 +56,14 @@ class Encoder(dict):
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts; the chunks that are not known yet are encoded together."""
         cut = [self.CHUNKS.findall(" " + t) if t and self.by_chunk and not _ODD.search(t) else None for t in texts]
-        new = set()
-        for chunks in cut:
-            new.update(chunks or ())
-        new.difference_update(self)
+        new = self.unknown(cut)
         if len(self) + len(new) > CACHE_CHUNKS:            # the shorter chunks stay, they come back more often
             sizes = np.array([len(c) for c in self], np.int64)
             limit = np.median(sizes) if len(sizes) else 0
             kept = [(c, ids) for c, ids in self.items() if len(c) < limit]
             self.clear()
             self.update(kept)
-            new.update(c for chunks in cut for c in chunks or ())
-            new.difference_update(self)
-        new = list(new)
+            new = self.unknown(cut)
         self.update(zip(new, map(_u4, self.encode(new))))
         out = [_u4(self.whole(t)) if chunks is None and t else b"".join(map(self.__getitem__, chunks or ()))
                for t, chunks in zip(texts, cut)]
@@ -77,6 +72,12 @@ class Encoder(dict):
                 del self[c]
         return out
 
+    def unknown(self, cut) -> list[str]:
+        found = set()
+        for chunks in cut:
+            found.update(chunks or ())
+        return [c for c in found if c not in self]
+
     def set_table(self, tokens: list[bytes]):
         self.size = len(tokens)
         self.length = np.array([len(t) for t in tokens], np.int64)
