@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presslink.llm import alignment, chaining, langid, licenses, mixing, packing, quality, search, simhash, sketch, suffix, warc
+from presslink.llm import alignment, attention, chaining, langid, licenses, mixing, packing, quality, search, simhash, sketch, suffix, warc
 from presslink.llm.common import read_table
 
 
@@ -73,6 +73,13 @@ def op12_alignment(spark, sf_dir):
     return d.withColumnRenamed("id", "doc_id")
 
 
+def op13_attention(spark, sf_dir):
+    import public_tokenizers
+
+    d = attention.score(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
+    return d.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chaining": op2_chaining,
@@ -86,6 +93,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_search": op11_search,
     "op12_alignment": op12_alignment,
+    "op13_attention": op13_attention,
 }
 
 ORACLES = {"op1_warc": warc.ORACLE_OP1, "op7_licenses": licenses.oracle(), "op11_search": search.ORACLE_OP11}
