@@ -44,7 +44,7 @@ TASK_PAIRS = 2_000_000         # distinct pairs that a task holds before it hand
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯▁　﻿]")
 
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class Encoder(dict):
@@ -55,7 +55,7 @@ class Encoder(dict):
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts; the chunks that are not known yet are encoded together."""
-        cut = [self.CHUNKS.findall(" " + t) if t and self.by_chunk and not _ODD.search(t) else None for t in texts]
+        cut = [self.cut(t) if t and self.by_chunk and not _ODD.search(t) else None for t in texts]
         new = self.unknown(cut)
         if len(self) + len(new) > CACHE_CHUNKS:            # the shorter chunks stay, they come back more often
             sizes = np.array([len(c) for c in self], np.int64)
@@ -72,6 +72,9 @@ class Encoder(dict):
                 del self[c]
         return out
 
+    def cut(self, text: str) -> list[str]:
+        return self.CHUNKS.findall(" " + text)
+
     def unknown(self, cut) -> list[str]:
         found = set()
         for chunks in cut:
@@ -94,9 +97,10 @@ def _u4(ids) -> bytes:
 class ByteLevel(Encoder):
     """Tokenizer A; its text has the space before it."""
 
+    LETTERS_ONLY = re.compile(rf" ?[{LETTERS}]+")
     # the tokenizer's own rule joins one space to what follows, never crosses other white space and ends letters
     # before what is no letter
-    CHUNKS = re.compile(rf" ?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)| ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
+    CHUNKS = re.compile(rf" ?[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)| ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
 
     def __init__(self, path: str):
         super().__init__()
@@ -110,10 +114,15 @@ class ByteLevel(Encoder):
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]      # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in visible]
         byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        self.shown = {b: c for c, b in byte.items()}       # byte to the character that stands for it
         self.set_table([bytes([byte[c] for c in self.own.id_to_token(i)]) for i in range(self.own.get_vocab_size())])
 
     def encode(self, chunks: list[str]):
-        return [e.ids for e in self.own.encode_batch_fast(chunks, add_special_tokens=False)]
+        """A run of letters is one word of the tokenizer's rule and goes to its model directly."""
+        shown = [c.encode().decode("latin-1").translate(self.shown) if self.LETTERS_ONLY.fullmatch(c) else None for c in chunks]
+        rest = iter(self.own.encode_batch_fast([c for c, s in zip(chunks, shown) if s is None], add_special_tokens=False))
+        tokenize = self.own.model.tokenize
+        return [next(rest).ids if s is None else [t.id for t in tokenize(s)] for s in shown]
 
     def whole(self, text: str):
         return self.own.encode(" " + text, add_special_tokens=False).ids
@@ -122,7 +131,7 @@ class ByteLevel(Encoder):
 class Pieces(Encoder):
     """Tokenizer B, which writes a space before the text itself."""
 
-    CHUNKS = re.compile(rf" +[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)| +[^ \n]*|\n?[^ \n]+|\n")
+    CHUNKS = re.compile(rf" +[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)| +[^ \n]*|\n?[^ \n]+|\n")
 
     def __init__(self, path: str):
         super().__init__()
@@ -135,7 +144,7 @@ class Pieces(Encoder):
         self.blank = self.own.piece_to_id("▁")
         # chunks give the ids of the whole only if no piece crosses their edges and no text is rewritten
         probe = "x  éé ﬁ\tz\n w "
-        crossing = re.compile(rf"[^▁]▁|\n|[{_LETTERS}][\x00-@\[-`{{-\x7f]")
+        crossing = re.compile(rf"[^▁]▁|\n|[{LETTERS}][\x00-@\[-`{{-\x7f]")
         self.by_chunk = not any(crossing.search(p) for p in pieces if not re.fullmatch("<.*>", p)) and \
             self.own.normalize(probe) == "▁" + probe.replace(" ", "▁") and \
             self.own.encode("\n", out_type=str) == ["▁", "<0x0A>"]
