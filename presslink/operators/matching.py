@@ -1,24 +1,17 @@
 """Fuzzy contribution matching (P14, K1, J2-J5, O1, A9, F5, P15, P16, F6, S7 lines).
 
-Plan (exact, no pair is ever emitted as a row):
+Plan (exact):
 1. normalise names once (P14) and keep **distinct** strings: a hot mention or
    contributor string costs one score, not one per row;
 2. per distinct contributor string keep only its ``k`` smallest record indexes
    (row_number <= k, planned as a partial+final WindowGroupLimit) - more can
    never enter a top-k ordered by (score desc, idx asc);
-3. score distinct mention strings against distinct contributor strings in a
-   block nested loop: mentions are hash-split into ``B`` blocks and
-   contributors into ``P`` blocks (sizes chosen from counts so every cogroup
-   holds bounded data); each cogroup scores its pairs inside the task and
-   returns only its local top-k per mention and field;
-4. a final ``row_number <= k`` per (mention, field) merges the local lists.
+3. distinct mention strings meet only those blocks of contributor strings whose
+   upper bound reaches the mention's k-th score so far (``nearest``).
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +20,10 @@ from pyspark.sql.types import DoubleType
 from presslink.functions.names import normalize_name
 from presslink.functions.replies import has_braces, slice_json, whole_object
 from presslink.functions.text import strip
-from presslink.session import cores, materialize
 
 TOP_K = 5
 LOW_THRESHOLD = 62
 HIGH_THRESHOLD = 93          # read by the reference configuration, never used for a decision (T11)
-MENTION_BLOCK = 8192         # distinct mention strings per cogroup (upper bound)
-MIN_MENTION_BLOCK = 32       # smallest mention block worth its own group
-CONTRIB_BLOCK = 50000        # distinct contributor strings per cogroup (vector length)
 HOT_ROWS = 100_000           # mention rows of one name that go to one task
 
 FIELDS = {"name": "contributor_name", "employer": "contributor_employer"}
@@ -65,201 +54,14 @@ def contributor_strings(contribs_norm: DataFrame, k: int = TOP_K) -> DataFrame:
             .groupBy("field", "c").agg(F.array_sort(F.collect_list("idx")).alias("idxs")))
 
 
-# ------------------------------------------------------------------ K1 inside tasks
-
-class _FieldBlock:
-    """Contributor strings of one field and of similar length, prepared for vector scoring."""
-
-    def __init__(self, strings, idxs, alphabet: dict[str, int]):
-        n = len(strings)
-        self.idxs = [list(x) for x in idxs]
-        self.min_idx = np.array([x[0] if len(x) else np.iinfo(np.int64).max for x in self.idxs], dtype=np.int64)
-        toks = [sorted(set(c.split())) for c in strings]
-        self.n_tok = np.array([len(t) for t in toks], dtype=np.int64)
-        self.tok_len = np.array([sum(map(len, t)) for t in toks], dtype=np.int64)
-        postings: dict[str, list[tuple[int, int]]] = {}
-        # sorted token strings as a padded code matrix; ``owner``: the token a character (or the space after it) is of
-        width = max((len(" ".join(t)) for t in toks), default=0)
-        self.codes = np.zeros((n, width), dtype=np.int32)
-        self.owner = np.zeros((n, width), dtype=np.int32)
-        self.space = alphabet.setdefault(" ", len(alphabet) + 1)
-        for j, t in enumerate(toks):
-            at = 0
-            for i, w in enumerate(t):
-                postings.setdefault(w, []).append((j, i))
-                for ch in w + " " * (i + 1 < len(t)):
-                    self.codes[j, at] = alphabet.setdefault(ch, len(alphabet) + 1)
-                    self.owner[j, at] = i
-                    at += 1
-        self.postings = {w: np.array(v, dtype=np.int64).T for w, v in postings.items()}
-
-    def without(self, rows: np.ndarray, shared: list[str]) -> np.ndarray:
-        """Codes of ``rows`` with the ``shared`` tokens (and the spaces they leave) blanked out."""
-        if not shared:
-            return self.codes[rows]
-        kept = np.arange(max(int(self.n_tok.max()), 1)) < self.n_tok[rows, None]
-        for w in shared:
-            hit, token = self.postings[w]
-            at = np.searchsorted(hit, rows)          # rows hold every shared token once
-            kept[np.arange(len(rows)), token[at]] = False
-        last = kept.shape[1] - 1 - np.argmax(kept[:, ::-1], axis=1)
-        codes, owner = self.codes[rows], self.owner[rows]
-        stays = np.take_along_axis(kept, owner, axis=1)
-        stays &= (codes != self.space) | (owner < last[:, None])
-        return np.where(stays, codes, 0)
-
-
-LCS_BITS = 62        # bits of a pattern per uint64: room for a carry
-
-
-def _lcs_many(pattern: str, codes: np.ndarray, alphabet: dict[str, int]) -> np.ndarray:
-    """LCS(pattern, each row of codes), bit-parallel over as many uint64 per candidate as
-    the pattern needs. Code 0 has an empty match mask, which leaves the state unchanged,
-    so padding and blanked characters need no masking."""
-    m, n = len(pattern), len(codes)
-    words = -(-m // LCS_BITS)
-    table = np.zeros((words, len(alphabet) + 2), dtype=np.uint64)
-    for q, ch in enumerate(pattern):
-        code = alphabet.get(ch)
-        if code is not None:
-            table[q // LCS_BITS, code] |= np.uint64(1) << np.uint64(q % LCS_BITS)
-    full = [np.uint64((1 << min(LCS_BITS, m - w * LCS_BITS)) - 1) for w in range(words)]
-    v = [np.full(n, f, dtype=np.uint64) for f in full]
-    for col in range(codes.shape[1]):
-        c = codes[:, col]
-        carry = np.uint64(0)
-        for w in range(words):
-            u = v[w] & table[w][c]
-            total = v[w] + u + carry
-            carry = total >> np.uint64(LCS_BITS)
-            v[w] = (total | (v[w] - u)) & full[w]
-    return m - sum((np.bitwise_count(x).astype(np.int64) for x in v), np.zeros(n, dtype=np.int64))
-
-
-def _scores(m: str, block: _FieldBlock, alphabet: dict[str, int]) -> np.ndarray:
-    """Exact token-set ratio of ``m`` against every string of the block (vectorised)."""
-    n = len(block.idxs)
-    ta = sorted(set(m.split()))
-    if not ta or n == 0:
-        return np.zeros(n)
-    n_a, len_a = len(ta), sum(map(len, ta))
-    has = np.zeros((n, n_a), dtype=bool)
-    for q, w in enumerate(ta):
-        hit = block.postings.get(w)
-        if hit is not None:
-            has[hit[0], q] = True
-    inter_n = has.sum(axis=1)
-    inter_len = has @ np.array([len(w) for w in ta], dtype=np.int64)
-    xn, yn = n_a - inter_n, block.n_tok - inter_n
-    i = inter_len + np.maximum(inter_n - 1, 0)
-    x = (len_a - inter_len) + np.maximum(xn - 1, 0)
-    y = (block.tok_len - inter_len) + np.maximum(yn - 1, 0)
-    s = (inter_n > 0).astype(np.int64)
-    l1, l2 = i + s + x, i + s + y
-    with np.errstate(divide="ignore", invalid="ignore"):
-        side = np.where(i > 0, np.maximum(100.0 - 100.0 * (s + x) / (i + l1), 100.0 - 100.0 * (s + y) / (i + l2)),
-                        0.0)
-        r0_bound = 100.0 - 100.0 * np.abs(x - y) / (l1 + l2)
-        score = np.where(r0_bound <= side, side, np.nan)
-    score = np.where(block.n_tok == 0, 0.0, score)
-    score = np.where((inter_n > 0) & ((xn == 0) | (yn == 0)), 100.0, score)
-    todo = np.flatnonzero(np.isnan(score))
-    if len(todo):   # the rest of the tokens decides: one pass per set of shared tokens
-        sets, which = np.unique(has[todo], axis=0, return_inverse=True)
-        which = which.ravel()
-        for g, shared in enumerate(sets):
-            rows = todo[which == g]
-            rest = " ".join(w for w, gone in zip(ta, shared) if not gone)
-            lcs = _lcs_many(rest, block.without(rows, [w for w, gone in zip(ta, shared) if gone]), alphabet)
-            r0 = 100.0 - 100.0 * (x[rows] + y[rows] - 2 * lcs) / (l1[rows] + l2[rows])
-            score[rows] = np.maximum(r0, side[rows])
-    return score
-
-
-BLOCK_CELLS = 1 << 22        # characters of one code matrix
-
-
-def _field_blocks(cands: pd.DataFrame, alphabet: dict[str, int], cells: int = BLOCK_CELLS) -> list[_FieldBlock]:
-    """The strings in order of length, cut so that a matrix (strings x longest string) has at most ``cells`` cells."""
-    order = cands["c"].str.len().to_numpy().argsort(kind="stable")
-    strings, idxs = cands["c"].to_numpy()[order], cands["idxs"].to_numpy()[order]
-    out, start = [], 0
-    for end in range(1, len(strings) + 1):
-        if end == len(strings) or (end + 1 - start) * len(strings[end]) > cells:
-            out.append(_FieldBlock(strings[start:end], idxs[start:end], alphabet))
-            start = end
-    return out
-
-
-def _topk_records(score: np.ndarray, block: _FieldBlock, k: int) -> list[tuple[float, int]]:
-    """Top-k records by (score desc, idx asc): only the k best strings by
-    (score, smallest idx) can hold them."""
-    if len(score) == 0:
-        return []
-    order = np.lexsort((block.min_idx, -score))[:k]
-    recs = [(float(score[j]), ix) for j in order for ix in block.idxs[j][:k]]
-    recs.sort(key=lambda t: (-t[0], t[1]))
-    return recs[:k]
-
-
-def _frame(m, f, i, s) -> pd.DataFrame:
-    return pd.DataFrame({"m": pd.Series(m, dtype=object), "field": pd.Series(f, dtype=object),
-                         "idx": pd.Series(i, dtype="int64"), "score": pd.Series(s, dtype="float64")})
-
-
-def _block_topk(k: int):
-    def run(mentions: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        out_m, out_f, out_i, out_s = [], [], [], []
-        if mentions.empty or cands.empty:
-            return _frame(out_m, out_f, out_i, out_s)
-        alphabet: dict[str, int] = {}
-        blocks = {field: _field_blocks(sub, alphabet) for field, sub in cands.groupby("field")}
-        for m in mentions["m"]:
-            for field, parts in blocks.items():
-                found = [r for part in parts for r in _topk_records(_scores(m, part, alphabet), part, k)]
-                for sc, ix in sorted(found, key=lambda t: (-t[0], t[1]))[:k]:
-                    out_m.append(m)
-                    out_f.append(field)
-                    out_i.append(ix)
-                    out_s.append(sc)
-        return _frame(out_m, out_f, out_i, out_s)
-    return run
-
-
-def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K,
-               mention_block: int = MENTION_BLOCK, contrib_block: int = CONTRIB_BLOCK) -> DataFrame:
-    """Top-k records per distinct mention string and field.
+def fuzzy_topk(mention_norms: DataFrame, cands: DataFrame, k: int = TOP_K, **options) -> DataFrame:
+    """Top-k records per distinct mention string and field, exact (see :mod:`presslink.operators.nearest`).
 
     ``mention_norms(m)`` distinct; ``cands(field, c, idxs)`` from
     :func:`contributor_strings`. Returns ``m, field, rank, idx, score``.
     """
-    # Both inputs are read twice (size check, then the scan): checkpoint them once.
-    mention_norms = materialize(mention_norms)
-    cands = materialize(cands)
-    n_m = mention_norms.count()
-    n_c = cands.count()
-    # Contributor blocks stay large (long vectors in the scorer). Mention blocks bound
-    # each group; beyond that, only enough of them to give about one group per core
-    # (each extra mention block replicates every contributor string once more).
-    p = max(1, math.ceil(n_c / contrib_block))
-    want = math.ceil(cores(cands.sparkSession) / p)
-    b = max(1, math.ceil(n_m / mention_block), min(want, math.ceil(n_m / MIN_MENTION_BLOCK)))
-    # Block keys are LONG on both sides: co-partitioning needs identical key types.
-    m_rep = mention_norms.select(
-        "m", F.pmod(F.xxhash64("m"), F.lit(b).cast("long")).alias("mb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("cb"))
-    c_rep = cands.select(
-        "field", "c", "idxs", F.pmod(F.xxhash64("field", "c"), F.lit(p).cast("long")).alias("cb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))).alias("mb"))
-    # One partition per block pair, fixed by the user-side repartition so AQE keeps
-    # the scorer's parallelism instead of coalescing small (but CPU-heavy) groups.
-    n = b * p
-    m_rep = m_rep.repartition(n, "mb", "cb")
-    c_rep = c_rep.repartition(n, "mb", "cb")
-    local = (m_rep.groupBy("mb", "cb").cogroup(c_rep.groupBy("mb", "cb"))
-             .applyInPandas(_block_topk(k), "m string, field string, idx long, score double"))
-    w = Window.partitionBy("m", "field").orderBy(F.col("score").desc(), F.col("idx"))
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    from presslink.operators.nearest import nearest
+    return nearest(mention_norms, cands, k, **options)
 
 
 # ------------------------------------------------------------------ merge, rank, gate
@@ -296,11 +98,11 @@ def gate(best: DataFrame, low: int = LOW_THRESHOLD) -> DataFrame:
     return best.filter(F.col("best_score") > low)
 
 
-def shortlist(mentions_norm: DataFrame, contribs_norm: DataFrame, k: int = TOP_K, **blocks) -> DataFrame:
+def shortlist(mentions_norm: DataFrame, contribs_norm: DataFrame, k: int = TOP_K, **options) -> DataFrame:
     """P14 -> J2/J3 -> J4 -> O1 for every distinct mention string: ranked candidates
     ``m, idx, cand_rank, n_cands, name_score, employer_score, name_rank, emp_rank``."""
     m = mentions_norm.select(F.col("norm").alias("m")).distinct()
-    top = fuzzy_topk(m, contributor_strings(contribs_norm, k), k, **blocks)
+    top = fuzzy_topk(m, contributor_strings(contribs_norm, k), k, **options)
     return rank_candidates(merge_candidates(top))
 
 

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from presslink.functions.similarity import token_set_ratio
 from presslink.operators import matching as mt
+from presslink.operators import nearest
+from presslink.operators.strings import StringBlock, scores
 from presslink.plans.flows import match_contributions
 
 
@@ -36,22 +39,79 @@ def brute_topk(mentions, contribs, field, k):
     return out
 
 
-@pytest.mark.parametrize("mblock,cblock", [(4096, 20000), (3, 7)])
-def test_fuzzy_topk_equals_brute_force(spark, mblock, cblock):
-    rnd = random.Random(11)
-    vocab = ["acme", "acne", "widget", "widgets", "global", "fund", "funds", "cab", "american", "ireland", "group"]
-    names = [" ".join(rnd.sample(vocab, rnd.randint(1, 3))) for _ in range(60)]
-    contribs = {i: {"name": rnd.choice(names), "employer": rnd.choice(names + [""])} for i in range(120)}
-    mentions = [rnd.choice(names) + rnd.choice(["", "x"]) for _ in range(25)]
+def nearest_of(spark, mentions, contribs, k=5, **options):
     m_df = spark.createDataFrame([(m,) for m in set(mentions)], "m string")
     c_df = spark.createDataFrame([(i, c["name"], c["employer"]) for i, c in contribs.items()],
                                  "idx long, name_norm string, emp_norm string")
-    top = mt.fuzzy_topk(m_df, mt.contributor_strings(c_df, 5), 5, mention_block=mblock, contrib_block=cblock)
-    for field, key in (("name", "name"), ("employer", "employer")):
-        got = {}
-        for r in top.filter(F.col("field") == field).orderBy("m", "rank").collect():
-            got.setdefault(r.m, []).append((r.idx, round(r.score, 9)))
-        assert got == brute_topk(mentions, contribs, key, 5)
+    top = mt.fuzzy_topk(m_df, mt.contributor_strings(c_df, k), k, **options)
+    out = {"name": {}, "employer": {}}
+    for r in top.orderBy("field", "m", "rank").collect():
+        out[r.field].setdefault(r.m, []).append((r.idx, round(r.score, 9)))
+    return out
+
+
+@pytest.mark.parametrize("block,max_blocks,seed", [(128, 100_000, 11), (3, 100_000, 12), (2, 7, 13)])
+def test_fuzzy_topk_equals_brute_force(spark, monkeypatch, block, max_blocks, seed):
+    monkeypatch.setattr(nearest, "MAX_BLOCKS", max_blocks)
+    monkeypatch.setattr(nearest, "HOT_ROWS", 20)
+    rnd = random.Random(seed)
+    vocab = ["acme", "acne", "widget", "widgets", "global", "fund", "funds", "cab", "american", "ireland", "group", "ñandú", "x1"]
+    names = [" ".join(rnd.sample(vocab, rnd.randint(1, 3))) for _ in range(60)]
+    contribs = {i: {"name": rnd.choice(names), "employer": rnd.choice(names + [""])} for i in range(120)}
+    mentions = [rnd.choice(names) + rnd.choice(["", "x"]) for _ in range(25)] + ["", "qqq", "fund fund fund", "american", "日本"]
+    got = nearest_of(spark, mentions, contribs, block=block)
+    for field in ("name", "employer"):
+        assert got[field] == brute_topk(mentions, contribs, field, 5)
+
+
+def test_fuzzy_topk_one_token_in_half_of_all_names(spark, monkeypatch):
+    """A hot token, strings without any token in common, and few records per field."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("aeiourstln", k=rnd.randint(2, 8)))
+    names = [(("american " if i % 2 else "") + " ".join(word() for _ in range(rnd.randint(1, 3)))) for i in range(300)]
+    contribs = {i: {"name": n, "employer": rnd.choice(names[:4])} for i, n in enumerate(names)}
+    mentions = [("american " if i % 3 else "") + word() + " " + word() for i in range(40)]
+    got = nearest_of(spark, mentions, contribs, block=4)
+    for field in ("name", "employer"):
+        assert got[field] == brute_topk(mentions, contribs, field, 5)
+
+
+def test_fuzzy_topk_scores_few_of_all_pairs(spark):
+    """Names of many words: the exact answer takes a small part of all pairs, and a smaller part of more names."""
+    def share(n):
+        rnd = random.Random(9)
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(4, 9))) for _ in range(n // 4)]
+        names = list({" ".join(rnd.choices(words, k=rnd.randint(2, 3))) for _ in range(n)})
+        mentions = [rnd.choice(names)[1:] for _ in range(60)]
+        counter = spark.sparkContext.accumulator(0)
+        contribs = {i: {"name": x, "employer": ""} for i, x in enumerate(names)}
+        got = nearest_of(spark, mentions, contribs, block=32, scored=counter)
+        assert got["name"] == brute_topk(mentions, contribs, "name", 5)
+        return counter.value / (len(set(mentions)) * len(names))
+
+    small, large = share(400), share(3200)
+    assert large < 0.25 and large < small
+
+
+def test_fuzzy_topk_edges(spark):
+    contribs = {i: {"name": n, "employer": ""} for i, n in enumerate(["b", "", "a", "b", "x" * 5000, "a b"])}
+    mentions = ["", "a", "b a", "x" * 4000, "zzz"]
+    assert nearest_of(spark, mentions, contribs, k=3)["name"] == brute_topk(mentions, contribs, "name", 3)
+    assert nearest_of(spark, [], contribs) == {"name": {}, "employer": {}}
+    assert nearest_of(spark, ["a"], {}) == {"name": {}, "employer": {}}
+
+
+@pytest.mark.parametrize("text", ["a fund", "fund", "american cab", "", "zz é"])
+def test_bounds_are_never_below_the_score(text):
+    rnd = random.Random(2)
+    vocab = ["a", "fund", "american", "cab", "zz", "é", "funds", "ac"]
+    for _ in range(300):
+        other = " ".join(rnd.choices(vocab, k=rnd.randint(0, 5)))
+        a, b = nearest.token_form(text), nearest.token_form(other)
+        shared = len(" ".join(set(a.split()) & set(b.split())))
+        bag = nearest.bag_bound(nearest.bag(a), len(a), nearest.bag(b)[:, None], np.array([len(b)]))[0]
+        side = 200 * shared / (shared + min(len(a), len(b))) if shared else 0
+        assert token_set_ratio(text, other) <= max(bag, side) + 1e-9
 
 
 def run_flow(spark, mentions, contribs, replies):
@@ -125,21 +185,18 @@ def test_hot_names_are_dealt(spark, hot_rows):
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("cells", [1, 2000, 1 << 22])
-def test_vector_scores_equal_pairwise_scores(cells):
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_vector_scores_equal_pairwise_scores(size):
     """Names with and without shared tokens, with shared tokens at both ends and of more than 63 and 200 characters."""
-    import pandas as pd
     rng = random.Random(3)
     vocabulary = ["american", "fund", "a", "b", "ab", "ireland", "cab", "x" * 70, "é", "zz", "group", "of", "the", "trust"]
     names = ["", "a", "the the"] + [" ".join(rng.choices(vocabulary, k=rng.randint(1, 12))) for _ in range(30)]
     names += [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 60))) for _ in range(8)]
-    cands = pd.DataFrame({"c": names, "idxs": [[i] for i in range(len(names))]})
     alphabet = {}
-    blocks = mt._field_blocks(cands, alphabet, cells)
-    assert sum(len(b.idxs) for b in blocks) == len(names) and (cells > 1 or len(blocks) > 20)
+    blocks = [StringBlock(names[i:i + size], [[j] for j in range(i, min(i + size, len(names)))], alphabet) for i in range(0, len(names), size)]
     assert max(len(n) for n in names) > 200
     for m in names:
         for block in blocks:
-            got = mt._scores(m, block, alphabet)
+            got = scores(m, block, alphabet)
             want = [token_set_ratio(m, names[i[0]]) for i in block.idxs]
             assert got.tolist() == want
