@@ -39,6 +39,7 @@ MAX_BLOCKS = 100_000         # bag blocks in the broadcast directory: at most 20
 BLOCK_CHARS = 1 << 20        # characters of a block, if each string were as long as its longest
 SEED_BLOCKS = 2
 KEPT_BLOCKS = 256            # blocks that a task keeps prepared
+SMALL = 4_096                # contributor strings that need no index
 HOT_ROWS = 100_000           # mention rows of one token that go to one task
 SLACK = 1e-9                 # bounds and scores are floating-point numbers
 
@@ -128,14 +129,13 @@ def _with_rest(rows: DataFrame, *keys: str) -> DataFrame:
 
 def token_blocks(cands: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Blocks ``field, t, rest, len, part, strings, idxs``, and the directory ``field, t, df, spans`` (``rest, len, parts``)."""
-    ranked = materialize(_with_rest(token_order(cands), "field", "c"))
-    lengths = ranked.groupBy("field", "c").agg((F.sum(F.length("t") + 1) - 1).cast("int").alias("len"))
+    whole = Window.partitionBy("field", "c")
+    per_place = materialize(_with_rest(token_order(cands), "field", "c").withColumn(
+        "len", (F.sum(F.length("t") + 1).over(whole) - 1).cast("int")))
     # several parts per place of a frequent token; a part is a hash range, so none is collected whole
-    per_place = ranked.join(lengths, ["field", "c"])
     sizes = per_place.groupBy("field", "t", "rest", "len").agg(
         F.count(F.lit(1)).alias("n"), F.first("df").alias("df")).withColumn(
         "parts", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"{BLOCK_CHARS} div len")))).cast("int"))
-    sizes = materialize(sizes)
     place = ["field", "t", "rest", "len"]
     dealt = (per_place.drop("df").join(sizes.select(*place, "parts"), place)
              .withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
@@ -143,7 +143,7 @@ def token_blocks(cands: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataF
     blocks = dealt.groupBy(*place, "part").agg(F.sort_array(F.collect_list(F.struct("c", "idxs"))).alias("own")).select(
         *place, "part", F.col("own.c").alias("strings"), F.col("own.idxs").alias("idxs"))
     directory = sizes.groupBy("field", "t").agg(F.first("df").alias("df"), F.collect_list(F.struct("rest", "len", "parts")).alias("spans"))
-    return materialize(blocks), materialize(directory)
+    return blocks, directory
 
 
 # -- what a mention meets -------------------------------------------------------------------------
@@ -211,7 +211,8 @@ _FOUND = "m string, field string, idx long, score double"
 def _best(found: DataFrame, k: int) -> DataFrame:
     """A record may be found by several blocks: once each, then the ``k`` best."""
     w = Window.partitionBy("m", "field").orderBy(F.col("score").desc(), F.col("idx"))
-    return found.dropDuplicates(["m", "field", "idx"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # equal rows share a dense rank, so that one exchange serves both steps
+    return found.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= k).dropDuplicates(["m", "field", "idx"])
 
 
 def _floors(mentions: DataFrame, best: DataFrame, k: int) -> DataFrame:
@@ -220,7 +221,29 @@ def _floors(mentions: DataFrame, best: DataFrame, k: int) -> DataFrame:
     return mentions.join(kth, ["m", "field"], "left").select("m", "field", F.coalesce("score", F.lit(0.0)).alias("floor"))
 
 
-def nearest(mention_norms: DataFrame, cands: DataFrame, k: int, block: int = BLOCK, scored=None) -> DataFrame:
+def _against_all(strings, k: int, scored):
+    """Mention strings -> their ``k`` best records of each field, ranked, from all strings of the field."""
+    def run(batches):
+        alphabet: dict[str, int] = {}
+        fields: dict[str, list[StringBlock]] = {}
+        for field, own in strings.value.items():
+            own = sorted(own, key=lambda x: len(x[0]))     # a block's matrix is as wide as its longest string
+            fields[field] = [StringBlock([c for c, _ in own[i:i + 512]], [x for _, x in own[i:i + 512]], alphabet)
+                             for i in range(0, len(own), 512)]
+        for pdf in batches:
+            out = []
+            for m in pdf["m"]:
+                for field, blocks in fields.items():
+                    found = sorted((r for b in blocks for r in topk_records(scores(m, b, alphabet), b, k)), key=lambda r: (-r[0], r[1]))
+                    out += [(m, field, i, s, n + 1) for n, (s, i) in enumerate(found[:k])]
+                    if scored is not None:
+                        scored.add(sum(len(b.idxs) for b in blocks))
+            yield pd.DataFrame(out, columns=["m", "field", "idx", "score", "rank"]).astype({"idx": "int64", "score": "float64", "rank": "int32"})
+
+    return run
+
+
+def nearest(mention_norms: DataFrame, cands: DataFrame, k: int, block: int = BLOCK, small: int = SMALL, scored=None) -> DataFrame:
     """``m, field, idx, score, rank``: the ``k`` best records per mention string and field (score, then smallest id).
 
     ``mention_norms(m)`` distinct; ``cands(field, c, idxs)`` distinct strings with their ``k`` smallest record ids.
@@ -230,7 +253,13 @@ def nearest(mention_norms: DataFrame, cands: DataFrame, k: int, block: int = BLO
 
     spark = cands.sparkSession
     cands = materialize(cands)
-    n = cands.count()
+    n, chars = cands.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("c")), F.lit(0))).first()
+    if n <= small and chars <= BLOCK_CHARS:
+        strings: dict[str, list] = {}
+        for r in cands.collect():                          # at most ``small`` rows
+            strings.setdefault(r.field, []).append((r.c, list(r.idxs)))
+        return mention_norms.select("m").repartition(cores(spark)).mapInPandas(
+            _against_all(spark.sparkContext.broadcast(strings), k, scored), _FOUND + ", rank int")
     mentions = materialize(mention_norms.select("m").repartition(cores(spark)))
     bags = bag_blocks(cands, n, block)
     directory = {}
@@ -260,14 +289,14 @@ def nearest(mention_norms: DataFrame, cands: DataFrame, k: int, block: int = BLO
 
     met = mentions.mapInPandas(_meet_bags(directory, True), "m string, field string, block long, floor double")
     found = materialize(base.unionAll(by_bag(met)))
-    floors = materialize(_floors(every, _best(found, k), k))
+    floors = _floors(every, _best(found, k), k)
 
     blocks, tokens = token_blocks(cands, block)
     own = (floors.select("m", "field", "floor", F.explode(F.array_distinct(F.split("m", r"\s+"))).alias("t"))
            .filter(F.col("t") != ""))
-    lens = own.groupBy("m", "field").agg((F.sum(F.length("t") + 1) - 1).cast("int").alias("la"))
+    own = own.withColumn("la", (F.sum(F.length("t") + 1).over(Window.partitionBy("m", "field")) - 1).cast("int"))
     held = _with_rest(join_hot(own, tokens, "t", "m", on=("field",), hot_rows=HOT_ROWS), "m", "field")
-    held = held.withColumnRenamed("rest", "ra").join(lens, ["m", "field"])
+    held = held.withColumnRenamed("rest", "ra")
     shared = F.least(F.col("s.rest"), F.col("ra"))
     may = 200.0 * shared / (shared + F.least(F.col("la"), F.col("s.len"))) >= F.col("floor") - SLACK
     spans = held.withColumn("s", F.explode("spans")).filter(may).select(
@@ -276,11 +305,11 @@ def nearest(mention_norms: DataFrame, cands: DataFrame, k: int, block: int = BLO
     by_token = (spans.join(blocks, ["field", "t", "rest", "len", "part"])
                 .select("m", "field", "floor", F.concat_ws("\t", "field", "t", "rest", "len", "part").alias("key"), "strings", "idxs")
                 .sortWithinPartitions("key").mapInPandas(_score_rows(k, False, scored), _FOUND))
-    found = materialize(_best(found.unionAll(by_token), k).drop("rank"))
-    floors = materialize(_floors(every, _best(found, k), k).repartition(cores(spark)))
+    found = materialize(_best(found.unionAll(by_token), k))
+    floors = _floors(every, found, k).repartition(cores(spark))
 
     far = floors.mapInPandas(_meet_bags(directory, False), "m string, field string, block long, floor double")
-    return _best(found.unionAll(by_bag(far)), k)
+    return _best(found.drop("rank").unionAll(by_bag(far)), k)
 
 
 def _zero_rows(batches):

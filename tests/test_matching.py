@@ -50,8 +50,8 @@ def nearest_of(spark, mentions, contribs, k=5, **options):
     return out
 
 
-@pytest.mark.parametrize("block,max_blocks,seed", [(128, 100_000, 11), (3, 100_000, 12), (2, 7, 13)])
-def test_fuzzy_topk_equals_brute_force(spark, monkeypatch, block, max_blocks, seed):
+@pytest.mark.parametrize("block,max_blocks,small,seed", [(128, 100_000, 0, 11), (3, 100_000, 0, 12), (2, 7, 0, 13), (128, 100_000, 4096, 14)])
+def test_fuzzy_topk_equals_brute_force(spark, monkeypatch, block, max_blocks, small, seed):
     monkeypatch.setattr(nearest, "MAX_BLOCKS", max_blocks)
     monkeypatch.setattr(nearest, "HOT_ROWS", 20)
     rnd = random.Random(seed)
@@ -59,7 +59,7 @@ def test_fuzzy_topk_equals_brute_force(spark, monkeypatch, block, max_blocks, se
     names = [" ".join(rnd.sample(vocab, rnd.randint(1, 3))) for _ in range(60)]
     contribs = {i: {"name": rnd.choice(names), "employer": rnd.choice(names + [""])} for i in range(120)}
     mentions = [rnd.choice(names) + rnd.choice(["", "x"]) for _ in range(25)] + ["", "qqq", "fund fund fund", "american", "日本"]
-    got = nearest_of(spark, mentions, contribs, block=block)
+    got = nearest_of(spark, mentions, contribs, block=block, small=small)
     for field in ("name", "employer"):
         assert got[field] == brute_topk(mentions, contribs, field, 5)
 
@@ -71,7 +71,7 @@ def test_fuzzy_topk_one_token_in_half_of_all_names(spark, monkeypatch):
     names = [(("american " if i % 2 else "") + " ".join(word() for _ in range(rnd.randint(1, 3)))) for i in range(300)]
     contribs = {i: {"name": n, "employer": rnd.choice(names[:4])} for i, n in enumerate(names)}
     mentions = [("american " if i % 3 else "") + word() + " " + word() for i in range(40)]
-    got = nearest_of(spark, mentions, contribs, block=4)
+    got = nearest_of(spark, mentions, contribs, block=4, small=0)
     for field in ("name", "employer"):
         assert got[field] == brute_topk(mentions, contribs, field, 5)
 
@@ -85,7 +85,7 @@ def test_fuzzy_topk_scores_few_of_all_pairs(spark):
         mentions = [rnd.choice(names)[1:] for _ in range(60)]
         counter = spark.sparkContext.accumulator(0)
         contribs = {i: {"name": x, "employer": ""} for i, x in enumerate(names)}
-        got = nearest_of(spark, mentions, contribs, block=32, scored=counter)
+        got = nearest_of(spark, mentions, contribs, block=32, small=0, scored=counter)
         assert got["name"] == brute_topk(mentions, contribs, "name", 5)
         return counter.value / (len(set(mentions)) * len(names))
 
@@ -93,12 +93,13 @@ def test_fuzzy_topk_scores_few_of_all_pairs(spark):
     assert large < 0.25 and large < small
 
 
-def test_fuzzy_topk_edges(spark):
+@pytest.mark.parametrize("small", [0, 4096])
+def test_fuzzy_topk_edges(spark, small):
     contribs = {i: {"name": n, "employer": ""} for i, n in enumerate(["b", "", "a", "b", "x" * 5000, "a b"])}
     mentions = ["", "a", "b a", "x" * 4000, "zzz"]
-    assert nearest_of(spark, mentions, contribs, k=3)["name"] == brute_topk(mentions, contribs, "name", 3)
-    assert nearest_of(spark, [], contribs) == {"name": {}, "employer": {}}
-    assert nearest_of(spark, ["a"], {}) == {"name": {}, "employer": {}}
+    assert nearest_of(spark, mentions, contribs, k=3, small=small)["name"] == brute_topk(mentions, contribs, "name", 3)
+    assert nearest_of(spark, [], contribs, small=small) == {"name": {}, "employer": {}}
+    assert nearest_of(spark, ["a"], {}, small=small) == {"name": {}, "employer": {}}
 
 
 @pytest.mark.parametrize("text", ["a fund", "fund", "american cab", "", "zz é"])
