@@ -89,6 +89,36 @@ def segment(paragraphs: DataFrame, block: int | None = DEFAULT_BLOCK) -> DataFra
     )
 
 
+def segment_documents(documents: DataFrame) -> DataFrame:
+    """W1 for paths made of many documents: ``path, pos, paragraphs`` -> ``path, ix, text, style, first_bold, seg``.
+
+    ``paragraphs`` is a document's array of ``ix, text, style, first_bold`` in order, ``pos`` (not negative, once per
+    path) orders the documents of a path. Paragraphs are cleaned (P1) and boundaries counted inside the arrays, the
+    running count goes over documents (one small row each, in groups of ``FAN`` places), and each array is opened
+    once, with ``seg`` known: no paragraph is shuffled or sorted.
+    """
+    cleaned = documents.select("path", "pos", F.filter(
+        F.transform("paragraphs", lambda p: F.struct(p["ix"].alias("ix"), strip(p["text"]).alias("text"), p["style"].alias("style"),
+                                                     p["first_bold"].alias("first_bold"))),
+        lambda p: p["text"] != "").alias("_p"))
+    counts = documents.select("path", F.col("pos").alias("_blk"), F.size(
+        F.filter("paragraphs", lambda p: is_boundary(strip(p["text"])))).alias("_n"))
+    last = documents.agg(F.max("pos")).first()[0] or 0
+    offsets = _running(counts, max(0, math.ceil(last.bit_length() / int(math.log2(FAN))) - 1)).withColumnRenamed("_blk", "pos")
+    with_ends = cleaned.join(offsets, ["path", "pos"]).withColumn("_ends", F.filter(
+        F.transform("_p", lambda p, i: F.when(is_boundary(p["text"]), i)), lambda i: i.isNotNull()))
+
+    def segment_of(j):
+        """The paragraphs between two boundaries, with the number of boundaries before them."""
+        first = F.when(j == 0, F.lit(0)).otherwise(F.get("_ends", j - 1) + 1)
+        stop = F.coalesce(F.get("_ends", j), F.size("_p"))
+        return F.transform(F.slice("_p", first + 1, stop - first), lambda p: F.struct(
+            p["ix"].alias("ix"), p["text"].alias("text"), p["style"].alias("style"), p["first_bold"].alias("first_bold"),
+            (F.col("_off") + j).cast("long").alias("seg")))
+
+    return with_ends.select("path", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_ends")), segment_of))))
+
+
 def annotate_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """Per-paragraph rule results (heading flag, source, date) feeding the segment
     aggregate. Applied before segmentation so the regex work runs in the input stage."""

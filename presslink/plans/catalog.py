@@ -42,7 +42,7 @@ def _clean(spark, sf):
 
 
 def _segmented(spark, sf):
-    return art.segment(art.annotate_paragraphs(_clean(spark, sf)))
+    return art.segment_documents(fx.fx_paragraph_arrays(spark, sf))
 
 
 def _summary(spark, sf):

@@ -82,6 +82,12 @@ def fx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_documents(spark, sf_dir).select(F.col("source").alias("path"), F.inline(_paragraphs()))
 
 
+def fx_paragraph_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paragraphs, one row per document: ``path, pos, paragraphs``."""
+    return fx_documents(spark, sf_dir).select(F.col("source").alias("path"), F.col("doc_id").alias("pos"),
+                                              _paragraphs().alias("paragraphs"))
+
+
 @cached_column
 def _paragraphs() -> Column:
     """All paragraphs of a document as an array."""

@@ -1,9 +1,12 @@
 """Segmentation and article assembly (W1, A1-A3, P7) including segment edges."""
 
+import random
+
 from conftest import paragraphs_df
 from pyspark.sql import functions as F
 
-from presslink.operators.articles import assemble_articles, clean_paragraphs, segment
+from presslink.operators import articles
+from presslink.operators.articles import assemble_articles, clean_paragraphs, segment, segment_documents
 
 
 def rows(df):
@@ -69,3 +72,26 @@ def test_segment_over_many_blocks_and_groups_of_blocks(spark):
     p = paragraphs_df(spark, rows).withColumn("ix", F.col("ix") * (1 << 26))     # 2,600 blocks, six groups of blocks
     got = {r.ix >> 26: r.seg for r in segment(p).select("ix", "seg").collect()}
     assert got == {i: i // 3 for i in range(2600) if i % 3 != 2}
+
+
+def as_documents(p):
+    """Paragraphs -> documents of four paragraphs each."""
+    return p.groupBy("path", F.expr("ix div 4").alias("pos")).agg(
+        F.array_sort(F.collect_list(F.struct("ix", "text", "style", "first_bold"))).alias("paragraphs"))
+
+
+def test_segment_documents_equals_segment_of_paragraphs(spark, monkeypatch):
+    """Documents with no, one and many boundaries, at both ends; blank paragraphs; several paths; groups of places."""
+    rng = random.Random(5)
+    texts = ["End of Document", " end of document ", "line", "  ", "other line", "END OF DOCUMENT"]
+    a = paragraphs_df(spark, [(rng.choice(texts), "Normal", i % 5 == 0) for i in range(300)], path="a")
+    b = paragraphs_df(spark, [(rng.choice(texts[2:5]), "Heading 1", False) for i in range(40)], path="b")
+    both = a.unionAll(b)
+    want = sorted(map(str, segment(clean_paragraphs(both)).select("path", "ix", "text", "style", "first_bold", "seg").collect()))
+    for fan in (1 << 15, 4):
+        monkeypatch.setattr(articles, "FAN", fan)
+        got = segment_documents(as_documents(both)).select("path", "ix", "text", "style", "first_bold", "seg").collect()
+        assert sorted(map(str, got)) == want
+    empty = spark.createDataFrame([("a", 0, []), ("a", 1, None)], "path string, pos long, paragraphs "
+                                  "array<struct<ix:long,text:string,style:string,first_bold:boolean>>")
+    assert segment_documents(empty).collect() == [] and segment_documents(empty.limit(0)).collect() == []
