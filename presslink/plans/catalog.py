@@ -518,8 +518,8 @@ def _word_corpus(spark, sf):
 _DOCX_SQL = (
     f"SELECT path, CAST(ix AS BIGINT) AS ix, text, style, first_bold, false AS failed FROM (SELECT CAST(ix // {fx.LINE_STRIDE} AS "
     f"VARCHAR) || '.docx' AS path, row_number() OVER (PARTITION BY ix // {fx.LINE_STRIDE} ORDER BY ix) - 1 AS ix, text, "
-    f"style, first_bold FROM fx_paragraphs WHERE (ix // {fx.LINE_STRIDE}) % 10 <> 9) UNION ALL "
-    "SELECT CAST(doc_id AS VARCHAR) || '.docx', NULL, NULL, NULL, NULL, true FROM documents WHERE doc_id % 10 = 9")
+    f"style, first_bold FROM fx_paragraphs) UNION ALL "
+    "SELECT CAST(doc_id AS VARCHAR) || '-broken.docx', NULL, NULL, NULL, NULL, true FROM documents WHERE doc_id % 10 = 9")
 
 
 @register("docx_paragraphs", o.with_(o.fx_paragraphs(), _DOCX_SQL))
@@ -529,10 +529,10 @@ def q_docx_paragraphs(spark, sf):
 
 
 @register("ingest_audit", o.with_(o.segment_summary(), (
-    "SELECT count(*) FILTER (WHERE doc_id % 10 <> 9) AS successful_files, count(*) FILTER (WHERE doc_id % 10 = 9) AS "
-    "failed_files, count(*) AS total_files, (SELECT count(*) FROM summary WHERE title IS NOT NULL AND n_parts > 0 AND "
-    f"(title_ix // {fx.LINE_STRIDE}) % 10 <> 9) AS total_articles, CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER "
-    "(WHERE doc_id % 10 <> 9) AS DOUBLE) / count(*) ELSE 0.0 END AS success_rate FROM documents")))
+    "SELECT count(*) AS successful_files, count(*) FILTER (WHERE doc_id % 10 = 9) AS failed_files, "
+    "count(*) + count(*) FILTER (WHERE doc_id % 10 = 9) AS total_files, (SELECT count(*) FROM summary WHERE title IS NOT NULL "
+    "AND n_parts > 0) AS total_articles, CASE WHEN count(*) > 0 THEN CAST(count(*) AS DOUBLE) / (count(*) + count(*) "
+    "FILTER (WHERE doc_id % 10 = 9)) ELSE 0.0 END AS success_rate FROM documents")))
 def q_ingest_audit(spark, sf):
     from presslink.sources.docx import corpus_paragraphs, ingest_audit
     corpus = materialize(_word_corpus(spark, sf))

@@ -108,7 +108,7 @@ def _paragraphs() -> Column:
 
 
 def is_broken(doc_id: Column) -> Column:
-    """Which Word files of the corpus fixture are no archives."""
+    """Which documents have a second file beside theirs that is no archive."""
     return doc_id % 10 == 9
 
 
@@ -141,11 +141,15 @@ def _word_files(batches):
 
 
 def fx_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path, content``: one Word file per document, some of them broken."""
-    doc = F.col("doc_id")
-    return fx_documents(spark, sf_dir).select(
-        F.concat(doc.cast("string"), F.lit(".docx")).alias("path"), is_broken(doc).alias("broken"),
-        _paragraphs().alias("paragraphs")).mapInPandas(_word_files, "path string, content binary")
+    """``path, content``: one Word file per document, and broken files beside some of them."""
+    doc, no = F.col("doc_id"), F.lit(None)
+    paragraphs = _paragraphs()
+    files = F.array(
+        F.struct(F.concat(doc.cast("string"), F.lit(".docx")).alias("path"), F.lit(False).alias("broken"), F.col("p").alias("paragraphs")),
+        F.struct(F.concat(doc.cast("string"), F.lit("-broken.docx")).alias("path"), F.lit(True).alias("broken"), no.alias("paragraphs")))
+    return (fx_documents(spark, sf_dir).select("doc_id", paragraphs.alias("p"))
+            .select(F.inline(F.slice(files, 1, F.when(is_broken(doc), 2).otherwise(1))))
+            .mapInPandas(_word_files, "path string, content binary"))
 
 
 def fx_paragraphs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,13 +164,17 @@ def _obj(name: Column, desc: Column) -> Column:
 
 def fx_responses(spark: SparkSession, sf_dir: str, articles: DataFrame) -> DataFrame:
     """Model-style replies per article ``(path, seg, response)``, eight shapes by ``seg % 8``;
-    names come from ``part`` (keys ``seg`` and ``seg + 1``); NULL reply when ``seg % 13 = 12``."""
+    two names from ``part``, whose keys go over the whole table with the articles of all paths; NULL reply when
+    ``seg % 13 = 12``."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    last = part.agg(F.max("p_partkey")).first()[0] or 1
+    number = F.coalesce(F.regexp_extract("path", "[0-9]+", 0).try_cast("long"), F.lit(0))
+    key = (F.col("seg") * 20 + number) * 2 % last + 1
     p1 = part.select(F.col("p_partkey").alias("_k1"), F.col("p_name").alias("_n1"))
     p2 = part.select(F.col("p_partkey").alias("_k2"), F.col("p_name").alias("_n2"))
     a = (articles.select("path", "seg", "source")
-         .join(p1, F.col("seg") == F.col("_k1"), "left")
-         .join(p2, F.col("seg") + 1 == F.col("_k2"), "left"))
+         .join(p1, key == F.col("_k1"), "left")
+         .join(p2, key + 1 == F.col("_k2"), "left"))
     n1 = F.concat(F.coalesce(F.col("_n1"), F.lit("unnamed works")), F.lit(" Inc."))
     n2 = F.concat(F.coalesce(F.col("_n2"), F.lit("unnamed works")), F.lit(" Partners"))
     wrap = lambda body: F.concat(F.lit('{"company_mentions": ['), body, F.lit("]}"))

@@ -262,8 +262,10 @@ def fx_responses():
         f"""WHEN a.seg % 16 = 15 THEN '{{"company_mentions": [{{"company_name": "' || {n1} || '", "description": null}}]}}' """
         f"ELSE {wrap(_obj('upper(a.source)', q('The publication itself')) + ' || ' + q(', ') + ' || ' + _obj(n2, q('Partner firm')))} END"
     )
+    number = "coalesce(TRY_CAST(regexp_extract(a.path, '[0-9]+') AS BIGINT), 0)"
+    key = f"((a.seg * 20 + {number}) * 2 % (SELECT max(p_partkey) FROM part) + 1)"
     body = (f"SELECT a.path, a.seg, {resp} AS response FROM articles a "
-            "LEFT JOIN part p1 ON p1.p_partkey = a.seg LEFT JOIN part p2 ON p2.p_partkey = a.seg + 1")
+            f"LEFT JOIN part p1 ON p1.p_partkey = {key} LEFT JOIN part p2 ON p2.p_partkey = {key} + 1")
     return articles() + [("fx_responses", body)]
 
 
