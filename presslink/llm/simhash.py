@@ -337,9 +337,10 @@ def keep_first(docs: DataFrame, k: int = 4, max_distance: int = 4, id_col: str =
     found = near_duplicates(docs, k, max_distance, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tag"))
     stay = found.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.tag").alias("_tag"))
-    own = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
-    kept = own.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key_id"),
+                      F.xxhash64(F.col(text_col).cast("string")).alias("key_tag"))         # whatever the row's columns are called
+    kept = own.join(stay, F.col("key_id").eqNullSafe(F.col("_id")) & (F.col("key_tag") == F.col("_tag")), "left_semi")
+    return kept.dropDuplicates(["key_id", "key_tag"]).select("row.*")
 
 
 def hex_fingerprint(column: str = "fp"):

@@ -1,6 +1,8 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm.test_simhash import brute_components, brute_fp
 from tests.llm.test_suffix import brute as brute_cut
 
@@ -40,6 +42,24 @@ def test_odd_rows_and_empty_table(spark):
         assert docs.count() >= (1 if data else 0)
 
 
+def test_clashing_column_names(spark):
+    """Columns with the names that operators use themselves come through every stage with their values."""
+    names = ["kept", "lang_pred", "score", "_id", "_own", "_tag", "_cut", "_row", "row", "id", "key_id", "_digest", "c1", "cut_id"]
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    stages = corpus_pipeline.STAGES
+    plain = table
+    docs = table.select(*[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names[:7]], "*",
+                        *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names[7:]])
+    for name, stage in stages:
+        plain, docs = stage(spark, plain, "/nowhere").cache(), stage(spark, docs, "/nowhere").cache()
+        if name == "pack":
+            break
+        assert docs.columns == [*names[:7], *table.columns, *names[7:]]
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in docs.collect() for n in names)
+        assert sorted(map(str, docs.select(*table.columns).collect())) == sorted(map(str, plain.collect()))
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in plain.collect())
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
