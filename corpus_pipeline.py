@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, repeated passages, mixing, packing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept; all but the last
-return the columns of ``documents``. Parameters are those of the operators' contracts.
+return the columns of their input, whatever else they are called beside ``doc_id, text, lang, source, n_chars``. Parameters
+are those of the operators' contracts.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from presslink.llm.common import read_table, store, tune
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose text has a language; the model learns from the labelled rows of this table."""
     tune(spark)
-    own = docs.columns
     model = langid.train(docs.where(~langid.held_out("doc_id", 5)))
-    judged = langid.predict(docs, model, keep=tuple(own))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*own)
+    # numbered columns can't meet the names of the prediction
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    judged = langid.predict(numbered, model, text_col=f"c{docs.columns.index('text')}", keep=tuple(numbered.columns))
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +34,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of strings of 50 bytes from the texts; a character that a cut breaks goes whole."""
     tune(spark)
-    own = docs.columns
     cut = suffix.dedup(docs, min_len=50, keep_text=True).where("n_removed > 0").select(
-        F.col("id").alias("_id"), F.col("digest").alias("_cut"), "kept").dropDuplicates(["_id", "_cut"])
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = rows.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_cut")), "left")
-    cut_here = F.col("_cut").isNotNull()
-    return (joined.withColumn("text", F.when(cut_here, F.col("kept")).otherwise(F.col("text")))
-            .withColumn("n_chars", F.when(cut_here, F.length("kept").cast("long")).otherwise(F.col("n_chars"))).select(*own))
+        F.col("id").alias("cut_id"), F.col("digest").alias("cut_digest"), "kept").dropDuplicates(["cut_id", "cut_digest"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"),
+                       F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("row_digest"))
+    joined = rows.join(cut, F.col("row_id").eqNullSafe(F.col("cut_id")) & (F.col("row_digest") == F.col("cut_digest")), "left")
+    cut_here = F.col("cut_digest").isNotNull()
+    new = {"text": F.when(cut_here, F.col("kept")).otherwise(F.col("row.text")),
+           "n_chars": F.when(cut_here, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
