@@ -2,10 +2,11 @@
 
 ``token_pieces`` tokenises whole texts (ids of a public tokenizer, then one end id) and cuts only
 documents longer than a sequence. ``pack`` deals the pieces over shards of bounded size; a shard packs
-its own: best-fit decreasing gives the incumbent, and where that misses the lower bound, a depth-first
-bin completion places the largest piece with each undominated filling of the rest, prunes by the waste
-that a better solution may have, and keeps the best solution found within ``nodes`` nodes. The least
-filled sequence of each shard is opened again and packed with those of the other shards.
+its own: best-fit decreasing gives the incumbent, and where that misses the lower bound, its wasteful bins
+are searched in groups of a few dozen: a depth-first bin completion places the largest piece with each
+undominated filling of the rest, prunes by the waste that a better solution may have, and keeps the best
+solution found within ``steps`` steps (exact where the search ends before). The least filled sequence of
+each shard is opened again and packed with those of the other shards.
 
 Tokenising goes word by word through a bounded cache: the tokenizer's rules never join characters over
 white space, so the ids of a text are those of its words. A word of plain Latin letters, digits and marks
@@ -32,8 +33,9 @@ from presslink.llm.common import store
 
 SHARD_PIECES = 20_000
 CACHE_WORDS = 400_000
-NODES = 2_000
-WIDTH = 8
+STEPS = 6_000             # steps of the search for one group of bins
+GROUP = 24
+ROUNDS = 4
 
 
 # -- tokens ---------------------------------------------------------------------------------------
@@ -173,57 +175,62 @@ def lower_bound(lengths: list[int], cap: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first: no remaining length can take the place of a part of
-    the filling that is no longer than it. At most ``width``, found largest lengths first."""
+def fillings(counts: dict[int, int], room: int, steps: int) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated fillings of ``room``, least waste first, and the steps the search took. Dominated is a filling of
+    which a part can give way to one remaining length that is no shorter (or as long as two or more pieces
+    together): the part then fits where that length would have gone. After ``steps`` steps the ones found so far
+    are returned, at least one."""
     sizes = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     found: list[tuple[int, ...]] = []
-    steps = 0
+    spent = 0
 
     def dominated(part: tuple[int, ...], left: int) -> bool:
         used: dict[int, int] = {}
         for x in part:
             used[x] = used.get(x, 0) + 1
+        one, more = {0, *part}, set()
         sums = {0}
-        for x in part[-12:]:
+        for x in part[-12:]:                               # more subsets would prune more, fewer lose nothing
+            more |= {s + x for s in sums if s}
             sums |= {s + x for s in sums}
+        # the largest remaining lengths decide first: they take the place of the largest parts
         for x in sizes:
-            if counts[x] > used.get(x, 0) and any(0 <= x - s <= left and s != x for s in sums):
+            if counts[x] > used.get(x, 0) and (x in more or any(s < x <= s + left for s in one | more)):
                 return True
         return False
 
     def grow(at: int, left: int, part: tuple[int, ...]):
-        nonlocal steps
-        steps += 1
-        if len(found) >= width or steps > 40 * width:
-            return
+        nonlocal spent
+        spent += 1
         fits = False
         for i in range(at, len(sizes)):
             x = sizes[i]
             if x <= left and counts[x] > part.count(x):
                 fits = True
                 grow(i, left - x, (*part, x))
-                if found and sum(found[-1]) == room:
+                if found and (spent > steps or found[-1] == (room,)):       # one piece that fills the room dominates all
                     return
-        if not fits and (left == 0 or not dominated(part, left)):
+        if not fits and not dominated(part, left):
             found.append(part)
 
     grow(0, room, ())
-    if not found:
-        found.append(())
-    return sorted(set(found), key=lambda p: -sum(p))
+    return sorted(set(found), key=lambda p: (-sum(p), [-x for x in p])), spent
 
 
-def bin_completion(lengths: list[int], cap: int, nodes: int = NODES, width: int = WIDTH) -> list[list[int]]:
-    """Fewest bins found: best-fit decreasing, then depth-first completion around the largest length left."""
+def bin_completion(lengths: list[int], cap: int, incumbent: list[list[int]] | None = None, steps: int = STEPS) -> list[list[int]]:
+    """Fewest bins found: best-fit decreasing (or ``incumbent``, if better), then depth-first completion around the
+    largest length left, pruned by waste. Exact where the search ends within ``steps`` steps of enumeration; each
+    level may use its share of the steps left, so a long search still reaches whole solutions."""
     best = best_fit(lengths, cap)
+    if incumbent is not None and len(incumbent) <= len(best):
+        best = incumbent
     floor = lower_bound(lengths, cap) if lengths else 0
     if len(best) <= floor:
         return best
     counts: dict[int, int] = {}
     for x in lengths:
         counts[x] = counts.get(x, 0) + 1
-    volume, spent = sum(lengths), 0
+    volume, left = sum(lengths), steps
     # one level per bin: (largest, fillings to try, waste above)
     stack: list[list] = []
     done: list[list[int]] = []
@@ -234,22 +241,26 @@ def bin_completion(lengths: list[int], cap: int, nodes: int = NODES, width: int
             counts[x] = counts.get(x, 0) - sign
 
     def open_level():
+        nonlocal left
         top = max(x for x, n in counts.items() if n)
         counts[top] -= 1
-        options = fillings(counts, cap - top, width)
+        options, spent = fillings(counts, cap - top, max(64, left // max(1, len(best) - len(done))))
         counts[top] += 1
+        left -= spent
         stack.append([top, options[::-1], waste])
 
     open_level()
-    while stack and spent < nodes and len(best) > floor:
+    whole = False                                          # a search goes on until it reached one whole solution
+    while stack and (left > 0 or not whole) and len(best) > floor:
         top, options, above = stack[-1]
         if len(done) == len(stack):                       # undo the filling tried last
             take(done.pop(), -1)
         if not options:
             stack.pop()
+            whole = whole or left <= 0
             continue
         part = [top, *options.pop()]
-        spent += 1
+        left -= 1
         waste = above + cap - sum(part)
         # a better solution has one bin less, hence at most this much waste
         if waste > (len(best) - 1) * cap - volume:
@@ -258,6 +269,7 @@ def bin_completion(lengths: list[int], cap: int, nodes: int = NODES, width: int
         take(part, 1)
         done.append(part)
         if not any(counts.values()):
+            whole = True
             if len(done) < len(best):
                 best = [list(p) for p in done]
             continue
@@ -267,9 +279,37 @@ def bin_completion(lengths: list[int], cap: int, nodes: int = NODES, width: int
     return best
 
 
+def complete(lengths: list[int], cap: int, group: int = GROUP, rounds: int = ROUNDS, steps: int = STEPS) -> list[list[int]]:
+    """Bins of many pieces: best fit, then bin completion over groups of its wasteful bins.
+
+    Bins without waste stay. The others are dealt into groups of about ``group`` bins, larger where a group must be to
+    hold a bin's worth of waste; a group that misses its bound is searched, its own bins being the incumbent. Up to
+    ``rounds`` rounds deal anew: first by waste, then by fixed permutations. Stops at the lower bound of all."""
+    best = best_fit(lengths, cap)
+    floor = lower_bound(lengths, cap) if lengths else 0
+    for r in range(rounds):
+        open_bins = [b for b in best if sum(b) < cap]
+        spare = len(open_bins) * cap - sum(map(sum, open_bins))
+        if len(best) <= floor or spare < cap:
+            break
+        groups = max(1, min(len(open_bins) // group, spare // cap))
+        order = sorted(range(len(open_bins)), key=lambda i: sum(open_bins[i])) if r == 0 else \
+            np.random.default_rng(r).permutation(len(open_bins)).tolist()
+        kept = [b for b in best if sum(b) == cap]
+        for g in range(groups):
+            mine = [open_bins[i] for i in order[g::groups]]
+            if len(best) > floor:
+                got = bin_completion([x for b in mine for x in b], cap, mine, steps)
+                kept += got
+            else:
+                kept += mine
+        best = kept
+    return best
+
+
 def place(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of each piece, and the number of the least filled bin (the last)."""
-    bins = bin_completion(lengths.tolist(), cap)
+    bins = complete(lengths.tolist(), cap)
     bins.sort(key=sum, reverse=True)
     order = np.argsort(-lengths, kind="stable")
     first = {}

@@ -42,6 +42,60 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.bin_completion(hard, 100)) == 2
 
 
+def fewest(lengths, cap):
+    """Plain exhaustive search: every piece into every open bin of a different room, or a new one."""
+    best = [len(lengths)]
+    pieces = sorted(lengths, reverse=True)
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                put(i + 1, [*rest, room - pieces[i]])
+        put(i + 1, [*rooms, cap - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_small_cases_take_the_fewest_bins():
+    beaten = 0
+    for seed in range(600):
+        rnd = random.Random(seed)
+        lo, hi = rnd.choice([(1, 100), (10, 50), (20, 40), (25, 46), (15, 60)])
+        lengths = [rnd.randrange(lo, hi + 1) for _ in range(rnd.randrange(1, 12))]
+        want = fewest(lengths, 100)
+        assert packing.lower_bound(lengths, 100) <= want == len(packing.bin_completion(lengths, 100)), lengths
+        beaten += want < len(packing.best_fit(lengths, 100))
+    assert beaten > 10
+
+
+@pytest.mark.parametrize("lo, hi, share", [(1100, 1900, 0.97), (900, 2200, 0.985), (300, 1500, 0.996)])
+def test_groups_of_wasteful_bins_beat_best_fit(lo, hi, share):
+    rnd = random.Random(1)
+    lengths = [rnd.randrange(lo, hi + 1) for _ in range(600)]
+    got = packing.complete(lengths, 4096)
+    assert sorted(x for b in got for x in b) == sorted(lengths) and all(sum(b) <= 4096 for b in got)
+    assert len(got) <= share * len(packing.best_fit(lengths, 4096))
+    assert packing.complete([], 4096) == [] and packing.complete([4096] * 3, 4096) == [[4096]] * 3
+
+
+def test_shards_with_waste_are_searched(spark):
+    """The rows of ``pack`` are those of the search, not of best fit, where best fit misses the bound."""
+    rnd = random.Random(3)
+    rows = [(i, 0, 0, rnd.randrange(1100, 1901), 7) for i in range(600)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE).repartition(3), 4096, 400).collect()
+    by_seq, _ = check(got, None, 4096)
+    assert sorted(r.length for r in got) == sorted(r[3] for r in rows)
+    assert len(by_seq) < len(packing.best_fit([r[3] for r in rows], 4096))
+
+
 def check(pieces, docs, cap):
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in pieces:
