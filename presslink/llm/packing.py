@@ -20,6 +20,7 @@ is cut as a stream of ids, so only its own ids are in memory.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -68,14 +69,16 @@ class WordIds(dict):
             for a, b in ((r"\p{L}", "a-zß-öø-ÿ"), (r"\p{N}", "0-9")):
                 pattern = pattern.replace("[" + a + "]", "[" + b + "]").replace(a, b)
             self.split = re.compile(pattern)
-        self.special = tuple(x["content"] for x in spec.get("added_tokens", []))
+        special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(special) or r"(?!)").search
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]      # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in visible]
         self.byte_chars = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        if _LATIN.fullmatch(word) and not any(s in word for s in self.special):
-            out = b"".join([self.piece(p) for p in self.split.findall(word.lower())])
+        if _LATIN.fullmatch(word) and not self.special(word):
+            known = self.pieces.get
+            out = b"".join([known(p) or self.piece(p) for p in self.split.findall(word.lower())])
         else:
             out = _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= CACHE_WORDS:
@@ -84,13 +87,11 @@ class WordIds(dict):
         return out
 
     def piece(self, p: str) -> bytes:
-        got = self.pieces.get(p)
-        if got is None:
-            shown = p if p.isascii() else "".join([self.byte_chars[b] for b in p.encode()])
-            got = _bytes([t.id for t in self.model.tokenize(shown)])
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[p] = got
+        shown = p if p.isascii() else "".join([self.byte_chars[b] for b in p.encode()])
+        got = _bytes([t.id for t in self.model.tokenize(shown)])
+        if len(self.pieces) >= CACHE_WORDS:
+            self.pieces.clear()
+        self.pieces[p] = got
         return got
 
     def ids(self, text: str) -> bytes:
@@ -100,7 +101,7 @@ class WordIds(dict):
 
 
 def _bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
