@@ -1,19 +1,18 @@
 """CSV readers for mention and contribution files.
 
-CSV is read with ``multiLine`` and ``escape='"'`` so embedded quotes and line
-breaks round-trip (T16). Row identity is file order (T20): files by name, rows as
-they stand in the file, numbered from 0 over all files. All files must have the
-same header: one whose columns stand in another order is refused. For very large
-inputs convert once to Parquet with the id and read that in parallel.
+Files are read in splits (``quoted.py``), so embedded quotes and line breaks round-trip
+(T16) and a large file is many tasks. Row identity is file order (T20): files by name,
+rows as they stand in the file, numbered from 0 over all files. All files must have the
+same header: one whose columns stand in another order is refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslink.functions.text import strip
-from presslink.session import materialize
+from presslink.sources.quoted import read_quoted
 from presslink.sources.tables import read_contributions_table
 
 MENTION_COLUMN = "Company/Organization Name"
@@ -21,35 +20,9 @@ CONTRIBUTOR_NAME = "Contributor Name"
 CONTRIBUTOR_EMPLOYER = "Contributor Employer"
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-            .option("inferSchema", "false").option("enforceSchema", "false").csv(path)
-            .withColumn("_seq", F.monotonically_increasing_id())
-            .withColumn("source_file", F.input_file_name()))
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """Add ``_row``: the row's number over all files in order of their names. A multi-line file is one split, so
-    its rows have consecutive ``_seq``; the rows are stored once, so that both uses see the same."""
-    df = materialize(df)
-    files = df.groupBy("source_file").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("source_file")) - F.col("_n")      # one row per file
-    return (df.join(files.select("source_file", "_first", before.alias("_before")), "source_file")
-            .withColumn("_row", F.col("_before") + F.col("_seq") - F.col("_first")))
-
-
-def _require_contribution_columns(df: DataFrame) -> None:
-    for col in (CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER):
-        if col not in df.columns:
-            raise ValueError(f"the contributions file has no column {col!r}")
-
-
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
     """``mention_id, name, source_file``: names stripped, blanks dropped, duplicates kept."""
-    df = _read_csv(spark, path)
-    if MENTION_COLUMN not in df.columns:
-        raise ValueError(f"the mentions file has no column {MENTION_COLUMN!r}")
-    df = _numbered(df.select(f"`{MENTION_COLUMN}`", "_seq", "source_file"))
+    df = read_quoted(spark, path, [MENTION_COLUMN])
     return (df.select(F.col("_row").alias("mention_id"), strip(F.coalesce(F.col(f"`{MENTION_COLUMN}`"), F.lit("")))
                       .alias("name"), "source_file")
             .filter(F.col("name") != ""))
@@ -57,19 +30,14 @@ def read_mentions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_contributions(spark: SparkSession, path: str) -> DataFrame:
     """``idx, contributor_name, contributor_employer``; only the two fields are read."""
-    df = _read_csv(spark, path)
-    _require_contribution_columns(df)
-    df = _numbered(df.select(f"`{CONTRIBUTOR_NAME}`", f"`{CONTRIBUTOR_EMPLOYER}`", "_seq", "source_file"))
+    df = read_quoted(spark, path, [CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER])
     return read_contributions_table(df, "_row", f"`{CONTRIBUTOR_NAME}`", f"`{CONTRIBUTOR_EMPLOYER}`")
 
 
 def contributions_to_table(spark: SparkSession, csv_path: str, out_path: str) -> DataFrame:
     """Convert contribution CSV files once to Parquet, keeping ``idx`` (file order) and
-    ``source_file``, then read the table back: later jobs scan it in parallel splits
-    instead of one task per multi-line CSV file."""
-    df = _read_csv(spark, csv_path)
-    _require_contribution_columns(df)
-    df = _numbered(df.select(f"`{CONTRIBUTOR_NAME}`", f"`{CONTRIBUTOR_EMPLOYER}`", "_seq", "source_file"))
+    ``source_file``, then read the table back: later jobs need not parse it again."""
+    df = read_quoted(spark, csv_path, [CONTRIBUTOR_NAME, CONTRIBUTOR_EMPLOYER])
     (df.select(
         F.col("_row").alias("idx"),
         strip(F.coalesce(F.col(f"`{CONTRIBUTOR_NAME}`"), F.lit(""))).alias("contributor_name"),
