@@ -39,3 +39,25 @@ def whole_object(js: Column) -> Column:
     alone = (F.schema_of_variant(first).startswith("OBJECT") & (F.try_variant_get(two, "$[1]", "string") == END_MARK)
              & F.try_variant_get(two, "$[2]", "variant").isNull())
     return F.when(alone, first)
+
+
+def bare_numbers(js: Column, nan: str, inf: str, minus_inf: str) -> Column:
+    """``js`` with the bare words ``NaN``, ``Infinity`` and ``-Infinity`` outside strings replaced by the given JSON
+    values, set apart by spaces so that no neighbour becomes part of them."""
+    out = js
+    for word, value in (("-Infinity", minus_inf), ("Infinity", inf), ("NaN", nan)):
+        # before it stand whole strings, and anything that is neither a quote nor the word itself
+        before = rf'(?s)\G((?:[^"\{word[0]}]|"(?:[^"\\]|\\.)*+"|{word[0]}(?!{word[1:]}))*+)'.replace("\\I", "I").replace("\\N", "N")
+        out = F.regexp_replace(out, before + word, "$1 " + value + " ")
+    return F.when(js.rlike("NaN|Infinity"), out).otherwise(js)
+
+
+def is_whole_object(js: Column) -> Column:
+    """``js``, which begins with a brace, is one JSON object and nothing else; keys may repeat."""
+    two = F.from_json(F.concat(F.lit("["), js, F.lit(',"\\u0001end"]')), "array<string>", {"allowSingleQuotes": "false"})
+    return F.coalesce((F.size(two) == 2) & (F.element_at(two, 2) == END_MARK), F.lit(False))
+
+
+def last_values(js: Column, fields: str) -> Column:
+    """The named fields of an object (DDL); of repeated keys the last value counts."""
+    return F.from_json(js, fields, {"allowSingleQuotes": "false"})

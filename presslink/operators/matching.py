@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from presslink.functions.names import normalize_name
-from presslink.functions.replies import has_braces, slice_json, whole_object
+from presslink.functions.replies import bare_numbers, has_braces, is_whole_object, last_values, slice_json, whole_object
 from presslink.functions.text import strip
 
 TOP_K = 5
@@ -191,11 +191,13 @@ def parse_adjudication(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     """``decision`` (upper-cased), ``index`` (int), ``reason``; any failure gives
     (``REVIEW``, 0, ``Unparseable LLM response``) (T15)."""
     r = F.col(reply_col)
-    df = df.withColumn("_reply", whole_object(slice_json(r)))
-    v = F.col("_reply")
-    dec_v = F.try_variant_get(v, "$.decision", "variant")
-    idx_v = F.try_variant_get(v, "$.index", "variant")
-    rea_v = F.try_variant_get(v, "$.reason", "variant")
+    # int() and str() of a number that isn't finite are those of its name as a string
+    df = df.withColumn("_js", bare_numbers(slice_json(r), '"nan"', '"inf"', '"-inf"')).withColumn("_v", whole_object(F.col("_js")))
+    js, v = F.col("_js"), F.col("_v")
+    strict = F.struct(*[F.try_variant_get(v, f"$.{c}", "variant").alias(c) for c in ("decision", "index", "reason")])
+    repeated = F.when(is_whole_object(js), F.struct(*[last_values(js, f"`{c}` variant")[c].alias(c) for c in ("decision", "index", "reason")]))
+    df = df.withColumn("_reply", F.when(v.isNotNull(), strict).when(js.isNotNull(), repeated))
+    reply, dec_v, idx_v, rea_v = F.col("_reply"), F.col("_reply.decision"), F.col("_reply.index"), F.col("_reply.reason")
     it = F.schema_of_variant(idx_v)
     idx_str = strip(F.try_variant_get(idx_v, "$", "string"))
     index = (F.when(idx_v.isNull(), F.lit(0).cast("long"))
@@ -205,11 +207,11 @@ def parse_adjudication(df: DataFrame, reply_col: str = "reply") -> DataFrame:
              .when((it == "STRING") & idx_str.rlike(r"^[+-]?\d+$"), idx_str.cast("long")))
     decision = F.upper(F.when(dec_v.isNull(), F.lit("REVIEW")).otherwise(_py_str(dec_v)))
     reason = F.when(rea_v.isNull(), F.lit("")).otherwise(_py_str(rea_v))
-    ok = has_braces(r) & v.isNotNull() & index.isNotNull()
+    ok = has_braces(r) & reply.isNotNull() & index.isNotNull()
     return (df.withColumn("parse_ok", ok)
             .withColumn("decision", F.when(ok, decision).otherwise(F.lit("REVIEW")))
             .withColumn("index", F.when(ok, index).otherwise(F.lit(0).cast("long")))
-            .withColumn("reason", F.when(ok, reason).otherwise(F.lit("Unparseable LLM response"))).drop("_reply"))
+            .withColumn("reason", F.when(ok, reason).otherwise(F.lit("Unparseable LLM response"))).drop("_reply", "_js", "_v"))
 
 
 def resolve(parsed: DataFrame, mentions_norm: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslink.functions.replies import has_braces, slice_json, truncate_description, whole_object
+from presslink.functions.replies import (bare_numbers, has_braces, is_whole_object, last_values, slice_json,
+                                         truncate_description, whole_object)
 from presslink.functions.text import strip
 
 MAX_DESCRIPTION = 300
@@ -40,36 +41,54 @@ def _string_or_missing(v: Column) -> Column:
     return v.isNull() | (F.schema_of_variant(v) == "STRING")
 
 
+def _strict(v: Column) -> Column:
+    """``kind`` of the list's value and its object entries, of a reply whose keys are distinct."""
+    cm = F.try_variant_get(v, "$.company_mentions", "variant")
+    elems = F.coalesce(F.try_variant_get(cm, "$", "array<variant>"), F.array().cast("array<variant>"))
+    entries = F.transform(F.filter(elems, _is_object), lambda e: F.struct(
+        F.try_variant_get(e, "$.company_name", "variant").alias("n"), F.try_variant_get(e, "$.description", "variant").alias("d")))
+    return F.struct(F.schema_of_variant(cm).alias("kind"), entries.alias("entries"))
+
+
+def _repeated(js: Column) -> Column:
+    """The same of a reply whose keys repeat: of each key the last value counts, in the reply and in its entries."""
+    elems = last_values(js, "company_mentions array<string>")["company_mentions"]
+    one = last_values(js, "company_mentions variant")["company_mentions"]
+    named = F.map_contains_key(F.from_json(js, "map<string,string>", {"allowSingleQuotes": "false"}), "company_mentions")
+    # a value that is neither a list nor readable by itself is an object whose own keys repeat
+    kind = F.when(elems.isNotNull(), F.lit("ARRAY")).when(named, F.coalesce(F.schema_of_variant(one), F.lit("OBJECT")))
+    objects = F.filter(F.coalesce(elems, F.array().cast("array<string>")), lambda e: e.startswith("{") & is_whole_object(e))
+    entries = F.transform(objects, lambda e: F.struct(
+        last_values(e, "company_name variant")["company_name"].alias("n"), last_values(e, "description variant")["description"].alias("d")))
+    return F.when(is_whole_object(js), F.struct(kind.alias("kind"), entries.alias("entries")))
+
+
 def parse_mentions(df: DataFrame, response_col: str = "response") -> DataFrame:
     """P10: adds ``status`` and ``mentions`` (objects only, names/descriptions stripped,
-    reply order, duplicates kept; empty unless status is ``ok``)."""
+    reply order, duplicates kept; empty unless status is ``ok``). As in Python's parser the last of repeated
+    keys counts, and bare ``NaN`` and ``Infinity`` are numbers."""
     r = F.col(response_col)
-    # a column of its own: the rules below read it many times, and inlined they outgrow one compiled method
-    df = df.withColumn("_reply", whole_object(slice_json(r)))
-    v = F.col("_reply")
-    cm = F.try_variant_get(v, "$.company_mentions", "variant")
-    kind = F.schema_of_variant(cm)
-    elems = F.coalesce(F.try_variant_get(cm, "$", "array<variant>"), F.array().cast("array<variant>"))
-    objs = F.filter(elems, _is_object)
-    name_v = lambda e: F.try_variant_get(e, "$.company_name", "variant")
-    desc_v = lambda e: F.try_variant_get(e, "$.description", "variant")
-    typed_ok = F.forall(objs, lambda e: _string_or_missing(name_v(e)) & _string_or_missing(desc_v(e)))
+    # columns of their own: the rules below read them many times, and inlined they outgrow one compiled method
+    df = df.withColumn("_js", bare_numbers(slice_json(r), "0", "0", "0")).withColumn("_v", whole_object(F.col("_js")))
+    df = df.withColumn("_reply", F.when(F.col("_v").isNotNull(), _strict(F.col("_v"))).when(F.col("_js").isNotNull(), _repeated(F.col("_js"))))
+    reply, kind, entries = F.col("_reply"), F.col("_reply.kind"), F.col("_reply.entries")
+    typed_ok = F.forall(entries, lambda e: _string_or_missing(e["n"]) & _string_or_missing(e["d"]))
     status = (
         F.when(r.isNull(), F.lit("no_reply"))
         .when(~has_braces(r), F.lit("no_json"))
-        .when(v.isNull(), F.lit("invalid_json"))
-        .when(cm.isNull(), F.lit("missing_key"))
+        .when(reply.isNull(), F.lit("invalid_json"))
+        .when(kind.isNull(), F.lit("missing_key"))
         .when(kind.startswith("ARRAY"), F.when(typed_ok, F.lit("ok")).otherwise(F.lit("bad_type")))
         .when(kind.startswith("OBJECT") | (kind == "STRING"), F.lit("ok"))
         .otherwise(F.lit("bad_type"))
     )
-    mentions = F.transform(objs, lambda e: F.struct(
-        strip(F.coalesce(F.try_variant_get(e, "$.company_name", "string"), F.lit(""))).alias("company_name"),
-        strip(F.coalesce(F.try_variant_get(e, "$.description", "string"), F.lit(""))).alias("description"),
+    mentions = F.transform(entries, lambda e: F.struct(
+        strip(F.coalesce(F.try_variant_get(e["n"], "$", "string"), F.lit(""))).alias("company_name"),
+        strip(F.coalesce(F.try_variant_get(e["d"], "$", "string"), F.lit(""))).alias("description"),
     ))
     return (df.withColumn("status", status)
             .withColumn("mentions", F.when(F.col("status") == "ok", mentions)
-                        .otherwise(F.array().cast(MENTION_TYPE))).drop("_reply"))
+                        .otherwise(F.array().cast(MENTION_TYPE))).drop("_reply", "_js", "_v"))
 
 
 def is_blank_name(m: Column) -> Column:

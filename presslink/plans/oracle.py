@@ -354,11 +354,14 @@ def csv_field(e):
 # ---------------------------------------------------------------- matching
 
 def normalize_name(e):
-    from presslink.functions.names import CORPORATE_SUFFIXES
+    from presslink.functions.names import SUFFIX_WORDS, W
     s = f"lower(coalesce({e}, ''))"
-    s = f"regexp_replace({s}, {q(CORPORATE_SUFFIXES)}, '', 'g')"
-    s = f"regexp_replace({s}, '[^\\w\\s]', ' ', 'g')"
-    s = f"regexp_replace({s}, '\\s+', ' ', 'g')"
+    # RE2 looks neither back nor ahead: words are marked on both sides, suffixes go as marked words, then the marks
+    s = f"regexp_replace({s}, '([{W}]+)', chr(1) || '\\1' || chr(1), 'g')"
+    s = f"regexp_replace({s}, '\\x01l\\x01\\.\\x01l\\x01\\.\\x01c\\x01\\.(\\x01)', '\\1', 'g')"
+    s = f"replace(regexp_replace({s}, '\\x01({SUFFIX_WORDS})\\x01', '', 'g'), chr(1), '')"
+    s = f"regexp_replace({s}, '[^{W}{_CLASS['s']}]', ' ', 'g')"
+    s = f"regexp_replace({s}, '[{_CLASS['s']}]+', ' ', 'g')"
     return strip(s)
 
 

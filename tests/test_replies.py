@@ -65,10 +65,65 @@ def test_filters_and_truncation(spark):
     assert len(m[1][1]) == 300
 
 
-def test_duplicate_keys_documented_difference(spark):
-    # Python's json keeps the last duplicate key; Spark's parser rejects the document (T9 decision).
-    [(st, _)] = analyse(spark, ['{"company_mentions": [], "company_mentions": []}'])
-    assert st == "invalid_json"
+def plain_mentions(text):
+    """The rules over Python's own parser (before the exclusions)."""
+    at, end = text.find("{"), text.rfind("}") + 1
+    if at < 0 or end == 0:
+        return "no_json", []
+    try:
+        data = json.loads(text[at:end])
+    except ValueError:
+        return "invalid_json", []
+    if "company_mentions" not in data:
+        return "missing_key", []
+    try:
+        out = []
+        for m in data["company_mentions"]:
+            if isinstance(m, dict):
+                out.append((m.get("company_name", "").strip(), m.get("description", "").strip()))
+        return "ok", out
+    except (TypeError, AttributeError):
+        return "bad_type", []
+
+
+ODD = ['{"company_mentions": [], "company_mentions": [{"company_name": "A", "description": "d"}]}',
+       '{"company_mentions": [{"company_name": "A", "company_name": "B", "description": "d", "x": NaN}, 5, "s", null]}',
+       '{"company_mentions": 5, "company_mentions": "5"}', '{"company_mentions": "5", "company_mentions": 5}',
+       '{"company_mentions": [], "company_mentions": {"a": 1, "a": 2}}', '{"company_mentions": [], "company_mentions": null}',
+       '{"a": 1, "a": 2}', '{"a": 1, "a": 2} x }', '{"company_mentions": [{"company_name": 5, "company_name": "A"}]}',
+       '{"company_mentions": [{"company_name": "A", "company_name": 5}]}', '{"company_mentions": [{"company_name": NaN}]}',
+       '{"company_mentions": [{"description": "NaN, -Infinity \\" Infinity"}], "score": -Infinity, "n": [Infinity,NaN,-1]}',
+       '{"company_mentions": NaN}', '{"company_mentions": [], "a": NaNa}', '{"company_mentions": [], "a": +Infinity}',
+       '{"company_mentions": [], "a": -NaN}', '{"company_mentions": [], "a": 1NaN}', '{"company_mentions": [], "a": NaN.5}',
+       '{"company_mentions": [{"company_name": "A", "description": null, "description": "x"}], "company_mentions_": 1}',
+       '{"a": {"b": 1, "b": 2}, "company_mentions": [{"company_name": " A\\u00e9 "}]}', "{'company_mentions': [], 'a': 1, 'a': 2}",
+       '{"company_mentions": [[{"company_name": "in", "company_name": "a list"}], {"company_name": "A"}, {}]}']
+
+
+def test_replies_as_pythons_parser_reads_them(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "i long, response string")
+    got = [(r.status, [(m.company_name, m.description) for m in r.mentions]) for r in parse_mentions(df).orderBy("i").collect()]
+    assert dict(zip(ODD, got)) == {t: plain_mentions(t) for t in ODD}
+
+
+def plain_decision(text):
+    at, end = text.find("{"), text.rfind("}") + 1
+    try:
+        data = json.loads(text[at:end])
+        return str(data.get("decision", "REVIEW")).upper(), int(data.get("index", 0)), str(data.get("reason", ""))
+    except (ValueError, OverflowError, TypeError):
+        return "REVIEW", 0, "Unparseable LLM response"
+
+
+def test_decisions_as_pythons_parser_reads_them(spark):
+    from presslink.operators.matching import parse_adjudication
+    texts = ['{"decision": "a", "decision": "match", "index": 1, "index": 2, "reason": "r"}', '{"decision": NaN, "index": 1, "reason": -Infinity}',
+             '{"decision": "match", "index": NaN}', '{"decision": "match", "index": Infinity}', '{"index": "2", "index": "x", "reason": "r"}',
+             '{"index": "x", "index": " 2 ", "reason": null, "reason": null}', '{"decision": "match", "index": 1, "index": 1} y }',
+             '{"a": 1, "a": 2}', '{"index": 1, "index": null}', '{"decision": true, "decision": false, "index": true, "x": NaN, "x": 1}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, reply string")
+    got = [(r.decision, r["index"], r.reason) for r in parse_adjudication(df).orderBy("i").collect()]
+    assert dict(zip(texts, got)) == {t: plain_decision(t) for t in texts}
 
 
 def test_slice_json_column(spark):

@@ -1,10 +1,12 @@
 """Paragraph rules: the reference's date/source/extraction tables plus Unicode cases."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from presslink.functions import extract_date, extract_source, is_heading, normalize_date, normalize_name, strip
 from presslink.options import Options, valid_date_option
+from presslink.plans import oracle
 
 
 def one(spark, col_fn, values):
@@ -73,8 +75,12 @@ def test_heading_rules(spark):
 
 def test_normalize_name(spark):
     cases = [("Acme, Inc.", "acme"), ("Foo L.L.C.", "foo l l c"), ("Co-op Bank", "op bank"),
-             ("ACME   Widgets LLC", "acme widgets"), ("snake_case Corp", "snake_case"), (None, "")]
+             ("ACME   Widgets LLC", "acme widgets"), ("snake_case Corp", "snake_case"), (None, ""),
+             ("Caf\u00e9 Inc", "caf\u00e9"), ("Cafe\u0301 Inc", "cafe"), ("\u00e9inc", "\u00e9inc"), ("l.l.c.x y.l.l.c. z", "x y l l c z"),
+             ("x\u0301inc \u00b2co", "x \u00b2co"), ("Inc inc", "")]
     assert one(spark, normalize_name, [c[0] for c in cases]) == [c[1] for c in cases]
+    sql = "SELECT " + ", ".join(oracle.normalize_name("NULL" if c[0] is None else f"'{c[0]}'") for c in cases)
+    assert duckdb.sql(sql).fetchall()[0] == tuple(c[1] for c in cases)
 
 
 def test_date_option_validity():
