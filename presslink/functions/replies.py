@@ -49,7 +49,7 @@ def bare_numbers(js: Column, nan: str, inf: str, minus_inf: str) -> Column:
         # before it stand whole strings, and anything that is neither a quote nor the word itself
         before = rf'(?s)\G((?:[^"\{word[0]}]|"(?:[^"\\]|\\.)*+"|{word[0]}(?!{word[1:]}))*+)'.replace("\\I", "I").replace("\\N", "N")
         out = F.regexp_replace(out, before + word, "$1 " + value + " ")
-    return F.when(js.rlike("NaN|Infinity"), out).otherwise(js)
+    return F.when(js.contains("NaN") | js.contains("Infinity"), out).otherwise(js)
 
 
 def is_whole_object(js: Column) -> Column:

@@ -192,7 +192,7 @@ def parse_adjudication(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     (``REVIEW``, 0, ``Unparseable LLM response``) (T15)."""
     r = F.col(reply_col)
     # int() and str() of a number that isn't finite are those of its name as a string
-    df = df.withColumn("_js", bare_numbers(slice_json(r), '"nan"', '"inf"', '"-inf"')).withColumn("_v", whole_object(F.col("_js")))
+    df = df.withColumn("_js", slice_json(r)).withColumn("_js", bare_numbers(F.col("_js"), '"nan"', '"inf"', '"-inf"')).withColumn("_v", whole_object(F.col("_js")))
     js, v = F.col("_js"), F.col("_v")
     strict = F.struct(*[F.try_variant_get(v, f"$.{c}", "variant").alias(c) for c in ("decision", "index", "reason")])
     repeated = F.when(is_whole_object(js), F.struct(*[last_values(js, f"`{c}` variant")[c].alias(c) for c in ("decision", "index", "reason")]))

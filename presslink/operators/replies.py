@@ -69,7 +69,7 @@ def parse_mentions(df: DataFrame, response_col: str = "response") -> DataFrame:
     keys counts, and bare ``NaN`` and ``Infinity`` are numbers."""
     r = F.col(response_col)
     # columns of their own: the rules below read them many times, and inlined they outgrow one compiled method
-    df = df.withColumn("_js", bare_numbers(slice_json(r), "0", "0", "0")).withColumn("_v", whole_object(F.col("_js")))
+    df = df.withColumn("_js", slice_json(r)).withColumn("_js", bare_numbers(F.col("_js"), "0", "0", "0")).withColumn("_v", whole_object(F.col("_js")))
     df = df.withColumn("_reply", F.when(F.col("_v").isNotNull(), _strict(F.col("_v"))).when(F.col("_js").isNotNull(), _repeated(F.col("_js"))))
     reply, kind, entries = F.col("_reply"), F.col("_reply.kind"), F.col("_reply.entries")
     typed_ok = F.forall(entries, lambda e: _string_or_missing(e["n"]) & _string_or_missing(e["d"]))
