@@ -130,3 +130,17 @@ def test_slice_json_column(spark):
     from presslink.functions.replies import slice_json
     df = spark.createDataFrame([("a {x} b {y} c",), ("none",)], "r string")
     assert [r[0] for r in df.select(slice_json(F.col("r"))).collect()] == ["{x} b {y}", None]
+
+
+def test_raw_mentions_parse_each_reply_once(spark):
+    """A filter on the list before it is opened would repeat the parsing in the plan, once per use of each part."""
+    rows = [("p", 0, "s", '{"company_mentions": [{"company_name": "A", "description": "d"}, {"company_name": " ", "description": "e"}]}'),
+            ("p", 1, "s", '{"company_mentions": []}'), ("p", 2, None, None), ("p", 3, "s", "no reply"), ("p", 3, "s", '{"company_mentions": [{}]}')]
+    from presslink.operators import replies as rep
+    parsed = rep.parse_mentions(spark.createDataFrame(rows, "path string, seg long, source string, response string"))
+    raw = rep.explode_raw(parsed)
+    got = sorted((r.seg, r.pos, r.company_name, r.description, r.source) for r in raw.collect())
+    assert got == [(0, 0, "A", "d", "s"), (0, 1, "", "e", "s"), (3, 0, "", "", "s")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    kept = raw.filter(~rep.is_blank_name(F.struct("company_name", "description")))
+    assert plan(kept).count("regexp_replace") == plan(parsed).count("regexp_replace")
