@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,9 @@ from presslink.session import arrow_batch, materialize
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 PARAGRAPH_SCHEMA = "path string, ix long, text string, style string, first_bold boolean, error string"
-FILES_PER_BATCH = 16   # Arrow batch of binaryFile rows handed to one Python call
+PARAGRAPH_NAMES = ["path", "ix", "text", "style", "first_bold", "error"]
+PARAGRAPH_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+FILES_PER_BATCH = 16   # files that a Python call holds as objects
 
 
 def _on(el) -> bool | None:
@@ -95,32 +97,31 @@ def parse_docx(content: bytes) -> list[tuple[str, str | None, bool]]:
     return rows
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        cols = {"path": [], "ix": [], "text": [], "style": [], "first_bold": [], "error": []}
-        for path, content in zip(pdf["path"], pdf["content"]):
+def slices(batches: Iterator[pa.RecordBatch], rows: int = FILES_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``rows`` rows: Python objects are made of few files at a time, however many a batch holds."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        out: list[tuple] = []
+        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
             try:
                 rows = parse_docx(bytes(content))
             except Exception as e:  # noqa: BLE001 - a bad file is reported, not fatal
-                rows, err = [], f"{type(e).__name__}: {e}"
-            else:
-                err = None
-            if err is not None:
-                for k, v in zip(cols, (path, None, None, None, None, err)):
-                    cols[k].append(v)
+                out.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
                 continue
             if not rows:  # an empty document still counts as a processed file
-                for k, v in zip(cols, (path, None, None, None, None, None)):
-                    cols[k].append(v)
-            for i, (text, style, bold) in enumerate(rows):
-                for k, v in zip(cols, (path, i, text, style, bold, None)):
-                    cols[k].append(v)
-        yield pd.DataFrame(cols)
+                out.append((path, None, None, None, None, None))
+            out.extend((path, i, text, style, bold, None) for i, (text, style, bold) in enumerate(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PARAGRAPH_TYPES)], names=PARAGRAPH_NAMES)
 
 
 def parse_docx_files(files: DataFrame, persist: bool = True) -> DataFrame:
     """Word files ``path, content`` -> ``path, ix, text, style, first_bold, error`` (see :func:`read_docx_corpus`)."""
-    corpus = files.select("path", "content").mapInPandas(_parse_files, PARAGRAPH_SCHEMA)
+    corpus = files.select("path", "content").mapInArrow(_parse_files, PARAGRAPH_SCHEMA)
     if not persist:
         return corpus
     with arrow_batch(files.sparkSession, FILES_PER_BATCH):   # a row is a whole file

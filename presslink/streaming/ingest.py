@@ -42,7 +42,7 @@ def stream_docx_articles(spark: SparkSession, input_dir: str, output_path: str,
         # foreachBatch may re-run a batch after a failure: each batch overwrites its
         # own partition, so a retry replaces rather than duplicates its articles.
         with arrow_batch(batch.sparkSession, FILES_PER_BATCH):
-            corpus = materialize(batch.select("path", "content").mapInPandas(_parse_files, PARAGRAPH_SCHEMA))
+            corpus = materialize(batch.select("path", "content").mapInArrow(_parse_files, PARAGRAPH_SCHEMA))
         (assemble_articles(corpus_paragraphs(corpus), block=None)
          .write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch_id={batch_id}"))
         (corpus.filter(F.col("error").isNotNull()).select("path", "error")

@@ -121,3 +121,23 @@ def test_contributions_to_table(spark, tmp_path):
     rows = [(r.contributor_name, r.contributor_employer) for r in t.orderBy("idx").collect()]
     assert rows == [("Acme Widgets LLC", "Other"), ("Bob", "")]
     assert set(t.columns) == {"idx", "contributor_name", "contributor_employer", "source_file"}
+
+
+def test_files_become_objects_a_few_at_a_time():
+    """A task's Arrow batch may hold thousands of files; what Python makes of them must not grow with it."""
+    import pyarrow as pa
+
+    from presslink.plans.fixtures import _word_files
+    from presslink.sources.docx import FILES_PER_BATCH, _parse_files
+    paragraphs = [{"ix": 0, "text": "Title", "style": "Heading 1", "first_bold": True}, {"ix": 1, "text": "a < b", "style": "Normal", "first_bold": False}]
+    n = 5 * FILES_PER_BATCH + 3
+    batch = pa.RecordBatch.from_pylist([{"path": f"{i}.docx", "broken": i % 7 == 3, "paragraphs": None if i % 7 == 3 else paragraphs} for i in range(n)])
+    files = list(_word_files([batch.slice(0, 60), batch.slice(60)]))
+    assert max(f.num_rows for f in files) <= FILES_PER_BATCH and [x for f in files for x in f.column("path").to_pylist()] == [f"{i}.docx" for i in range(n)]
+    parsed = list(_parse_files([pa.Table.from_batches(files).combine_chunks().to_batches()[0]]))
+    assert max(p.num_rows for p in parsed) <= 2 * FILES_PER_BATCH
+    rows = [r for p in parsed for r in p.to_pylist()]
+    assert [r["path"] for r in rows if r["error"]] == [f"{i}.docx" for i in range(n) if i % 7 == 3]
+    assert [(r["path"], r["text"], r["style"], r["first_bold"]) for r in rows if r["path"] == "4.docx"] == [
+        ("4.docx", "Title", "Heading 1", True), ("4.docx", "a < b", "Normal", False)]
+    assert list(_parse_files([])) == []
