@@ -11,9 +11,9 @@ to each), so every id of the tokenizer has a probability and all of them add up
 class logits starts from the classes' shares after the id before, counted over all training ids.
 
 What it learns comes from all training rows: counts of words, of ids and of classes after ids are summed in Spark over every text. The
-weights are trained where the rows are, in ``ROUNDS`` rounds: each task starts from the broadcast weights, takes the
-windows of the texts whose hash falls to this round (one in ``SHARE`` of all training texts a round, so training grows
-with the input) through Adam steps, and hands on its weights; their mean, weighted by windows, starts the next round. Sums
+weights are trained where the rows are, on every training text, in ``ROUNDS`` rounds: the texts are dealt by hash over ``SHARE``
+parts (no more than rounds), each round takes one part. A task starts from the broadcast weights, takes all windows of its
+texts of this part through Adam steps, and hands on its weights; their mean, weighted by windows, starts the next round. Sums
 go through a shuffle, the driver gets at most ``SLOTS`` vectors.
 
 The base score needs the count of every word. Words with more than one in ``HEAD`` of all tokens (fewer than ``HEAD``,
@@ -45,8 +45,8 @@ CLASSES = 64
 SINGLE = 48                    # classes of one id
 INPUTS = 2_048                 # ids with an input vector of their own; others take their class's
 STEP = 48                      # windows of a step
-SHARE = 32
 ROUNDS = 2
+SHARE = 2                      # parts of the training texts, one a round: every text is trained on
 RATE = 0.01
 SLOTS = 64
 PRIOR = 4.0                    # weight of the classes' own shares in the shares after an id
@@ -465,6 +465,11 @@ def _add_weights(batches):
         yield _weights_batch(0, n, total)
 
 
+def rounds(own: DataFrame) -> list[DataFrame]:
+    """The training rows of each round: together all of ``own``."""
+    return [own.where(F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SHARE)) == r % SHARE) for r in range(ROUNDS)]
+
+
 def fit(own: DataFrame, vocabulary) -> tuple[np.ndarray, object]:
     """Weights after ``ROUNDS`` rounds over the training rows of ``own`` (``ids``, ``id``, ``n_tokens``), and the broadcast shares after an id."""
     sc = own.sparkSession.sparkContext
@@ -472,9 +477,8 @@ def fit(own: DataFrame, vocabulary) -> tuple[np.ndarray, object]:
              .toArrow())                                   # at most (INPUTS + CLASSES + 1) * CLASSES rows
     after = sc.broadcast(after_table(vocabulary.value, cells["cell"].to_numpy(), cells["n"].to_numpy()))
     vector = first_weights()
-    for r in range(ROUNDS):
-        mine = own.where(F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SHARE)) == r).select("ids")
-        tasks = mine.mapInArrow(_train(sc.broadcast(vector), after, vocabulary), _WEIGHTS)
+    for mine in rounds(own):
+        tasks = mine.select("ids").mapInArrow(_train(sc.broadcast(vector), after, vocabulary), _WEIGHTS)
         sums = tasks.repartition(SLOTS, "slot").mapInArrow(_add_weights, _WEIGHTS).collect()      # at most SLOTS vectors
         n = sum(x.n for x in sums)
         if n:

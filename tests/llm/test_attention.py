@@ -176,3 +176,8 @@ def test_long_text_and_query(spark):
     sf = "/root/testdata/sf0.001"
     got = catalog.QUERIES["op13_attention"](spark, sf).withColumnRenamed("doc_id", "id").collect()
     assert base_of(got) == brute_base([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
+def test_every_training_text_is_trained_on(spark):
+    own = spark.createDataFrame([(i, i % 9) for i in range(400)] + [(None, 3)], "id long, n_tokens long")
+    assert sorted((r.id is None, r.id) for part in A.rounds(own) for r in part.collect()) == [*((False, i) for i in range(400)), (True, None)]
