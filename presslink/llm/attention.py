@@ -27,6 +27,7 @@ ignored. Words are compared by a 64-bit hash of their bytes. A document is one v
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -102,18 +103,16 @@ def after_table(vocabulary: Vocabulary, cells: np.ndarray, n: np.ndarray) -> np.
 
 SHAPES = {"emb": (INPUTS + CLASSES + 1, DIM), "pos": (2 * HALF - 1, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM),
           "o": (DIM, DIM), "out": (DIM, CLASSES)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+SIZE = sum(math.prod(s) for s in SHAPES.values())
+_ENDS = np.cumsum([math.prod(s) for s in SHAPES.values()]).tolist()
+#: Places of the numbers of an input row's vector.
+CELLS = np.arange((INPUTS + CLASSES + 1) * DIM).reshape(-1, DIM)
 #: Which inputs the id at each place of the second half may see.
 MASK = np.where(np.arange(2 * HALF - 1)[None] <= np.arange(HALF)[:, None] + HALF - 1, 0, -1e9).astype(np.float32)
 
 
 def views(vector: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = vector[at:at + n].reshape(shape)
-        at += n
-    return out
+    return {name: vector[end - math.prod(shape):end].reshape(shape) for (name, shape), end in zip(SHAPES.items(), _ENDS)}
 
 
 def first_weights() -> np.ndarray:
@@ -126,27 +125,26 @@ def first_weights() -> np.ndarray:
 def forward(w: dict[str, np.ndarray], after: np.ndarray, inputs: np.ndarray, safe: bool = True):
     """Class logits (windows * HALF, CLASSES) and what the gradient needs; ``safe``: no number overflows."""
     n = len(inputs)
-    x = w["emb"][inputs] + w["pos"]
-    own = x[:, HALF - 1:]
-    flat, flat_own = x.reshape(-1, DIM), np.ascontiguousarray(own).reshape(-1, DIM)
-    q = (flat_own @ (w["q"] * np.float32(DIM ** -0.5))).reshape(n, HALF, DIM)
-    k = (flat @ w["k"]).reshape(n, -1, DIM)
-    v = (flat @ w["v"]).reshape(n, -1, DIM)
-    a = q @ k.transpose(0, 2, 1)
+    x = np.take(w["emb"], inputs, axis=0)
+    x += w["pos"]
+    flat, flat_own = x.reshape(-1, DIM), np.ascontiguousarray(x[:, HALF - 1:]).reshape(-1, DIM)
+    q = (flat_own @ (w["q"] * w["q"].dtype.type(DIM ** -0.5))).reshape(n, HALF, DIM)
+    kv = (flat @ np.concatenate([w["k"], w["v"]], axis=1)).reshape(n, -1, 2 * DIM)
+    a = q @ kv[:, :, :DIM].transpose(0, 2, 1)
     a += MASK
     if safe:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= (a @ np.ones(a.shape[2], a.dtype))[:, :, None]    # a product is faster than a sum over a short axis
-    c = (a @ v).reshape(-1, DIM)
+    a *= (1 / (a @ np.ones(a.shape[2], a.dtype)))[:, :, None]      # a product is faster than a sum over a short axis
+    c = (a @ kv[:, :, DIM:]).reshape(-1, DIM)
     h = flat_own + c @ w["o"]
     z = h @ w["out"]
-    z += after[inputs[:, HALF - 1:].reshape(-1)]
-    return z, (x, flat, flat_own, q, k, v, a, c, h)
+    z += np.take(after, inputs[:, HALF - 1:].reshape(-1), axis=0)
+    return z, (flat, flat_own, q, kv, a, c, h)
 
 
 def log_probabilities(z: np.ndarray, target: np.ndarray, safe: bool = True) -> np.ndarray:
-    """log P(class) of each target; ``z`` is overwritten."""
+    """log P(class) of each target; ``z`` is overwritten with probabilities times their sum."""
     own = z[np.arange(len(z)), target]
     if safe:
         most = z.max(axis=1)
@@ -158,47 +156,66 @@ def log_probabilities(z: np.ndarray, target: np.ndarray, safe: bool = True) -> n
 
 def gradient(w: dict[str, np.ndarray], after: np.ndarray, inputs: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the mean negative log probability of the valid targets (as one vector), and that mean."""
-    z, (x, flat, flat_own, q, k, v, a, c, h) = forward(w, after, inputs)
-    n, scale = len(inputs), np.float32(DIM ** -0.5)
-    total = max(int(valid.sum()), 1)
     target, valid = target.reshape(-1), valid.reshape(-1)
-    loss = -float(log_probabilities(z, target)[valid].sum()) / total
-    z /= z.sum(axis=1, keepdims=True)                      # the probabilities now
-    z[np.arange(len(z)), target] -= 1
-    z *= (valid / np.float32(total)).astype(np.float32)[:, None]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        z, state = forward(w, after, inputs, safe=False)
+        logs = log_probabilities(z, target, safe=False)
+    if not np.isfinite(logs).all():
+        z, state = forward(w, after, inputs)
+        logs = log_probabilities(z, target)
+    flat, flat_own, q, kv, a, c, h = state
+    n, scale = len(inputs), w["q"].dtype.type(DIM ** -0.5)
+    total = max(int(valid.sum()), 1)
+    loss = -float(logs[valid].sum()) / total
+    share = (valid / total).astype(z.dtype)
+    z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]      # the probabilities now, by the share of their target
+    z[np.arange(len(z)), target] -= share
     out = np.zeros(SIZE, np.float32)
     g = views(out)
     g["out"][:] = h.T @ z
     dh = z @ w["out"].T
     g["o"][:] = c.T @ dh
-    dc = (dh @ w["o"].T).reshape(n, HALF, DIM)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = (a.transpose(0, 2, 1) @ dc).reshape(-1, DIM)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq = (ds @ k).reshape(-1, DIM) * scale
-    dk = (ds.transpose(0, 2, 1) @ (q / scale)).reshape(-1, DIM) * scale
-    g["q"][:] = flat_own.T @ dq
-    g["k"][:] = flat.T @ dk
-    g["v"][:] = flat.T @ dv
-    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(x.shape)
-    dx[:, HALF - 1:] += (dq @ w["q"].T + dh).reshape(n, HALF, DIM)
+    dc = dh @ w["o"].T
+    mean = np.einsum("ij,ij->i", dc, c).reshape(n, HALF, 1)        # sum of each row of da * a
+    dc = dc.reshape(n, HALF, DIM)
+    ds = dc @ kv[:, :, DIM:].transpose(0, 2, 1)
+    ds -= mean
+    ds *= a
+    dkv = np.empty_like(kv)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[:, :, DIM:])
+    dkv = dkv.reshape(-1, 2 * DIM)
+    dq = (ds @ kv[:, :, :DIM]).reshape(-1, DIM)
+    g["q"][:] = flat_own.T @ dq * scale
+    both = flat.T @ dkv
+    g["k"][:], g["v"][:] = both[:, :DIM], both[:, DIM:]
+    dx = (dkv @ np.concatenate([w["k"], w["v"]], axis=1).T).reshape(n, -1, DIM)
+    dx[:, HALF - 1:] += (dq @ (w["q"].T * scale) + dh).reshape(n, HALF, DIM)
     g["pos"][:] = dx.sum(axis=0)
-    rows, flat_dx = inputs.reshape(-1), dx.reshape(-1, DIM)
-    for j in range(DIM):
-        g["emb"][:, j] = np.bincount(rows, flat_dx[:, j], minlength=len(g["emb"]))
+    g["emb"].reshape(-1)[:] = np.bincount(np.take(CELLS, inputs.reshape(-1), axis=0).reshape(-1), dx.reshape(-1), minlength=CELLS.size)
     return out, loss
 
 
 class Adam:
     def __init__(self, vector: np.ndarray):
         self.vector, self.m, self.v, self.t = vector, np.zeros_like(vector), np.zeros_like(vector), 0
+        self.part = np.empty_like(vector)
 
     def step(self, g: np.ndarray):
         self.t += 1
-        self.m += np.float32(0.1) * (g - self.m)
-        self.v += np.float32(0.02) * (g * g - self.v)
-        rate = RATE * np.sqrt(1 - 0.98 ** self.t) / (1 - 0.9 ** self.t)
-        self.vector -= np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
+        part = self.part
+        np.subtract(g, self.m, out=part)
+        part *= np.float32(0.1)
+        self.m += part
+        np.multiply(g, g, out=part)
+        part -= self.v
+        part *= np.float32(0.02)
+        self.v += part
+        np.sqrt(self.v, out=part)
+        part += np.float32(1e-8)
+        np.divide(self.m, part, out=part)
+        part *= np.float32(RATE * np.sqrt(1 - 0.98 ** self.t) / (1 - 0.9 ** self.t))
+        self.vector -= part
 
 
 class Windows:
@@ -212,13 +229,14 @@ class Windows:
         self.number = number
         self.at = first[:-1][self.text] + number * HALF
         self.begin, self.end = first[:-1][self.text], first[1:][self.text]
+        self.rows = np.concatenate([np.full(HALF, vocabulary.start), vocabulary.input[ids], np.full(HALF, vocabulary.start)])
 
     def take(self, which: np.ndarray):
         """Input rows, target ids' places, whether they are of the text."""
-        place = self.at[which][:, None] + np.arange(-HALF, HALF - 1)
-        rows = self.vocabulary.input[self.ids[np.clip(place, 0, len(self.ids) - 1)]]
-        inputs = np.where(place < self.begin[which][:, None], self.vocabulary.start, rows)
-        target = self.at[which][:, None] + np.arange(HALF)
+        at = self.at[which][:, None]
+        inputs = self.rows[at + np.arange(2 * HALF - 1)]   # the row of a place stands HALF further on
+        inputs[self.number[which] == 0, :HALF] = self.vocabulary.start
+        target = at + np.arange(HALF)
         valid = target < self.end[which][:, None]
         return inputs, np.where(valid, target, 0), valid
 

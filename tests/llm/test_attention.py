@@ -124,6 +124,40 @@ def test_gradient_by_differences():
         assert own.reshape(-1)[at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=1e-3), name
 
 
+def test_gradient_where_plain_exp_overflows(monkeypatch):
+    """Each step first goes without the pass that keeps numbers small; where one overflows it is done again with it."""
+    vocabulary, vector, after, rng = small_model(5)
+    vector, after = vector.astype(np.float32), after.astype(np.float32)
+    windows = A.Windows(rng.integers(0, 5_000, 200), np.array([0, 90, 200]), vocabulary)
+    inputs, target, valid = windows.take(np.arange(len(windows.at)))
+    cls = vocabulary.cls[windows.ids[target]]
+    ways, plain = [], A.forward
+    monkeypatch.setattr(A, "forward", lambda w, after, inputs, safe=True: ways.append(safe) or plain(w, after, inputs, safe))
+    for times, tried in ((1, [False]), (4_000, [False, True])):
+        weights = vector.copy()
+        A.views(weights)["out"][:] *= times
+        ways.clear()
+        g, loss = A.gradient(A.views(weights), after, inputs, cls, valid)
+        assert ways == tried and np.isfinite(g).all() and math.isfinite(loss)
+        wide, _ = A.gradient(A.views(weights.astype(np.float64)), after.astype(np.float64), inputs, cls, valid)
+        assert g == pytest.approx(wide, rel=1e-2, abs=1e-3 * float(np.abs(wide).max()))
+
+
+def test_inputs_of_a_window_are_of_its_text():
+    vocabulary, _, _, rng = small_model(6)
+    first = np.array([0, 5, 5, 40, 41, 120])
+    ids = rng.integers(0, 5_000, 120)
+    windows = A.Windows(ids, first, vocabulary)
+    inputs, target, valid = windows.take(np.arange(len(windows.at)))
+    seen = []
+    for text, number, row, places, real in zip(windows.text, windows.number, inputs, target, valid):
+        begin = first[text] + number * A.HALF
+        own = [vocabulary.start if p < first[text] else vocabulary.input[ids[p]] for p in range(begin - A.HALF, min(begin + A.HALF, first[text + 1]) - 1)]
+        assert row[:len(own)].tolist() == own
+        seen += places[real].tolist()
+    assert seen == list(range(120))
+
+
 def test_training_learns_from_attention(spark, monkeypatch):
     """A word four words back decides the next one: no table of neighbours knows it."""
     rng = np.random.default_rng(4)
