@@ -28,6 +28,7 @@ ignored. Words are compared by a 64-bit hash of their bytes. A document is one v
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslink.llm.common import LOWER, column_bytes, pieces, store, word_hashes, word_spans
-from presslink.llm.packing import word_ids
+from presslink.llm.packing import _LATIN, word_ids
 
 DIM = 16
 HALF = 16                      # ids scored by a window
@@ -46,6 +47,7 @@ CLASSES = 64
 SINGLE = 48                    # classes of one id
 INPUTS = 2_048                 # ids with an input vector of their own; others take their class's
 STEP = 48                      # windows of a step
+SCORED = 192                   # windows scored at once
 ROUNDS = 2
 SHARE = 2                      # parts of the training texts, one a round: every text is trained on
 RATE = 0.01
@@ -55,7 +57,7 @@ HEAD = 1 << 21                 # 50 MB are broadcast at most
 STEP_BYTES = 2 << 20
 HASH_BYTES = 1 << 17
 TASK_WORDS = 1 << 20           # distinct words that a task holds before it hands them on
-CACHE_WORDS = 500_000
+CACHE_WORDS = 2_000_000        # of about 40 bytes each
 END_WORD = np.uint64(0x51D7_E3A2_9C4B_F00D)
 
 
@@ -107,8 +109,8 @@ SIZE = sum(math.prod(s) for s in SHAPES.values())
 _ENDS = np.cumsum([math.prod(s) for s in SHAPES.values()]).tolist()
 #: Places of the numbers of an input row's vector.
 CELLS = np.arange((INPUTS + CLASSES + 1) * DIM).reshape(-1, DIM)
-#: Which inputs the id at each place of the second half may see.
-MASK = np.where(np.arange(2 * HALF - 1)[None] <= np.arange(HALF)[:, None] + HALF - 1, 0, -1e9).astype(np.float32)
+#: Which inputs the id at each place of the second half may see; a last place that none sees makes the rows even.
+MASK = np.where(np.arange(2 * HALF)[None] <= np.arange(HALF)[:, None] + HALF - 1, 0, -1e9).astype(np.float32)
 
 
 def views(vector: np.ndarray) -> dict[str, np.ndarray]:
@@ -122,77 +124,101 @@ def first_weights() -> np.ndarray:
     return vector
 
 
+@lru_cache(maxsize=8)
+def ones(n: int, dtype) -> np.ndarray:
+    """A product with these is faster than a sum over a short axis."""
+    return np.ones(n, dtype)
+
+
 def forward(w: dict[str, np.ndarray], after: np.ndarray, inputs: np.ndarray, safe: bool = True):
-    """Class logits (windows * HALF, CLASSES) and what the gradient needs; ``safe``: no number overflows."""
+    """Class logits (windows * HALF, CLASSES) and what the gradient needs; ``safe``: no number overflows.
+
+    The head is as wide as the vectors, so queries meet keys, and values the output, by one matrix each.
+    """
     n = len(inputs)
-    x = np.take(w["emb"], inputs, axis=0)
-    x += w["pos"]
-    flat, flat_own = x.reshape(-1, DIM), np.ascontiguousarray(x[:, HALF - 1:]).reshape(-1, DIM)
-    q = (flat_own @ (w["q"] * w["q"].dtype.type(DIM ** -0.5))).reshape(n, HALF, DIM)
-    kv = (flat @ np.concatenate([w["k"], w["v"]], axis=1)).reshape(n, -1, 2 * DIM)
-    a = q @ kv[:, :, :DIM].transpose(0, 2, 1)
+    qk, vo = w["q"] @ w["k"].T, w["v"] @ w["o"]
+    qk *= qk.dtype.type(DIM ** -0.5)
+    both = np.concatenate([w["out"], vo @ w["out"]])
+    padded = np.zeros((n, 2 * HALF), np.int64)
+    padded[:, :-1] = inputs
+    x = np.take(w["emb"], padded, axis=0)
+    x[:, :-1] += w["pos"]
+    oc = np.empty((n, HALF, 2 * DIM), x.dtype)             # own vectors, then what attention adds
+    oc[:, :, :DIM] = x[:, HALF - 1:-1]
+    flat = oc.reshape(-1, 2 * DIM)
+    s = (flat[:, :DIM] @ qk).reshape(n, HALF, DIM)
+    a = s @ x.transpose(0, 2, 1)
     a += MASK
     if safe:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a *= (1 / (a @ np.ones(a.shape[2], a.dtype)))[:, :, None]      # a product is faster than a sum over a short axis
-    c = (a @ kv[:, :, DIM:]).reshape(-1, DIM)
-    h = flat_own + c @ w["o"]
-    z = h @ w["out"]
+    part = 1 / (a.reshape(-1, a.shape[2]) @ ones(a.shape[2], a.dtype))[:, None]
+    c = (a @ x).reshape(-1, DIM)
+    c *= part                                              # fewer numbers than a
+    flat[:, DIM:] = c
+    z = flat @ both
     z += np.take(after, inputs[:, HALF - 1:].reshape(-1), axis=0)
-    return z, (flat, flat_own, q, kv, a, c, h)
+    return z, (padded, qk, vo, both, x, flat, s, a, part, c)
 
 
 def log_probabilities(z: np.ndarray, target: np.ndarray, safe: bool = True) -> np.ndarray:
     """log P(class) of each target; ``z`` is overwritten with probabilities times their sum."""
-    own = z[np.arange(len(z)), target]
+    own = np.take(z, target + np.arange(0, z.size, z.shape[1]))
     if safe:
         most = z.max(axis=1)
         z -= most[:, None]
         own -= most
     np.exp(z, out=z)
-    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
+    own -= np.log(z @ ones(z.shape[1], z.dtype))
+    return own
+
 
+def blank() -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    out = np.zeros(SIZE, np.float32)
+    return out, views(out)
 
-def gradient(w: dict[str, np.ndarray], after: np.ndarray, inputs: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean negative log probability of the valid targets (as one vector), and that mean."""
+
+def gradient(w: dict[str, np.ndarray], after: np.ndarray, inputs: np.ndarray, target: np.ndarray, valid: np.ndarray, into=None) -> tuple[np.ndarray, float]:
+    """Gradient of the mean negative log probability of the valid targets (as one vector, ``into`` if given), and that mean."""
     target, valid = target.reshape(-1), valid.reshape(-1)
+    total = max(int(np.count_nonzero(valid)), 1)
+    share = valid.astype(after.dtype)
+    share *= share.dtype.type(1 / total)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         z, state = forward(w, after, inputs, safe=False)
-        logs = log_probabilities(z, target, safe=False)
-    if not np.isfinite(logs).all():
+        loss = -float(log_probabilities(z, target, safe=False) @ share)
+    if not math.isfinite(loss):
         z, state = forward(w, after, inputs)
-        logs = log_probabilities(z, target)
-    flat, flat_own, q, kv, a, c, h = state
+        loss = -float(log_probabilities(z, target) @ share)
+    padded, qk, vo, both, x, flat, s, a, part, c = state
     n, scale = len(inputs), w["q"].dtype.type(DIM ** -0.5)
-    total = max(int(valid.sum()), 1)
-    loss = -float(logs[valid].sum()) / total
-    share = (valid / total).astype(z.dtype)
-    z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]      # the probabilities now, by the share of their target
-    z[np.arange(len(z)), target] -= share
-    out = np.zeros(SIZE, np.float32)
-    g = views(out)
-    g["out"][:] = h.T @ z
-    dh = z @ w["out"].T
-    g["o"][:] = c.T @ dh
-    dc = dh @ w["o"].T
-    mean = np.einsum("ij,ij->i", dc, c).reshape(n, HALF, 1)        # sum of each row of da * a
+    z *= (share / (z @ ones(z.shape[1], z.dtype)))[:, None]         # the probabilities now, by the share of their target
+    at = target + np.arange(0, z.size, z.shape[1])
+    z.reshape(-1)[at] -= share
+    out, g = into or blank()
+    gboth = (z.T @ flat).T
+    gvo = gboth[DIM:] @ w["out"].T
+    np.add(gboth[:DIM], vo.T @ gboth[DIM:], out=g["out"])
+    g["v"][:], g["o"][:] = gvo @ w["o"].T, w["v"].T @ gvo
+    d = z @ both.T
+    dc = d[:, DIM:] * part                                 # in place of a divided by its sums
+    c *= dc
+    mean = (c @ ones(DIM, c.dtype)).reshape(n, HALF, 1)    # sum of each row of da * a
     dc = dc.reshape(n, HALF, DIM)
-    ds = dc @ kv[:, :, DIM:].transpose(0, 2, 1)
+    ds = dc @ x.transpose(0, 2, 1)
     ds -= mean
     ds *= a
-    dkv = np.empty_like(kv)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
-    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[:, :, DIM:])
-    dkv = dkv.reshape(-1, 2 * DIM)
-    dq = (ds @ kv[:, :, :DIM]).reshape(-1, DIM)
-    g["q"][:] = flat_own.T @ dq * scale
-    both = flat.T @ dkv
-    g["k"][:], g["v"][:] = both[:, :DIM], both[:, DIM:]
-    dx = (dkv @ np.concatenate([w["k"], w["v"]], axis=1).T).reshape(n, -1, DIM)
-    dx[:, HALF - 1:] += (dq @ (w["q"].T * scale) + dh).reshape(n, HALF, DIM)
-    g["pos"][:] = dx.sum(axis=0)
-    g["emb"].reshape(-1)[:] = np.bincount(np.take(CELLS, inputs.reshape(-1), axis=0).reshape(-1), dx.reshape(-1), minlength=CELLS.size)
+    dx = a.transpose(0, 2, 1) @ dc
+    dx += ds.transpose(0, 2, 1) @ s
+    ds = (ds @ x).reshape(-1, DIM)
+    gqk = flat[:, :DIM].T @ ds
+    gqk *= scale
+    g["q"][:], g["k"][:] = gqk @ w["k"], gqk.T @ w["q"]
+    down = ds @ qk.T
+    down += d[:, :DIM]
+    dx[:, HALF - 1:-1] += down.reshape(n, HALF, DIM)
+    g["pos"][:] = dx.sum(axis=0)[:-1]
+    g["emb"].reshape(-1)[:] = np.bincount(np.take(CELLS, padded.reshape(-1), axis=0).reshape(-1), dx.reshape(-1), minlength=CELLS.size)
     return out, loss
 
 
@@ -202,19 +228,18 @@ class Adam:
         self.part = np.empty_like(vector)
 
     def step(self, g: np.ndarray):
+        """``m`` and ``v`` are kept ten and fifty times as large: fewer passes over the numbers."""
         self.t += 1
         part = self.part
-        np.subtract(g, self.m, out=part)
-        part *= np.float32(0.1)
-        self.m += part
+        self.m *= np.float32(0.9)
+        self.m += g
         np.multiply(g, g, out=part)
-        part -= self.v
-        part *= np.float32(0.02)
+        self.v *= np.float32(0.98)
         self.v += part
         np.sqrt(self.v, out=part)
-        part += np.float32(1e-8)
+        part += np.float32(1e-8 / math.sqrt(0.02))
         np.divide(self.m, part, out=part)
-        part *= np.float32(RATE * np.sqrt(1 - 0.98 ** self.t) / (1 - 0.9 ** self.t))
+        part *= np.float32(RATE * 0.1 / math.sqrt(0.02) * math.sqrt(1 - 0.98 ** self.t) / (1 - 0.9 ** self.t))
         self.vector -= part
 
 
@@ -246,8 +271,8 @@ def score_ids(vector: np.ndarray, after: np.ndarray, vocabulary: Vocabulary, ids
     w = views(vector)
     windows = Windows(ids, first, vocabulary)
     out = np.zeros(len(first) - 1)
-    for at in range(0, len(windows.at), STEP):
-        which = np.arange(at, min(at + STEP, len(windows.at)))
+    for at in range(0, len(windows.at), SCORED):
+        which = np.arange(at, min(at + SCORED, len(windows.at)))
         inputs, target, valid = windows.take(which)
         own = ids[target.reshape(-1)]
         with np.errstate(over="ignore", invalid="ignore"):
@@ -269,7 +294,7 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
 def _words(column: pa.Array):
     """In steps: first text, texts, distinct words (hashes; the end is one), number of each word and end, text of each, words' bytes.
 
-    The words come text after text, then one end per text; ``bytes_of(i)``: a distinct word's bytes.
+    The words come text after text, then one end per text; ``bytes_of(which)``: the bytes of these distinct words (of the end: none).
     """
     raw, offsets = column_bytes(column)
     for lo, hi in pieces(offsets, STEP_BYTES):
@@ -282,40 +307,84 @@ def _words(column: pa.Array):
         for first, last in pieces(own, HASH_BYTES):        # arrays that the cache holds
             w = slice(before[first], before[last])
             hashes[w] = word_hashes(low[own[first]:own[last]], start[w] - own[first], end[w] - own[first])
-        h, place, number = np.unique(hashes, return_index=True, return_inverse=True)
-
-        def bytes_of(i, data=low.tobytes(), place=place, start=start, end=end):
-            at = place[i]
-            return data[start[at]:end[at]] if at < len(start) else b""
+        order = np.argsort(hashes)                         # np.unique with places takes a slower, stable sort
+        ranked = hashes[order]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        h, place = ranked[fresh], order[fresh]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+
+        def bytes_of(which, data=low.tobytes(), place=place, start=start, end=end):
+            at = place[which]
+            words = at < len(start)
+            at = np.where(words, at, 0)
+            first, last = (np.where(words, e[at] if len(e) else 0, 0).tolist() for e in (start, end))
+            return [data[i:j] for i, j in zip(first, last)]
 
         yield lo, n, h, number, text, before, bytes_of
 
 
-class WordCodes(dict):
-    """Word hash to the tokenizer's ids of the word as bytes; emptied when full."""
+class WordCodes:
+    """Word hash to the tokenizer's ids of the word: sorted hashes, each with its place among the ids; emptied when full."""
 
     def __init__(self, tokenizer_path: str):
-        super().__init__()
         self.coder = word_ids(tokenizer_path)
+        self.split = re.compile(rf"\n|{self.coder.split.pattern}").findall if self.coder.by_word else None
+        self.clear()
+
+    def clear(self):
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ends, self.codes = np.zeros(1, np.int64), np.zeros(0, np.uint32)      # word ``p`` has codes[ends[p]:ends[p + 1]]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has. Words of plain characters are split in one go, one to a line."""
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        plain = [w for w in texts if _LATIN.fullmatch(w)] if self.split else []
+        lines = "\n".join(plain)
+        pieces = self.split(lines.lower()) if plain and not self.coder.special(lines) else []
+        if not pieces or pieces.count("\n") != len(plain) - 1:
+            plain, pieces = [], []
+        known, piece = self.coder.pieces.get, self.coder.piece
+        coded = [b"" if p == "\n" else known(p) or piece(p) for p in pieces]
+        sizes = np.array([len(x) >> 2 for x in coded], np.int64)
+        ends = np.cumsum(sizes)
+        if len(plain) == len(texts):
+            return np.frombuffer(b"".join(coded), "<u4"), np.diff(ends[np.flatnonzero(sizes == 0)], prepend=0, append=ends[-1])
+        split = np.diff(ends[np.flatnonzero(sizes == 0)], prepend=0, append=ends[-1]).tolist() if plain else []
+        flat, out, at, i = b"".join(coded), [], 0, 0
+        for w in texts:
+            if plain and _LATIN.fullmatch(w):
+                out.append(flat[at:at + 4 * split[i]])
+                at += 4 * split[i]
+                i += 1
+            else:
+                out.append(self.coder[w] if w else b"")
+        return np.frombuffer(b"".join(out), "<u4"), np.array([len(x) >> 2 for x in out], np.int64)
 
     def ids(self, h: np.ndarray, number: np.ndarray, before: np.ndarray, bytes_of) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts' words in a row, and where each text's begin (texts + 1)."""
-        if len(self) > CACHE_WORDS:
+        """Ids of the texts' words in a row, and where each text's begin (texts + 1); ``h`` is sorted."""
+        at = np.searchsorted(self.hashes, h)
+        if len(self.hashes):
+            new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != h)
+        else:
+            new = np.arange(len(h))
+        if len(new) and len(self.hashes) and len(self.hashes) + len(new) > CACHE_WORDS:
             self.clear()
-        out = []
-        for i, key in enumerate(h.tolist()):
-            got = self.get(key)
-            if got is None:
-                got = b"" if key == END_WORD else self.coder[bytes_of(i).decode("utf-8", "replace")]
-                self[key] = got
-            out.append(got)
-        flat = np.frombuffer(b"".join(out), "<u4")
-        n = np.array([len(x) >> 2 for x in out], np.int64)
-        words = number[:before[-1]]
-        sizes = n[words]
+            at, new = np.zeros(len(h), np.int64), np.arange(len(h))
+        if len(new):
+            codes, n = self.encode(bytes_of(new))
+            places = np.arange(len(new), dtype=np.int32) + np.int32(len(self.hashes))
+            self.hashes, self.places = np.insert(self.hashes, at[new], h[new]), np.insert(self.places, at[new], places)
+            self.codes, self.ends = np.concatenate([self.codes, codes]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            at = np.searchsorted(self.hashes, h)
+        own = self.places[at]
+        words = own[number[:before[-1]]]
+        begin = self.ends[words]
+        sizes = self.ends[words + 1] - begin
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.arange(ends[-1]) + np.repeat((np.cumsum(n) - n)[words] - ends[:-1], sizes)
-        return flat[place], ends[before]
+        place = np.arange(ends[-1])
+        place += np.repeat(begin - ends[:-1], sizes)
+        return self.codes[place], ends[before]
 
 
 @lru_cache(maxsize=2)
@@ -360,7 +429,8 @@ def _documents(tokenizer_path: str, end_id: int, head):
         known, train = head.value
         log_count = np.log10(train + 1.0)
         codes = word_codes(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        kind = id_type(codes.coder.tokenizer.get_vocab_size())
+        end = np.array([end_id], kind).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             ids, held = b.column(1).to_pylist(), b.column(2).to_pylist()
@@ -379,6 +449,7 @@ def _documents(tokenizer_path: str, end_id: int, head):
                 cut = np.searchsorted(cell, np.arange(n + 1) * len(h))
                 words = h[cell % len(h)]
                 coded, first = codes.ids(h, number, before, bytes_of)
+                coded = coded.astype(kind)
                 rows = []
                 for i in range(n):
                     own = slice(cut[i], cut[i + 1])
@@ -405,7 +476,7 @@ def _id_counts(size: int):
         counts = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(x, "<u4"), minlength=size)
+                counts += np.bincount(np.frombuffer(x, id_type(size)), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["token", "n"])
 
@@ -417,7 +488,7 @@ def _after_counts(vocabulary):
     def run(batches):
         counts = np.zeros((INPUTS + CLASSES + 1) * CLASSES, np.int64)
         for b in batches:
-            ids, first = _flat(b.column(0))
+            ids, first = _flat(b.column(0), len(vocabulary.value.cls))
             rows = np.concatenate([[0], vocabulary.value.input[ids[:-1]]])
             rows[first[:-1]] = vocabulary.value.start
             counts += np.bincount(rows * CLASSES + vocabulary.value.cls[ids], minlength=len(counts))
@@ -427,9 +498,15 @@ def _after_counts(vocabulary):
     return run
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def id_type(size: int) -> np.dtype:
+    """How the ids of a tokenizer of this many are stored."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _flat(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = column_bytes(column)
-    return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), offsets // 4
+    kind = id_type(size)
+    return np.frombuffer(raw.tobytes(), kind).astype(np.int64), offsets // kind.itemsize
 
 
 _WEIGHTS = "slot int, n long, weights binary"
@@ -444,17 +521,17 @@ def _train(shared, after, vocabulary):
     """A task's windows of this round, step by step from the common weights; the weights times the windows go on."""
     def run(batches):
         adam = Adam(shared.value.copy())
-        w = views(adam.vector)
+        w, into = views(adam.vector), blank()
         waiting, n = [], 0
         total = 0
 
         def step(parts):
-            inputs, target, valid = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            adam.step(gradient(w, after.value, inputs, target, valid)[0])
+            inputs, target, valid = parts[0] if len(parts) == 1 else (np.concatenate([p[i] for p in parts]) for i in range(3))
+            adam.step(gradient(w, after.value, inputs, target, valid, into)[0])
             return len(inputs)
 
         for b in batches:
-            ids, first = _flat(b.column(0))
+            ids, first = _flat(b.column(0), len(vocabulary.value.cls))
             windows = Windows(ids, first, vocabulary.value)
             mine = np.arange(len(windows.at))
             for at in range(0, len(mine), STEP):
@@ -507,7 +584,7 @@ def fit(own: DataFrame, vocabulary) -> tuple[np.ndarray, object]:
 def _score(shared, after, vocabulary):
     def run(batches):
         for b in batches:
-            ids, first = _flat(b.column(1))
+            ids, first = _flat(b.column(1), len(vocabulary.value.cls))
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(score_ids(shared.value, after.value, vocabulary.value, ids, first))],
                                              names=["uid", *_DOC[1:6], "score"])
 

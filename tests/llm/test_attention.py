@@ -215,3 +215,35 @@ def test_long_text_and_query(spark):
 def test_every_training_text_is_trained_on(spark):
     own = spark.createDataFrame([(i, i % 9) for i in range(400)] + [(None, 3)], "id long, n_tokens long")
     assert sorted((r.id is None, r.id) for part in A.rounds(own) for r in part.collect()) == [*((False, i) for i in range(400)), (True, None)]
+
+
+def test_words_are_coded_once_and_by_lines(monkeypatch):
+    """A word seen before is not coded again, plain words of a chunk are split together, and a full cache starts again."""
+    texts = ["the cat's 3.5 rock'n'roll", "Ünïted the \u65e5\u672c cat", "<|startoftext|> the cat", None, "", "a\x1cb the x\x7fy", "the cat's again"]
+    coder, words = Tokenizer.from_file(PATH), A.WordCodes(PATH)
+    coded, plain = [], words.encode
+    monkeypatch.setattr(words, "encode", lambda new: coded.append(new) or plain(new))
+    for cache in (A.CACHE_WORDS, 3):
+        monkeypatch.setattr(A, "CACHE_WORDS", cache)
+        for _ in range(2):
+            for text in texts:
+                for _, _, h, number, _, before, bytes_of in A._words(pa.array([text], pa.string())):
+                    own, first = words.ids(h, number, before, bytes_of)
+                    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+                    want = [i for w in re.findall("[^\x20\x09-\x0d]+", low) for i in coder.encode(w, add_special_tokens=False).ids]
+                    assert own.tolist() == want and first.tolist() == [0, len(want)]
+        if cache > 3:
+            every = [w for new in coded for w in new]
+            assert len(every) == len(set(every))
+            coded.clear()
+            words.clear()
+    assert sum(map(len, coded)) > len(every)
+
+
+def test_ids_take_two_bytes_where_they_fit():
+    assert A.id_type(1 << 16).itemsize == 2 and A.id_type((1 << 16) + 1).itemsize == 4
+    for size in (1 << 16, 1 << 17):
+        kind = A.id_type(size)
+        column = pa.array([np.array(x, kind).tobytes() for x in ([1, size - 1], [], [7])], pa.binary())
+        ids, first = A._flat(column, size)
+        assert ids.tolist() == [1, size - 1, 7] and first.tolist() == [0, 2, 2, 3]
